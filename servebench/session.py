@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Keep broadcasts to sides whose size is known to be small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
