@@ -1,5 +1,320 @@
-"""Queries registered by this module."""
+"""Corpus-curation queries (E1-E26) over stand-in corpora.
+
+The supplied conversations and documents are far shorter than real prompt
+corpora, so the chat queries run the category spec with every token bound
+scaled by 1/10, and the long-document queries use 500/2000 tokens; the logic
+is the full-scale logic with those parameters.  Targets follow the reference
+rule ``max(1, int(total * weight))`` with ``total`` = number of conversations.
+"""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.curate import chat as C
+from ..operators.curate import documents as D
+from ..operators.curate import tools as TO
+from ..sources import standins as S
+from ..specs import (CATEGORY_SPECS, FETCH_OVERSHOOT, MATH_SYSTEM, REASONING_KEYWORDS, LongDocParams,
+                     scaled_specs)
+from .catalog import register
+
+LANGS = ("en",)
+CHAT_SPECS = scaled_specs(0.1)
+LONG = LongDocParams(min_tok=500, max_tok=2000, min_chars=2500, trunc_lo=600, trunc_margin=200, over_margin=50)
+
+
+def ws(expr: str) -> str:
+    """DuckDB text of the ``ws`` token count."""
+    return f"len(regexp_extract_all({expr}, '\\S+'))"
+
+
+def strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+
+
+def total_prompts(spark, sf_dir) -> int:
+    """Pool size of the stand-in build: one prompt per conversation."""
+    return S.table(spark, sf_dir, "conversations").select("conv_id").distinct().count()
+
+
+def targets_for(total: int, specs=CATEGORY_SPECS) -> dict:
+    return {c: max(1, int(total * s["weight"])) for c, s in specs.items()}
+
+
+TOTAL_SQL = "(select count(distinct conv_id) from conversations)"
+
+
+def target_sql(cat: str) -> str:
+    w = CATEGORY_SPECS[cat]["weight"]
+    return f"greatest(1, cast(floor({TOTAL_SQL} * cast({w!r} as double)) as bigint))"
+
+
+# ---------------------------------------------------------------------------
+# Chat (E1-E4)
+# ---------------------------------------------------------------------------
+
+def chat_facts(spark, sf_dir):
+    return C.conversation_facts(S.chat_log_df(spark, sf_dir))
+
+
+_FACTS_SQL = f"""
+, facts as (
+  select conv_id, count(*) as n_turns, max(lang) as lang, max(coalesce(toxic, 0)) as toxic,
+    arg_min({strip_sql('content')}, turn) filter (where role = 'user' and length({strip_sql('content')}) > 0) as first_user,
+    count(*) filter (where role in ('user', 'assistant') and length({strip_sql('content')}) > 0) as n_mt,
+    cast(2 + coalesce(sum(4 + {ws('role')} + {ws('content')})
+         filter (where role in ('user', 'assistant') and length({strip_sql('content')}) > 0), 0) as int) as mt_tokens
+  from chat_log group by conv_id)
+, passing as (
+  select *, {ws('first_user')} as n_words, {ws('first_user')} as text_tok, 2 + 4 + 1 + {ws('first_user')} as single_tok
+  from facts
+  where (lang is null or lang in ('en')) and n_turns > 0 and toxic = 0
+    and first_user is not null and {ws('first_user')} >= 3)
+"""
+
+
+@register("chat_eligible", S.duck_with("chat_log") + _FACTS_SQL + """
+select conv_id, n_turns from facts where (lang is null or lang in ('en')) and n_turns > 0 and toxic = 0
+""")
+def q_chat_eligible(spark, sf_dir):
+    f = chat_facts(spark, sf_dir)
+    return f.filter(C.chat_eligible(f, LANGS)).select("conv_id", "n_turns")
+
+
+@register("first_user_turn", S.duck_with("chat_log") + _FACTS_SQL + """
+select conv_id, first_user, cast(n_words as int) as n_words, cast(single_tok as int) as single_tok from passing
+""")
+def q_first_user_turn(spark, sf_dir):
+    p = C.first_user_turn(chat_facts(spark, sf_dir), LANGS)
+    return p.select("conv_id", "first_user", "n_words", "single_tok")
+
+
+def _route(spark, sf_dir):
+    total = total_prompts(spark, sf_dir)
+    fetch = {c: FETCH_OVERSHOOT * t for c, t in targets_for(total).items()}
+    passing = C.first_user_turn(chat_facts(spark, sf_dir), LANGS)
+    return C.route_chat(passing, fetch, specs=CHAT_SPECS)
+
+
+def _kw_sql(expr: str) -> str:
+    return "(" + " or ".join(f"contains(lower({expr}), '{k}')" for k in REASONING_KEYWORDS) + ")"
+
+
+_S, _M, _R, _MT = (CHAT_SPECS[c] for c in ("short_chat", "medium_chat", "reasoning", "multi_turn"))
+_ROUTE_SQL = _FACTS_SQL + f"""
+, tg as (select 3 * {target_sql('short_chat')} as ts, 3 * {target_sql('medium_chat')} as tm,
+           3 * {target_sql('reasoning')} as tr, 3 * {target_sql('multi_turn')} as tmt)
+, base as (select p.* from (select *, row_number() over (order by conv_id) as rn from passing) p, tg
+           where p.rn <= (ts + tm + tr + tmt) * 50 + 1)
+, s as (select conv_id from (select conv_id, row_number() over (order by conv_id) as r from base
+        where text_tok between {_S['min_tok']} and {_S['max_tok']}) x, tg where r <= ts)
+, m as (select conv_id from (select conv_id, row_number() over (order by conv_id) as r from base
+        where text_tok > {_M['min_tok']} and text_tok <= {_M['max_tok']}) x, tg where r <= tm)
+, rs as (select conv_id from (select conv_id, row_number() over (order by conv_id) as r from base
+         where text_tok between {_R['min_tok']} and {_R['max_tok']} and {_kw_sql('first_user')}
+           and conv_id not in (select conv_id from s) and conv_id not in (select conv_id from m)) x, tg where r <= tr)
+, routed as (
+  select b.conv_id, case when s.conv_id is not null then 'short_chat' when m.conv_id is not null then 'medium_chat'
+                         else 'reasoning' end as category, b.first_user, b.text_tok, b.single_tok as n_tokens
+  from base b left join s on b.conv_id = s.conv_id left join m on b.conv_id = m.conv_id
+  left join rs on b.conv_id = rs.conv_id
+  where s.conv_id is not null or m.conv_id is not null or rs.conv_id is not null)
+, mt as (select conv_id, 'multi_turn' as category, n_mt as n_messages, mt_tokens as n_tokens
+         from (select *, row_number() over (order by conv_id) as r from base
+               where n_turns >= 5 and n_mt >= 5 and mt_tokens between {_MT['min_tok']} and {_MT['max_tok']}) x, tg
+         where r <= tmt)
+"""
+
+
+@register("route_chat", S.duck_with("chat_log") + _ROUTE_SQL + """
+select conv_id, category, cast(text_tok as int) as text_tok, cast(n_tokens as int) as n_tokens from routed
+""")
+def q_route_chat(spark, sf_dir):
+    routed, _ = _route(spark, sf_dir)
+    return routed.select("conv_id", "category", "text_tok", "n_tokens")
+
+
+@register("multi_turn", S.duck_with("chat_log") + _ROUTE_SQL + """
+select conv_id, category, n_messages, n_tokens from mt
+""")
+def q_multi_turn(spark, sf_dir):
+    _, multi = _route(spark, sf_dir)
+    return multi
+
+
+# ---------------------------------------------------------------------------
+# Tools (E5, E8, E9)
+# ---------------------------------------------------------------------------
+
+_NORM_SQL = """
+, el as (select row_id, case when json_valid(tools_json) and try(json_type(tools_json)) = 'ARRAY'
+                             then json_extract(tools_json, '$[*]') else [] end as els from tool_defs)
+, nt as (select row_id, list_filter(list_transform(els, lambda e:
+           case when try(json_type(e)) <> 'OBJECT' then null
+                when json_extract_string(e, '$.type') = 'function' and json_exists(e, '$.function') then cast(e as varchar)
+                when json_exists(e, '$.name') then concat('{"type":"function","function":', cast(e as varchar), '}')
+                when json_exists(e, '$.function')
+                  then concat('{"type":"function","function":', cast(json_extract(e, '$.function') as varchar), '}')
+           end), lambda x: x is not null) as tools from el)
+, ntools as (select row_id, tools, cast(len(tools) as int) as n_tools,
+               case when len(tools) > 0 then concat('[', array_to_string(tools, ','), ']') end as tools_text from nt)
+"""
+
+
+@register("normalize_tools", S.duck_with("tool_defs") + _NORM_SQL + """
+select row_id, n_tools, tools_text from ntools
+""")
+def q_normalize_tools(spark, sf_dir):
+    return TO.normalize_tools(S.tool_defs_df(spark, sf_dir)).select("row_id", "n_tools", "tools_text")
+
+
+@register("tool_prompts", S.duck_with("fc_turns", "tool_defs") + _NORM_SQL + f"""
+, cut as (select conv_id, min(turn) filter (where role = 'assistant' and tc_name is not null) as cut_at,
+            arg_min(tc_name, turn) filter (where role = 'assistant' and tc_name is not null) as exp_name,
+            arg_min(tc_args, turn) filter (where role = 'assistant' and tc_name is not null) as exp_args_raw,
+            max(source) as source
+          from fc_turns group by conv_id)
+, pre as (select f.conv_id, count(*) as n_messages, count(*) filter (where f.role = 'user') as n_user,
+            sum(4 + {ws('f.role')} + {ws('f.content')}) as tok
+          from fc_turns f join cut c on f.conv_id = c.conv_id
+          where f.role in ('system', 'user', 'assistant') and length(f.content) > 0
+            and (c.cut_at is null or f.turn < c.cut_at)
+          group by f.conv_id)
+, j as (select p.conv_id, p.n_messages, p.n_user, c.source, c.exp_name, c.exp_args_raw,
+          coalesce(t.n_tools, 0) as n_tools,
+          cast(2 + p.tok + case when coalesce(t.n_tools, 0) > 0
+               then {ws("regexp_replace(t.tools_text, '([,:])', '\\1 ', 'g')")} else 0 end as int) as n_tokens
+        from pre p join cut c on p.conv_id = c.conv_id left join ntools t on t.row_id = p.conv_id)
+select conv_id, cast(n_messages as bigint) as n_messages, n_tools, n_tokens, exp_name,
+  case when exp_name is null then null
+       when json_valid(exp_args_raw) and try(json_type(exp_args_raw)) = 'OBJECT'
+         then array_to_string(json_keys(exp_args_raw), ',') else '' end as exp_args
+from j where n_messages > 0 and n_user > 0 and n_tokens between 100 and 16000
+  and (source <> 'toolace' or n_tools > 0)
+""")
+def q_tool_prompts(spark, sf_dir):
+    turns = S.fc_turns_df(spark, sf_dir)
+    tools = TO.normalize_tools(S.tool_defs_df(spark, sf_dir)).withColumnRenamed("row_id", "conv_id")
+    src = turns.groupBy("conv_id").agg(F.max("source").alias("source"))
+    out = TO.cut_at_tool_call(turns, tools, lo=100, hi=16000)
+    return (out.join(src, "conv_id").filter((F.col("source") != "toolace") | (F.col("n_tools") > 0))
+            .select("conv_id", "n_messages", "n_tools", "n_tokens", "exp_name", "exp_args"))
+
+
+# ---------------------------------------------------------------------------
+# Documents
+# ---------------------------------------------------------------------------
+
+@register("math_prompts", f"""
+select doc_id, n_tokens from (
+  select doc_id, cast(2 + 4 + 1 + {len(MATH_SYSTEM.split())}
+         + 4 + 1 + {ws('text')} as int) as n_tokens
+  from documents where length(text) > 0 and {ws('text')} >= 10) x
+where n_tokens between 100 and 4000
+""")
+def q_math_prompts(spark, sf_dir):
+    return D.math_prompts(S.table(spark, sf_dir, "documents"))
+
+
+def _long_sql(final: str) -> str:
+    from ..specs import LONG_DOC_SOURCES
+
+    rows = ", ".join(
+        "('{}', '{}', {}, {}, {}, {})".format(
+            s["source"], s["system"], f"'{s['suffix']}'" if s["suffix"] else "null",
+            f"'{s['question_prefix']}'" if s["question_prefix"] else "null",
+            "true" if s["min_chars"] else "false", "true" if s["precheck"] else "false")
+        for s in LONG_DOC_SOURCES)
+    mx = LONG.max_tok
+    lo, hi = LONG.trunc_lo, LONG.max_tok - LONG.trunc_margin
+    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    return S.duck_with("long_docs") + f"""
+, spec as (select * from (values {rows}) t(source_name, system, suffix, question_prefix, min_chars, precheck))
+, d as (select l.*, s.system, s.suffix, s.question_prefix, s.min_chars, s.precheck, {ws('l.text')} as text_tok
+        from long_docs l join spec s on l.source_name = s.source_name
+        where length(l.text) > 0 and (not s.min_chars or l.n_chars >= {LONG.min_chars})
+          and (s.question_prefix is null or length(l.question) > 0))
+, c as (select *, text_tok > {mx - LONG.over_margin} as truncated,
+          cast({lo} + (cast('0x' || substring(md5(concat(source_name, ':', cast(doc_id as varchar))), 1, 15) as bigint)
+               % {hi - lo + 1}) as int) as n_draw
+        from d where text_tok > {mx - LONG.over_margin} or not precheck or text_tok >= {LONG.min_tok - LONG.over_margin})
+, b as (select *, case when truncated then n_draw end as n_keep,
+          case when truncated then regexp_replace(array_to_string(list_slice(regexp_extract_all(text, '(\\S+\\s*)', 1), 1, n_draw), ''), '\\s+$', '')
+               else text end as body from c)
+, u as (select *, case when question_prefix is null then body || {sep} || suffix
+                       else body || {sep} || question_prefix || question end as user_content from b)
+, t as (select *, cast(2 + 4 + 1 + {ws('system')} + 4 + 1 + {ws('user_content')} as int) as n_tokens from u)
+{final}
+"""
+
+
+@register("long_doc_prompts", _long_sql(f"""
+select doc_id, source_name, truncated, n_tokens, md5(user_content) as content_md5 from t
+where n_tokens between {LONG.min_tok} and {LONG.max_tok}
+"""))
+def q_long_doc_prompts(spark, sf_dir):
+    c = D.long_doc_candidates(S.long_docs_df(spark, sf_dir), LONG)
+    return D.long_doc_prompts(c, LONG).select("doc_id", "source_name", "truncated", "n_tokens",
+                                              F.md5("user_content").alias("content_md5"))
+
+
+@register("truncate_docs", _long_sql(f"""
+select doc_id, source_name, n_keep, cast({ws('body')} as int) as kept_tokens, md5(body) as body_md5 from t where truncated
+"""))
+def q_truncate_docs(spark, sf_dir):
+    c = D.long_doc_candidates(S.long_docs_df(spark, sf_dir), LONG)
+    return c.filter("truncated").select("doc_id", "source_name", "n_keep",
+                                        F.regexp_count("body", F.lit(r"\S+")).cast("int").alias("kept_tokens"),
+                                        F.md5("body").alias("body_md5"))
+
+
+def _code_sql() -> str:
+    from ..specs import CODE_SYSTEM
+
+    nl = "chr(10)"
+    return S.duck_with("code_problems") + f"""
+, x as (select doc_id, text, inputs, outputs, least(len(inputs), len(outputs), 3) as n from code_problems
+        where length(text) >= 100)
+, u as (select doc_id, n, text
+          || case when len(inputs) > 0 and len(outputs) > 0 then {nl} || {nl} || 'Examples:' ||
+               array_to_string(list_transform(range(1, n + 1), lambda i:
+                 {nl} || {nl} || 'Input:' || {nl} || inputs[i] || {nl} || 'Output:' || {nl} || outputs[i]), '')
+             else '' end
+          || {nl} || {nl} || 'Provide an efficient solution in Python with clear comments.' as user_content
+        from x)
+select doc_id, cast(n as int) as n_examples, n_tokens, md5(user_content) as content_md5 from (
+  select *, cast(2 + 4 + 1 + {len(CODE_SYSTEM.split())} + 4 + 1 + {ws('user_content')} as int) as n_tokens from u) y
+where n_tokens between 500 and 8000
+"""
+
+
+@register("code_prompts", _code_sql())
+def q_code_prompts(spark, sf_dir):
+    out = D.code_prompts(S.code_problems_df(spark, sf_dir))
+    return out.select("doc_id", "n_examples", "n_tokens", F.md5("user_content").alias("content_md5"))
+
+
+def _traj_sql() -> str:
+    from ..specs import TRAJECTORY_FOLLOW_UP
+
+    follow = 4 + 1 + len(TRAJECTORY_FOLLOW_UP.split())
+    return f"""
+with f6 as (select *, row_number() over (partition by conv_id order by turn) as rn from conversations)
+, sizes as (select conv_id, count(*) as n_raw from conversations group by conv_id)
+, a as (select conv_id, count(*) as n, arg_max(role, turn) as last_role,
+          sum(4 + {ws('role')} + {ws('text')}) as tok
+        from f6 where rn <= 6 and role in ('system', 'user', 'assistant') and length(text) > 0 group by conv_id)
+, j as (select a.*, s.n_raw, last_role <> 'user' as appended from a join sizes s on a.conv_id = s.conv_id
+        where s.n_raw >= 2)
+select conv_id, n + case when appended then 1 else 0 end as n_messages, appended,
+  cast(2 + tok + case when appended then {follow} else 0 end as int) as n_tokens
+from j where 2 + tok + case when appended then {follow} else 0 end between 500 and 8000
+"""
+
+
+@register("trajectory_prompts", _traj_sql())
+def q_trajectory_prompts(spark, sf_dir):
+    turns = S.table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    return D.trajectory_prompts(turns)

@@ -270,3 +270,85 @@ def duck_with(*views: str) -> str:
     for v in views:
         add(v)
     return "with " + ",\n".join(_TEXT[v].strip() for v in order) + "\n"
+
+
+# ---------------------------------------------------------------------------
+# Curation inputs
+# ---------------------------------------------------------------------------
+
+def fc_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function-calling conversations: the chat log with a tool call on each
+    conversation's second assistant turn.  Argument text varies by
+    ``conv_id % 4``: an object, another object, broken JSON, a JSON array."""
+    from pyspark.sql import Window
+
+    c = chat_log_df(spark, sf_dir)
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    c = c.withColumn("_arank", F.row_number().over(w))
+    is_tc = (F.col("role") == "assistant") & (F.col("_arank") == 2)
+    return c.select(
+        "conv_id", "turn", "role", "content",
+        F.when(is_tc, F.concat(F.lit("f"), F.col("conv_id").cast("string"))).alias("tc_name"),
+        F.when(is_tc, F.expr("""case conv_id % 4
+            when 0 then concat('{"city":"c', conv_id, '","days":', turn, '}')
+            when 1 then '{"q":"x"}' when 2 then 'not json' else '[1,2]' end""")).alias("tc_args"),
+        F.when(F.col("conv_id") % 2 == 0, "hermes_fc").otherwise("toolace").alias("source"))
+
+
+def long_docs_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents assigned to the five long-document sources by the number in
+    their ``source``; question sources take the first line as the question."""
+    from ..specs import LONG_DOC_SOURCES
+
+    d = table(spark, sf_dir, "documents")
+    names = F.array(*[F.lit(s["source"]) for s in LONG_DOC_SOURCES])
+    idx = F.pmod(F.regexp_extract("source", r"(\d+)", 1).cast("int"), F.lit(len(LONG_DOC_SOURCES)))
+    return d.select("doc_id", "text", "n_chars", names[idx].alias("source_name"),
+                    F.substring_index("text", "\n", 1).alias("question"))
+
+
+def code_problems_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as problem statements; two ``benchmark`` passages serve as
+    one example input/output pair, absent when ``doc_id % 3 = 0``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    nb = b.select(F.count(F.lit(1))).scalar()
+    bi = b.select(F.col("item_id").alias("_i"), F.col("text").alias("_in"))
+    bo = b.select(F.col("item_id").alias("_o"), F.col("text").alias("_out"))
+    j = (d.withColumn("_i", F.pmod(F.col("doc_id"), nb)).withColumn("_o", F.pmod(F.col("doc_id") + 1, nb))
+         .join(bi, "_i", "left").join(bo, "_o", "left"))
+    has = (F.col("doc_id") % 3 != 0) & F.col("_in").isNotNull() & F.col("_out").isNotNull()
+    return j.select("doc_id", "text", "n_chars",
+                    F.when(has, F.array("_in")).otherwise(F.array().cast("array<string>")).alias("inputs"),
+                    F.when(has, F.array("_out")).otherwise(F.array().cast("array<string>")).alias("outputs"))
+
+
+DUCK_FC_TURNS = """
+fc_turns as (
+  select conv_id, turn, role, content,
+    case when role = 'assistant' and arank = 2 then concat('f', conv_id) end as tc_name,
+    case when role = 'assistant' and arank = 2 then
+      case conv_id % 4 when 0 then concat('{"city":"c', conv_id, '","days":', turn, '}')
+        when 1 then '{"q":"x"}' when 2 then 'not json' else '[1,2]' end end as tc_args,
+    case when conv_id % 2 = 0 then 'hermes_fc' else 'toolace' end as source
+  from (select *, row_number() over (partition by conv_id, role order by turn) as arank from chat_log))"""
+
+DUCK_LONG_DOCS = """
+long_docs as (
+  select doc_id, text, n_chars,
+    (['govreport', 'pg19', 'scrolls', 'longbench', 'longbench_v2'])[
+      (cast(regexp_extract(source, '(\\d+)', 1) as int) % 5) + 1] as source_name,
+    split_part(text, chr(10), 1) as question
+  from documents)"""
+
+DUCK_CODE_PROBLEMS = """
+code_problems as (
+  select d.doc_id, d.text, d.n_chars,
+    case when d.doc_id % 3 <> 0 and bi.text is not null and bo.text is not null then [bi.text] else [] end as inputs,
+    case when d.doc_id % 3 <> 0 and bi.text is not null and bo.text is not null then [bo.text] else [] end as outputs
+  from documents d
+  left join benchmark bi on bi.item_id = d.doc_id % (select count(*) from benchmark)
+  left join benchmark bo on bo.item_id = (d.doc_id + 1) % (select count(*) from benchmark))"""
+
+_DEPS.update({"fc_turns": ["chat_log"], "long_docs": [], "code_problems": []})
+_TEXT.update({"fc_turns": DUCK_FC_TURNS, "long_docs": DUCK_LONG_DOCS, "code_problems": DUCK_CODE_PROBLEMS})

@@ -120,3 +120,53 @@ def bucket_spec_df(spark: SparkSession, specs: dict | None = None) -> DataFrame:
     specs = specs or CATEGORY_SPECS
     rows = [(c, i, lo, hi) for c, s in specs.items() for i, (lo, hi) in enumerate(s["buckets"])]
     return spark.createDataFrame(rows, "category string, bucket int, lo int, hi int")
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: long-document sources.  ``suffix`` follows the document after
+# the separator; ``question_prefix`` is used by question sources instead.
+# ---------------------------------------------------------------------------
+SCROLLS_REPORT_TASK = "Please provide a comprehensive summary of the above government report."
+LONG_DOC_V2_SYSTEM = "You are a helpful assistant. Provide a detailed answer based on the context."
+LONG_DOC_V2_PREFIX = "Based on the above text, please answer: "
+LONG_DOC_SOURCES = [
+    {"source": "govreport", "system": LONG_DOC_SYSTEM, "suffix": LONG_DOC_REPORT_TASK,
+     "question_prefix": None, "min_chars": True, "precheck": True},
+    {"source": "pg19", "system": LONG_DOC_BOOK_SYSTEM, "suffix": LONG_DOC_BOOK_TASK,
+     "question_prefix": None, "min_chars": True, "precheck": True},
+    {"source": "scrolls", "system": LONG_DOC_SYSTEM, "suffix": SCROLLS_REPORT_TASK,
+     "question_prefix": None, "min_chars": True, "precheck": False},
+    {"source": "longbench", "system": LONG_DOC_QA_SYSTEM, "suffix": None,
+     "question_prefix": LONG_DOC_QA_PREFIX, "min_chars": False, "precheck": False},
+    {"source": "longbench_v2", "system": LONG_DOC_V2_SYSTEM, "suffix": None,
+     "question_prefix": LONG_DOC_V2_PREFIX, "min_chars": False, "precheck": False},
+]
+# FIXED VALUES: long-document limits at full scale.
+LONG_DOC_MIN_CHARS = 25000
+LONG_DOC_TRUNC_LO = 22000
+LONG_DOC_TRUNC_MARGIN = 2000
+LONG_DOC_OVER_MARGIN = 50
+
+
+@dataclass(frozen=True)
+class LongDocParams:
+    """Bounds of the long-document converter; defaults are the full-scale
+    values, tests pass smaller ones (the supplied corpora are shorter)."""
+
+    min_tok: int = 20000
+    max_tok: int = 70000
+    min_chars: int = LONG_DOC_MIN_CHARS
+    trunc_lo: int = LONG_DOC_TRUNC_LO
+    trunc_margin: int = LONG_DOC_TRUNC_MARGIN
+    over_margin: int = LONG_DOC_OVER_MARGIN
+
+
+def scaled_specs(factor: float) -> dict:
+    """Category specs with every token bound multiplied by ``factor`` (for
+    corpora shorter than real prompt sources)."""
+    out = {}
+    for c, s in CATEGORY_SPECS.items():
+        f = lambda x: int(round(x * factor))
+        out[c] = dict(s, min_tok=f(s["min_tok"]), max_tok=f(s["max_tok"]),
+                      buckets=[(f(lo), f(hi)) for lo, hi in s["buckets"]])
+    return out
