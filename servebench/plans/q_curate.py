@@ -318,3 +318,249 @@ from j where 2 + tok + case when appended then {follow} else 0 end between 500 a
 def q_trajectory_prompts(spark, sf_dir):
     turns = S.table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
     return D.trajectory_prompts(turns)
+
+
+# ---------------------------------------------------------------------------
+# Pool assembly
+# ---------------------------------------------------------------------------
+
+from ..catalog_support import inner, materialize  # noqa: E402
+from ..operators.curate import pool as PL  # noqa: E402
+from ..specs import SOURCE_SHARES  # noqa: E402
+
+_MAX_TOKENS = {c: s["max_tokens"] for c, s in CATEGORY_SPECS.items()}
+
+
+def _tool_prompts_df(spark, sf_dir):
+    turns = S.fc_turns_df(spark, sf_dir)
+    tools = TO.normalize_tools(S.tool_defs_df(spark, sf_dir)).withColumnRenamed("row_id", "conv_id")
+    src = turns.groupBy("conv_id").agg(F.max("source").alias("source"))
+    out = TO.cut_at_tool_call(turns, tools, lo=100, hi=16000)
+    return out.join(src, "conv_id").filter((F.col("source") != "toolace") | (F.col("n_tools") > 0))
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    """Every converter's output as uniform candidate rows."""
+    routed, multi = _route(spark, sf_dir)
+    mt_by_cat = F.create_map(*[x for c, m in _MAX_TOKENS.items() for x in (F.lit(c), F.lit(m))])
+    long = D.long_doc_prompts(D.long_doc_candidates(S.long_docs_df(spark, sf_dir), LONG), LONG)
+    parts = [
+        PL.make_candidates(routed, "wildchat", F.col("category"), "conv_id", max_tokens=mt_by_cat[F.col("category")]),
+        PL.make_candidates(multi, "wildchat", "multi_turn", "conv_id", max_tokens=_MAX_TOKENS["multi_turn"]),
+        PL.make_candidates(D.math_prompts(S.table(spark, sf_dir, "documents")), "gsm8k", "reasoning", "doc_id",
+                           max_tokens=_MAX_TOKENS["reasoning"]),
+        PL.make_candidates(D.code_prompts(S.code_problems_df(spark, sf_dir)), "code_contests", "code_generation",
+                           "doc_id", max_tokens=_MAX_TOKENS["code_generation"]),
+        PL.make_candidates(D.trajectory_prompts(S.table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")),
+                           "swe_smith", "code_generation", "conv_id", max_tokens=_MAX_TOKENS["code_generation"]),
+        PL.make_candidates(long, F.col("source_name"), "long_context", "doc_id", max_tokens=_MAX_TOKENS["long_context"]),
+        PL.make_candidates(_tool_prompts_df(spark, sf_dir), F.col("source"), "tool_call", "conv_id",
+                           max_tokens=_MAX_TOKENS["tool_call"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _plan_inputs(spark, sf_dir):
+    total = total_prompts(spark, sf_dir)
+    targets = PL.category_targets(total)
+    quotas = PL.source_quotas(targets)
+    return targets, quotas
+
+
+def admitted(spark, sf_dir):
+    """Admitted candidates, materialised in the shared checkpoint folder: the
+    sampling steps read them several times."""
+    _, quotas = _plan_inputs(spark, sf_dir)
+    return materialize(PL.admit_first_n(candidates(spark, sf_dir), quotas))
+
+
+def bucketed(spark, sf_dir):
+    return PL.token_bucket(admitted(spark, sf_dir))
+
+
+def sampled(spark, sf_dir, seed: int = 0):
+    targets, _ = _plan_inputs(spark, sf_dir)
+    return materialize(PL.sample_balanced(bucketed(spark, sf_dir), targets, seed))
+
+
+# --- SQL side -------------------------------------------------------------
+
+def _cand_sql() -> str:
+    from .catalog import _ORACLE
+
+    def idx(src: str, cat: str, origin: str) -> str:
+        return f"substring(md5(concat_ws(':', {src}, {cat}, cast({origin} as varchar))), 1, 12)"
+
+    mt_case = "case category " + " ".join(f"when '{c}' then {m}" for c, m in _MAX_TOKENS.items()) + " end"
+    parts = [
+        f"select {idx(chr(39)+'wildchat'+chr(39), 'category', 'conv_id')} as id, 'wildchat' as source, category, "
+        f"cast(conv_id as bigint) as origin, cast(n_tokens as int) as n_tokens, cast({mt_case} as int) as max_tokens "
+        f"from {inner(_ORACLE['route_chat'])} x",
+        f"select {idx(chr(39)+'wildchat'+chr(39), chr(39)+'multi_turn'+chr(39), 'conv_id')}, 'wildchat', 'multi_turn', "
+        f"cast(conv_id as bigint), cast(n_tokens as int), {_MAX_TOKENS['multi_turn']} from {inner(_ORACLE['multi_turn'])} x",
+        f"select {idx(chr(39)+'gsm8k'+chr(39), chr(39)+'reasoning'+chr(39), 'doc_id')}, 'gsm8k', 'reasoning', "
+        f"cast(doc_id as bigint), cast(n_tokens as int), {_MAX_TOKENS['reasoning']} from {inner(_ORACLE['math_prompts'])} x",
+        f"select {idx(chr(39)+'code_contests'+chr(39), chr(39)+'code_generation'+chr(39), 'doc_id')}, 'code_contests', "
+        f"'code_generation', cast(doc_id as bigint), cast(n_tokens as int), {_MAX_TOKENS['code_generation']} "
+        f"from {inner(_ORACLE['code_prompts'])} x",
+        f"select {idx(chr(39)+'swe_smith'+chr(39), chr(39)+'code_generation'+chr(39), 'conv_id')}, 'swe_smith', "
+        f"'code_generation', cast(conv_id as bigint), cast(n_tokens as int), {_MAX_TOKENS['code_generation']} "
+        f"from {inner(_ORACLE['trajectory_prompts'])} x",
+        f"select {idx('source_name', chr(39)+'long_context'+chr(39), 'doc_id')}, source_name, 'long_context', "
+        f"cast(doc_id as bigint), cast(n_tokens as int), {_MAX_TOKENS['long_context']} "
+        f"from {inner(_ORACLE['long_doc_prompts'])} x",
+        f"select {idx('src', chr(39)+'tool_call'+chr(39), 'conv_id')}, src, 'tool_call', cast(conv_id as bigint), "
+        f"cast(n_tokens as int), {_MAX_TOKENS['tool_call']} from (select *, case when conv_id % 2 = 0 then 'hermes_fc' "
+        f"else 'toolace' end as src from {inner(_ORACLE['tool_prompts'])} y) x",
+    ]
+    return "\nunion all\n".join(parts)
+
+
+def _targets_sql() -> str:
+    return "\nunion all\n".join(f"select '{c}' as category, {target_sql(c)} as target" for c in CATEGORY_SPECS)
+
+
+def _quotas_sql() -> str:
+    rows = []
+    for cat, lst in SOURCE_SHARES.items():
+        for src, share in lst:
+            rows.append(f"select '{src}' as source, '{cat}' as category, "
+                        f"cast(floor(3 * {target_sql(cat)} * cast({share!r} as double)) as bigint) as quota")
+    return "\nunion all\n".join(rows)
+
+
+def _buckets_sql() -> str:
+    return ", ".join(f"('{c}', {i}, {lo}, {hi})" for c, s in CATEGORY_SPECS.items()
+                     for i, (lo, hi) in enumerate(s["buckets"]))
+
+
+def _pool_sql() -> str:
+    return f"""with cands as ({_cand_sql()})
+, q as ({_quotas_sql()})
+, ad as (
+  select c.id, c.source, c.category, c.origin, c.n_tokens, c.max_tokens from (
+    select c.*, row_number() over (partition by c.source, c.category order by c.origin) as rn
+    from cands c where exists (select 1 from q where q.source = c.source and q.category = c.category)) c
+  join q on q.source = c.source and q.category = c.category where c.rn <= q.quota
+  union all
+  select * from cands c where not exists (select 1 from q where q.source = c.source and q.category = c.category))
+, bs as (select * from (values {_buckets_sql()}) t(category, bucket, lo, hi))
+, bk as (select ad.*, bs.bucket from ad left join bs
+         on bs.category = ad.category and ad.n_tokens >= bs.lo and ad.n_tokens < bs.hi)
+, tg as (select category, target, greatest(1, target // 4) as per_bucket from ({_targets_sql()}) t)
+, k as (select *, md5(id || '#' || '0') as ok from bk)
+, picks as (
+  select k.id, k.source, k.category, k.origin, k.n_tokens, k.max_tokens, k.bucket, k.ok, 0 as phase, k.bucket as b, k.rn
+  from (select *, row_number() over (partition by category, bucket order by ok) as rn from k where bucket is not null) k
+  join tg on tg.category = k.category where k.rn <= tg.per_bucket)
+, np as (select category, count(*) as np from picks group by 1)
+, rem as (select tg.category, tg.target - coalesce(np.np, 0) as remaining from tg left join np on tg.category = np.category)
+, top as (
+  select l.id, l.source, l.category, l.origin, l.n_tokens, l.max_tokens, l.bucket, l.ok, 1 as phase, -1 as b, l.rn
+  from (select *, row_number() over (partition by category order by ok) as rn from k
+        where id not in (select id from picks)) l
+  join rem on rem.category = l.category where l.rn <= rem.remaining)
+, bothp as (select * from picks union all select * from top)
+, fin as (select *, row_number() over (partition by category order by phase, b, rn) as sample_rank from bothp)
+, sampled as (select fin.* from fin join tg on tg.category = fin.category where fin.sample_rank <= tg.target)
+"""
+
+
+@register("category_targets", f"""
+with tg as ({_targets_sql()}), q as ({_quotas_sql()})
+select q.source, q.category, cast(tg.target as int) as target, cast(3 * tg.target as int) as fetch_target,
+  cast(q.quota as int) as quota
+from q join tg on q.category = tg.category
+""")
+def q_category_targets(spark, sf_dir):
+    targets, quotas = _plan_inputs(spark, sf_dir)
+    return PL.targets_df(spark, targets, quotas)
+
+
+@register("admit_first_n", _pool_sql() + """
+select id, source, category, origin, n_tokens, max_tokens from ad
+""")
+def q_admit_first_n(spark, sf_dir):
+    return admitted(spark, sf_dir)
+
+
+@register("token_bucket", _pool_sql() + """
+select id, category, n_tokens, bucket from bk
+""")
+def q_token_bucket(spark, sf_dir):
+    return bucketed(spark, sf_dir).select("id", "category", "n_tokens", "bucket")
+
+
+@register("sample_balanced", _pool_sql() + """
+select id, category, bucket, n_tokens, cast(sample_rank as int) as sample_rank from sampled
+""")
+def q_sample_balanced(spark, sf_dir):
+    return sampled(spark, sf_dir).select("id", "category", "bucket", "n_tokens",
+                                         F.col("sample_rank").cast("int").alias("sample_rank"))
+
+
+@register("pool_stats", _pool_sql() + """
+, ps as (select category, count(*) as pool_size from ad group by 1)
+, ss as (select category, count(*) as cnt, min(n_tokens) as mn, max(n_tokens) as mx from sampled group by 1)
+select ps.category, coalesce(ss.cnt, 0) as count, cast(tg.target as int) as target, ps.pool_size,
+  coalesce(ss.mn, 0) as min_tokens, coalesce(ss.mx, 0) as max_tokens
+from ps join tg on ps.category = tg.category left join ss on ss.category = ps.category
+""")
+def q_pool_stats(spark, sf_dir):
+    targets, _ = _plan_inputs(spark, sf_dir)
+    return PL.pool_stats(sampled(spark, sf_dir), admitted(spark, sf_dir), targets)
+
+
+@register("category_counts", _pool_sql() + """
+select category, count(*) as n, round(count(*) * 100e0 / (select count(*) from sampled), 6) as pct
+from sampled group by 1
+""")
+def q_category_counts(spark, sf_dir):
+    return PL.category_counts(sampled(spark, sf_dir))
+
+
+_WEIGHTS_VALUES = ", ".join(f"('{c}', cast({s['weight']!r} as double))" for c, s in CATEGORY_SPECS.items())
+_NW_SQL = f"""
+, present as (select category, count(*) as n_prompts from sampled group by 1)
+, wj as (select p.category, p.n_prompts, coalesce(w.weight, 0e0) as weight
+         from present p left join (values {_WEIGHTS_VALUES}) w(category, weight) on w.category = p.category)
+, wt as (select sum(weight) as tot, count(*) as cnt from wj)
+, shares as (select wj.category, wj.n_prompts,
+               case when wt.tot = 0 or wt.tot is null then 1e0 else wj.weight end as weight,
+               round(case when wt.tot = 0 or wt.tot is null then 1e0 / wt.cnt else wj.weight / wt.tot end, 6) as share
+             from wj, wt)
+"""
+
+
+@register("normalize_weights", _pool_sql() + _NW_SQL + """
+select category, n_prompts, weight, share from shares
+""")
+def q_normalize_weights(spark, sf_dir):
+    return PL.normalize_weights(sampled(spark, sf_dir), {c: s["weight"] for c, s in CATEGORY_SPECS.items()})
+
+
+@register("request_plan", _pool_sql() + _NW_SQL + "," + S.duck_with("requests").strip()[4:] + """
+, cum as (select category, share,
+            sum(share) over (order by category rows between unbounded preceding and current row) as hi
+          from shares)
+, cum2 as (select c.category, c.hi, c.hi - c.share as lo, z.size
+           from cum c join (select category, count(*) as size from sampled group by 1) z on z.category = c.category)
+, draws as (select request_id,
+              cast('0x' || substring(md5('cat#' || cast(request_id as varchar) || '#0'), 1, 15) as bigint)
+                / 1152921504606846976e0 as u,
+              cast('0x' || substring(md5('pick#' || cast(request_id as varchar) || '#0'), 1, 15) as bigint) as h
+            from requests)
+, pj as (select d.request_id, c.category, d.h % c.size as pos from draws d join cum2 c
+         on d.u >= c.lo and (d.u < c.hi or c.hi = (select max(hi) from cum2)))
+, ranked as (select category, id, row_number() over (partition by category order by id) - 1 as pos from sampled)
+select pj.request_id, pj.category, ranked.id as prompt_id
+from pj join ranked on ranked.category = pj.category and ranked.pos = pj.pos
+""")
+def q_request_plan(spark, sf_dir):
+    pool = sampled(spark, sf_dir)
+    shares = PL.normalize_weights(pool, {c: s["weight"] for c, s in CATEGORY_SPECS.items()})
+    keys = S.requests_df(spark, sf_dir).select("request_id")
+    return PL.request_plan(keys, pool, shares)
