@@ -46,7 +46,20 @@ def _epoch_micros(df: DataFrame, col: str) -> str:
 # ---------------------------------------------------------------------------
 
 def requests_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return requests_from_events(table(spark, sf_dir, "events"))
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table as a streaming file source (one file per table, so the
+    folder is read with a glob filter)."""
+    schema = table(spark, sf_dir, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf_dir.rstrip("/")))
+
+
+def requests_from_events(ev: DataFrame) -> DataFrame:
+    """The request-log stand-in from an ``events`` DataFrame (batch or
+    streaming: the derivation is a stateless projection)."""
     us = _epoch_micros(ev, "ts")
     e = ev.selectExpr(
         "event_id", "user_id", "event_type", "value",
