@@ -141,3 +141,22 @@ def trajectory_prompts(turns: DataFrame, key: str = "conv_id", order: str = "tur
 
 __all__ = ["math_prompts", "long_doc_candidates", "long_doc_prompts", "ws_truncate", "code_prompts",
            "trajectory_prompts", "strip_ws"]
+
+
+def trajectory_messages(turns: DataFrame, chosen: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Message lists of the chosen trajectories: the kept messages among the
+    first six, plus the follow-up user turn when the last is not a user turn.
+    Collected only for chosen keys (at most seven messages each)."""
+    w = Window.partitionBy(key).orderBy(order)
+    role = F.coalesce(F.col("role"), F.lit("user"))
+    rows = (turns.join(chosen.select(key), key, "left_semi")
+            .select("*", F.row_number().over(w).alias("_rn"))
+            .filter((F.col("_rn") <= TRAJECTORY_MAX_MESSAGES) & role.isin(*TRAJECTORY_ROLES)
+                    & (F.length("content") > 0)))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), role.alias("role"),
+                                                 F.col("content").cast("string").alias("content"))))
+    m = rows.groupBy(key).agg(parts.alias("_m")).select(
+        key, F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("_m"))
+    follow = F.array(F.struct(F.lit("user").alias("role"), F.lit(TRAJECTORY_FOLLOW_UP).alias("content")))
+    return m.select(key, F.when(F.element_at("_m", -1)["role"] != "user", F.concat("_m", follow))
+                    .otherwise(F.col("_m")).alias("messages"))

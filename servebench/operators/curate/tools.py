@@ -92,3 +92,26 @@ def cut_at_tool_call(turns: DataFrame, tools: DataFrame | None = None, key: str
         cond = cond & (~require_tools | (n_tools > 0))
     return j.select("*", tok.alias("n_tokens"), req.alias("exp_args"), n_tools.alias("_nt")).filter(cond).select(
         key, "n_messages", F.col("_nt").alias("n_tools"), "n_tokens", "exp_name", "exp_args")
+
+
+def tool_prompt_messages(turns: DataFrame, chosen: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Prompt message lists (turns before the first tool call) of the chosen
+    conversations, collected only for those keys."""
+    role = F.col("role")
+    t = turns.join(chosen.select(key), key, "left_semi")
+    is_tc = (role == "assistant") & F.col("tc_name").isNotNull()
+    cut = t.groupBy(key).agg(F.min(F.when(is_tc, F.col(order))).alias("_cut"))
+    keep = role.isin("system", "user", "assistant") & (F.length("content") > 0)
+    before = t.join(cut, key).filter(keep & (F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), role.alias("role"),
+                                                 F.col("content").alias("content"))))
+    return before.groupBy(key).agg(parts.alias("_m")).select(
+        key, F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+        .alias("messages"))
+
+
+def tool_structs(tools: Column) -> Column:
+    """Normalised tool JSON texts as ``struct<type, function>`` (function
+    kept as JSON text: its schema is open)."""
+    return F.transform(tools, lambda e: F.struct(F.get_json_object(e, "$.type").alias("type"),
+                                                 F.get_json_object(e, "$.function").alias("function")))

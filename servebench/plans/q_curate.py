@@ -364,17 +364,30 @@ def candidates(spark, sf_dir) -> DataFrame:
 
 
 def _plan_inputs(spark, sf_dir):
-    total = total_prompts(spark, sf_dir)
+    total = _memo("total", spark, sf_dir, lambda: total_prompts(spark, sf_dir))
     targets = PL.category_targets(total)
     quotas = PL.source_quotas(targets)
     return targets, quotas
 
 
+_MEMO: dict = {}
+
+
+def _memo(kind: str, spark, sf_dir, build):
+    """Reuse a materialised stage within one session (its checkpoint files
+    live as long as the session)."""
+    k = (kind, id(spark), spark.sparkContext.applicationId, sf_dir)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def admitted(spark, sf_dir):
     """Admitted candidates, materialised in the shared checkpoint folder: the
     sampling steps read them several times."""
     _, quotas = _plan_inputs(spark, sf_dir)
-    return materialize(PL.admit_first_n(candidates(spark, sf_dir), quotas))
+    return _memo("admitted", spark, sf_dir,
+                 lambda: materialize(PL.admit_first_n(candidates(spark, sf_dir), quotas)))
 
 
 def bucketed(spark, sf_dir):
@@ -383,7 +396,8 @@ def bucketed(spark, sf_dir):
 
 def sampled(spark, sf_dir, seed: int = 0):
     targets, _ = _plan_inputs(spark, sf_dir)
-    return materialize(PL.sample_balanced(bucketed(spark, sf_dir), targets, seed))
+    return _memo(f"sampled{seed}", spark, sf_dir,
+                 lambda: materialize(PL.sample_balanced(bucketed(spark, sf_dir), targets, seed)))
 
 
 # --- SQL side -------------------------------------------------------------

@@ -1,5 +1,160 @@
-"""Queries registered by this module."""
+"""Source/sink queries (A1-A7) and the end-to-end pool build."""
 
 from __future__ import annotations
 
-from .catalog import register  # noqa: F401
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..catalog_support import inner, materialize
+from ..functions.columns import r6
+from ..operators.curate import chat as C
+from ..operators.curate import documents as D
+from ..operators.curate import pool as PL
+from ..operators.curate import tools as TO
+from ..operators.curate.common import msg
+from ..session import scratch_path
+from ..sources import io as IO
+from ..sources import standins as S
+from ..specs import CATEGORY_SPECS, CODE_SYSTEM, MATH_SYSTEM
+from . import q_curate as QC
+from .catalog import _ORACLE, register
+
+EMPTY_TOOLS = F.lit(None).cast("array<struct<type:string,function:string>>")
+EMPTY_EXP = F.lit(None).cast("struct<name:string,required_args:array<string>>")
+
+
+def _entry_parts(spark, sf_dir, chosen: DataFrame) -> DataFrame:
+    """(source, category, origin, messages, tools, expected_tool) of the
+    chosen candidates.  Collected message lists are built only for chosen
+    keys; projections are joined to the (small) chosen set."""
+    def keys(src_filter):
+        return chosen.filter(src_filter).select(F.col("origin").alias("_o"), "source", "category")
+
+    def attach(df, key, src_filter, messages, tools=EMPTY_TOOLS, exp=EMPTY_EXP):
+        k = keys(src_filter).withColumnRenamed("source", "_src").withColumnRenamed("category", "_cat")
+        j = df.join(k, df[key] == k["_o"])
+        return j.select(F.col("_src").alias("source"), F.col("_cat").alias("category"), F.col("_o").alias("origin"),
+                        messages.alias("messages"), tools.alias("tools"), exp.alias("expected_tool"))
+
+    passing = C.first_user_turn(QC.chat_facts(spark, sf_dir), QC.LANGS)
+    chat_log = S.chat_log_df(spark, sf_dir)
+    is_wc = (F.col("source") == "wildchat")
+    parts = [
+        attach(passing, "conv_id", is_wc & (F.col("category") != "multi_turn"),
+               F.array(msg("user", F.col("first_user")))),
+    ]
+    mt_keys = keys(is_wc & (F.col("category") == "multi_turn")).select(F.col("_o").alias("conv_id"))
+    parts.append(attach(C.multi_turn_messages(chat_log, mt_keys), "conv_id",
+                        is_wc & (F.col("category") == "multi_turn"), F.col("messages")))
+    docs = S.table(spark, sf_dir, "documents")
+    parts.append(attach(docs, "doc_id", F.col("source") == "gsm8k",
+                        F.array(msg("system", F.lit(MATH_SYSTEM)), msg("user", F.col("text")))))
+    code = D.code_prompts(S.code_problems_df(spark, sf_dir))
+    parts.append(attach(code, "doc_id", F.col("source") == "code_contests",
+                        F.array(msg("system", F.lit(CODE_SYSTEM)), msg("user", F.col("user_content")))))
+    conv = S.table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    tj_keys = keys(F.col("source") == "swe_smith").select(F.col("_o").alias("conv_id"))
+    parts.append(attach(D.trajectory_messages(conv, tj_keys), "conv_id", F.col("source") == "swe_smith",
+                        F.col("messages")))
+    long = D.long_doc_candidates(S.long_docs_df(spark, sf_dir), QC.LONG)
+    long_src = [s for s in ("govreport", "pg19", "scrolls", "longbench", "longbench_v2")]
+    parts.append(attach(long, "doc_id", F.col("source").isin(*long_src) & (F.col("category") == "long_context"),
+                        F.array(msg("system", F.col("system")), msg("user", F.col("user_content"))))
+                 .join(chosen.select(F.col("origin"), "source"), ["origin", "source"], "left_semi"))
+    turns = S.fc_turns_df(spark, sf_dir)
+    tc_keys = keys(F.col("category") == "tool_call").select(F.col("_o").alias("conv_id"))
+    tmsgs = TO.tool_prompt_messages(turns, tc_keys)
+    tools = TO.normalize_tools(S.tool_defs_df(spark, sf_dir)).withColumnRenamed("row_id", "conv_id")
+    tp = QC._tool_prompts_df(spark, sf_dir).join(tmsgs, "conv_id").join(tools.select("conv_id", "tools"), "conv_id", "left")
+    exp = F.when(F.col("exp_name").isNotNull(), F.struct(
+        F.col("exp_name").alias("name"),
+        F.when(F.col("exp_args") == "", F.array().cast("array<string>"))
+        .otherwise(F.split("exp_args", ",")).alias("required_args")))
+    tool_list = F.when(F.size("tools") > 0, TO.tool_structs(F.col("tools")))
+    parts.append(attach(tp, "conv_id", F.col("category") == "tool_call", F.col("messages"), tool_list, exp))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def build_pool(spark, sf_dir, seed: int = 0) -> DataFrame:
+    """E1-E22 end to end: converters -> union -> first-N admission ->
+    buckets -> balanced sample -> entries with message lists, in shuffled
+    order (``pool_order``).  Materialised in the shared checkpoint folder."""
+    sampled = QC.sampled(spark, sf_dir, seed)
+    parts = _entry_parts(spark, sf_dir, sampled)
+    entries = sampled.join(parts, ["source", "category", "origin"])
+    return materialize(entries.select(
+        "id", "category", "source", "messages", "tools", "expected_tool", "max_tokens",
+        F.col("n_tokens").alias("input_token_count"),
+        F.create_map(F.lit("origin"), F.col("origin").cast("string")).alias("source_metadata"), "pool_order"))
+
+
+@register("build_pool")
+def q_build_pool(spark, sf_dir):
+    p = build_pool(spark, sf_dir)
+    return p.select("id", "category", "source", F.size("messages").alias("n_messages"), "input_token_count",
+                    "max_tokens", F.col("tools").isNotNull().alias("has_tools"),
+                    F.col("expected_tool").isNotNull().alias("has_expected_tool"))
+
+
+def _written_pool(spark, sf_dir) -> str:
+    path = scratch_path(spark, "pool")
+    pool = build_pool(spark, sf_dir)
+    IO.write_prompt_pool(pool, path, force=True, stats=PL.pool_stats(QC.sampled(spark, sf_dir),
+                                                                     QC.admitted(spark, sf_dir),
+                                                                     QC._plan_inputs(spark, sf_dir)[0]))
+    return path
+
+
+@register("pool_roundtrip", QC._pool_sql() + """
+select id, category, source, max_tokens, n_tokens as input_token_count from sampled
+""")
+def q_pool_roundtrip(spark, sf_dir):
+    prompts, _ = IO.read_prompt_pool(spark, _written_pool(spark, sf_dir))
+    return prompts.select("id", "category", "source", "max_tokens", "input_token_count")
+
+
+@register("pool_load")
+def q_pool_load(spark, sf_dir):
+    """Load a written pool plus rejects: rows with their validity flag."""
+    path = _written_pool(spark, sf_dir)
+    prompts, rejects = IO.read_prompt_pool(spark, path)
+    return (prompts.select("id", "category", F.lit(True).alias("valid"))
+            .unionByName(rejects.select("id", "category", F.lit(False).alias("valid"))))
+
+
+@register("validate_pool")
+def q_validate_pool(spark, sf_dir):
+    prompts, _ = IO.read_prompt_pool(spark, _written_pool(spark, sf_dir))
+    return PL.validate_pool(prompts)
+
+
+# Like the reference's CSV, NULL and empty text are both written as empty
+# fields, so a reader of the file sees NULL for an empty error text.
+@register("request_export", _ORACLE["record_export"].replace(
+    "select w.request_id, cast(w.request_id as varchar) as prompt_id", "select cast(w.request_id as varchar) as prompt_id")
+    .replace(", round(ia.itl_avg, 6) as itl_avg", "")
+    .replace("'' as error", "cast(null as varchar) as error"))
+def q_request_export(spark, sf_dir):
+    from .q_wire import q_record_export
+
+    rec = q_record_export(spark, sf_dir).drop("request_id", "itl_avg")
+    path = scratch_path(spark, "requests_csv")
+    IO.write_request_csv(rec, path)
+    return IO.read_request_csv(spark, path)
+
+
+@register("run_report")
+def q_run_report(spark, sf_dir):
+    from . import q_analytics as QA
+
+    rep = IO.run_report(QA.q_run_summary(spark, sf_dir), QA.q_throughput_timeseries(spark, sf_dir),
+                        QA.samples(spark, sf_dir), QA.q_effective_concurrency(spark, sf_dir),
+                        {"duration_seconds": QA.DUR, "warmup_seconds": QA.WARM, "api_key": "secret"})
+    path = scratch_path(spark, "run_report")
+    IO.write_run_json(rep, path)
+    return spark.read.text(path).select(F.length("value").alias("report_chars"),
+                                        F.get_json_object("value", "$.metrics.total_requests").alias("total_requests"),
+                                        F.get_json_object("value", "$.config.api_key").isNull().alias("key_dropped"))
