@@ -42,3 +42,10 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     _load_all()
     return dict(_ORACLE)
+
+
+def reset_caches() -> None:
+    """Forget materialised stages kept between queries of one session."""
+    from . import q_curate
+
+    q_curate._MEMO.clear()
