@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS, token_count
-from ..wire import json_object_valid
+from ..wire import json_object_valid, strip_ws
 from .common import within
 
 WRAP_PREFIX = '{"type":"function","function":'
@@ -115,3 +115,142 @@ def tool_structs(tools: Column) -> Column:
     kept as JSON text: its schema is open)."""
     return F.transform(tools, lambda e: F.struct(F.get_json_object(e, "$.type").alias("type"),
                                                  F.get_json_object(e, "$.function").alias("function")))
+
+
+# FIXED VALUES: role names of the raw function-calling format.
+RAW_ROLES = {"system": "system", "human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant"}
+TOOL_TAG = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
+
+
+def map_raw_roles(c: Column) -> Column:
+    out = None
+    for raw, role in RAW_ROLES.items():
+        out = (F.when(c == raw, F.lit(role)) if out is None else out.when(c == raw, F.lit(role)))
+    return out
+
+
+def cut_at_tool_tag(turns: DataFrame, tools: DataFrame | None = None, key: str = "conv_id", order: str = "turn",
+                    lo: int = 100, hi: int = 16000, counter: str = "ws") -> DataFrame:
+    """Raw ``from/value`` conversations (E6): ``human`` -> user, ``gpt`` ->
+    assistant; the first assistant value holding a ``<tool_call>{...}
+    </tool_call>`` block ends the prompt, even when its JSON is bad (then no
+    expectation).  A call whose ``arguments`` is present but not an object
+    drops the conversation.  Then as :func:`cut_at_tool_call`."""
+    role = map_raw_roles(F.col("from"))
+    value = F.col("value")
+    nonempty = F.length(value) > 0
+    tagged = nonempty & (role == "assistant") & value.rlike(TOOL_TAG)
+    t = turns.select(key, order, role.alias("role"), value.alias("content"),
+                     F.when(tagged, F.regexp_extract(value, TOOL_TAG, 1)).alias("_tc"))
+    cut = t.groupBy(key).agg(F.min(F.when(F.col("_tc").isNotNull(), F.col(order))).alias("_cut"),
+                             F.min_by("_tc", F.when(F.col("_tc").isNotNull(), F.col(order))).alias("_tc"))
+    before = (t.drop("_tc").join(cut.select(key, "_cut"), key)
+              .filter(F.col("role").isNotNull() & (F.length("content") > 0)
+                      & (F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))))
+    agg = before.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("role") == "user").alias("_n_user"),
+        F.sum(F.lit(PER_MESSAGE_TOKENS) + token_count("role", counter) + token_count("content", counter)).alias("_tok"))
+    j = agg.join(cut, key)
+    if tools is not None:
+        j = j.join(tools.select(key, "n_tools", "tools_text"), key, "left")
+    else:
+        j = j.withColumn("n_tools", F.lit(0)).withColumn("tools_text", F.lit(None).cast("string"))
+    n_tools = F.coalesce("n_tools", F.lit(0))
+    tok = (F.lit(REPLY_PRIMING_TOKENS) + F.col("_tok")
+           + F.when(n_tools > 0, tools_tokens(F.col("tools_text"), counter)).otherwise(F.lit(0))).cast("int")
+    tc = F.col("_tc")
+    ok_json = tc.isNotNull() & json_object_valid(tc)
+    args = F.get_json_object(tc, "$.arguments")
+    has_args = F.array_contains(F.coalesce(F.json_object_keys(tc), F.array().cast("array<string>")), "arguments")
+    args_obj = json_object_valid(args)
+    exp_name = F.when(ok_json, F.coalesce(F.get_json_object(tc, "$.name"), F.lit("")))
+    exp_args = F.when(ok_json, F.when(has_args, F.array_join(F.json_object_keys(args), ",")).otherwise(F.lit("")))
+    dropped = ok_json & has_args & ~F.coalesce(args_obj, F.lit(False))
+    cond = (F.col("n_messages") > 0) & (F.col("_n_user") > 0) & within(tok, lo, hi) & ~dropped
+    return j.select("*", tok.alias("n_tokens"), exp_name.alias("exp_name"), exp_args.alias("exp_args"),
+                    n_tools.alias("_nt"), cond.alias("_ok")).filter("_ok").select(
+        key, "n_messages", F.col("_nt").alias("n_tools"), "n_tokens", "exp_name", "exp_args")
+
+
+# FIXED VALUES: transcript markers and the end markers of a call, in the
+# order they are tried.
+USER_MARK = "USER: "
+ASSISTANT_MARK = "ASSISTANT: "
+CALL_MARK = "<functioncall>"
+CALL_END_MARKERS = ("</functioncall>", "</", "\n\n", "\nFUNCTION")
+BRACKET_SPAN = r"(\[[\s\S]*?\])"
+
+
+def _after(c: Column, mark: str) -> Column:
+    return F.substring(c, F.instr(c, mark) + len(mark), 1 << 30)
+
+
+def transcript_tools(system: Column) -> Column:
+    """Tool list from a system text: the first bracketed span (shortest
+    match) that parses to a non-empty list whose first item mentions
+    ``name``; a span that does not parse ends the search with no tools."""
+    spans = F.regexp_extract_all(F.coalesce(system, F.lit("")), F.lit(BRACKET_SPAN), 1)
+    bad = F.array_position(F.transform(spans, lambda s: F.try_parse_json(s).isNull()), True)
+    good = F.array_position(F.transform(spans, lambda s: F.coalesce(
+        F.from_json(s, "array<string>")[0].contains("name"), F.lit(False))), True)
+    pick = F.when((good > 0) & ((bad == 0) | (good < bad)), F.element_at(spans, good.cast("int")))
+    return F.when(pick.isNotNull(), F.filter(F.transform(parse_tool_list(pick), normalize_tool), lambda x: x.isNotNull()))
+
+
+def split_transcript(transcripts: DataFrame, key: str = "conv_id", lo: int = 100, hi: int = 16000,
+                     counter: str = "ws") -> DataFrame:
+    """``USER: ... ASSISTANT: ...`` transcripts -> tool-call prompts.
+
+    The chat is split on the user marker (one row per part, ``posexplode``).
+    The first part whose assistant text holds a parseable call ends the
+    prompt; the call text runs to the first end marker present (tried in
+    order) and is retried with single quotes turned double.  Earlier parts
+    with an unparseable call keep their user turn but lose the assistant
+    turn.  Only transcripts with a call are kept; tool tokens are not counted.
+    """
+    parts = transcripts.select(key, "system", F.posexplode(F.split("chat", USER_MARK, -1)).alias("pos", "part")) \
+        .filter("pos >= 1")
+    part = F.col("part")
+    has_a = F.instr(part, ASSISTANT_MARK) > 0
+    user = strip_ws(F.when(has_a, F.substring_index(part, ASSISTANT_MARK, 1)).otherwise(part))
+    rest = F.when(has_a, _after(part, ASSISTANT_MARK))
+    has_fc = F.coalesce(rest.contains(CALL_MARK), F.lit(False))
+    fc = _after(rest, CALL_MARK)
+    cut = None
+    for m in CALL_END_MARKERS:
+        cut = (F.when(fc.contains(m), F.substring_index(fc, m, 1)) if cut is None
+               else cut.when(fc.contains(m), F.substring_index(fc, m, 1)))
+    fc_s = strip_ws(cut.otherwise(fc))
+    fc_q = F.regexp_replace(fc_s, "'", '"')
+    parsed = F.when(has_fc & json_object_valid(fc_s), fc_s).when(has_fc & json_object_valid(fc_q), fc_q)
+    p = parts.select(key, "system", "pos", user.alias("user"), has_a.alias("has_a"), has_fc.alias("has_fc"),
+                     strip_ws(rest).alias("assistant"), parsed.alias("call"))
+    first = p.groupBy(key).agg(F.min(F.when(F.col("call").isNotNull(), F.col("pos"))).alias("_cut"),
+                               F.min_by("call", F.when(F.col("call").isNotNull(), F.col("pos"))).alias("call"),
+                               F.first("system").alias("system"))
+    first = first.filter(F.col("_cut").isNotNull())
+    msg_tok = F.lit(PER_MESSAGE_TOKENS) + token_count(F.lit("user"), counter) + token_count("user", counter)
+    asst_tok = F.when(F.col("has_a") & ~F.col("has_fc"),
+                      F.lit(PER_MESSAGE_TOKENS) + token_count(F.lit("assistant"), counter)
+                      + token_count("assistant", counter)).otherwise(F.lit(0))
+    upto = p.drop("system", "call").join(first.select(key, "_cut"), key).filter(F.col("pos") <= F.col("_cut"))
+    is_cut = F.col("pos") == F.col("_cut")
+    agg = upto.groupBy(key).agg(
+        F.sum(msg_tok + F.when(is_cut, F.lit(0)).otherwise(asst_tok)).alias("_tok"),
+        F.sum(F.lit(1) + F.when(~is_cut & F.col("has_a") & ~F.col("has_fc"), F.lit(1)).otherwise(F.lit(0)))
+        .alias("_n"))
+    sysv = F.col("system")
+    has_sys = sysv.isNotNull() & (F.length(sysv) > 0)
+    sys_tok = F.when(has_sys, F.lit(PER_MESSAGE_TOKENS) + token_count(F.lit("system"), counter)
+                     + token_count(sysv, counter)).otherwise(F.lit(0))
+    j = agg.join(first, key)
+    tok = (F.lit(REPLY_PRIMING_TOKENS) + F.col("_tok") + sys_tok).cast("int")
+    call = F.col("call")
+    args = F.get_json_object(call, "$.arguments")
+    tools = transcript_tools(sysv)
+    out = j.select(key, (F.col("_n") + F.when(has_sys, 1).otherwise(0)).cast("bigint").alias("n_messages"),
+                   tok.alias("n_tokens"), F.coalesce(F.get_json_object(call, "$.name"), F.lit("")).alias("exp_name"),
+                   F.when(json_object_valid(args), F.array_join(F.json_object_keys(args), ",")).otherwise(F.lit(""))
+                   .alias("exp_args"),
+                   F.coalesce(F.size(tools), F.lit(0)).cast("int").alias("n_tools"))
+    return out.filter(within(F.col("n_tokens"), lo, hi))

@@ -578,3 +578,113 @@ def q_request_plan(spark, sf_dir):
     shares = PL.normalize_weights(pool, {c: s["weight"] for c, s in CATEGORY_SPECS.items()})
     keys = S.requests_df(spark, sf_dir).select("request_id")
     return PL.request_plan(keys, pool, shares)
+
+
+# ---------------------------------------------------------------------------
+# Tagged tool calls in raw conversations
+# ---------------------------------------------------------------------------
+
+_TAG_RE = "(?s)<tool_call>\\s*(\\{.*?\\})\\s*</tool_call>"
+
+
+@register("tool_prompts_tagged", S.duck_with("raw_fc_turns", "tool_defs") + _NORM_SQL + f"""
+, t as (select conv_id, turn,
+          case "from" when 'system' then 'system' when 'human' then 'user' when 'user' then 'user'
+                      when 'gpt' then 'assistant' when 'assistant' then 'assistant' end as role,
+          value as content,
+          case when length(value) > 0 and "from" in ('gpt', 'assistant') and regexp_matches(value, '{_TAG_RE}')
+               then regexp_extract(value, '{_TAG_RE}', 1) end as tc
+        from raw_fc_turns)
+, cut as (select conv_id, min(turn) filter (where tc is not null) as cut_at,
+            arg_min(tc, turn) filter (where tc is not null) as tc from t group by conv_id)
+, pre as (select t.conv_id, count(*) as n_messages, count(*) filter (where t.role = 'user') as n_user,
+            sum(4 + {ws('t.role')} + {ws('t.content')}) as tok
+          from t join cut c on t.conv_id = c.conv_id
+          where t.role is not null and length(t.content) > 0 and (c.cut_at is null or t.turn < c.cut_at)
+          group by t.conv_id)
+, j as (select p.conv_id, p.n_messages, p.n_user, c.tc, coalesce(n.n_tools, 0) as n_tools,
+          cast(2 + p.tok + case when coalesce(n.n_tools, 0) > 0
+               then {ws("regexp_replace(n.tools_text, '([,:])', '\\1 ', 'g')")} else 0 end as int) as n_tokens,
+          c.tc is not null and json_valid(c.tc) and try(json_type(c.tc)) = 'OBJECT' as ok_json
+        from pre p join cut c on p.conv_id = c.conv_id left join ntools n on n.row_id = p.conv_id)
+, k as (select *, ok_json and coalesce(try(json_exists(tc, '$.arguments')), false) as has_args,
+          ok_json and coalesce(try(json_exists(tc, '$.arguments')), false)
+            and try(json_type(tc, '$.arguments')) = 'OBJECT' as args_obj
+        from j)
+select conv_id, cast(n_messages as bigint) as n_messages, n_tools, n_tokens,
+  case when ok_json then coalesce(try(json_extract_string(tc, '$.name')), '') end as exp_name,
+  case when ok_json then case when has_args then array_to_string(try(json_keys(tc, '$.arguments')), ',') else '' end end
+    as exp_args
+from k where n_messages > 0 and n_user > 0 and n_tokens between 100 and 16000 and not (has_args and not args_obj)
+""")
+def q_tool_prompts_tagged(spark, sf_dir):
+    tools = TO.normalize_tools(S.tool_defs_df(spark, sf_dir)).withColumnRenamed("row_id", "conv_id")
+    return TO.cut_at_tool_tag(S.raw_fc_turns_df(spark, sf_dir), tools)
+
+
+# ---------------------------------------------------------------------------
+# Transcripts with <functioncall>
+# ---------------------------------------------------------------------------
+
+def _norm_list_sql(expr: str) -> str:
+    return f"""list_filter(list_transform({expr}, lambda e:
+           case when try(json_type(e)) <> 'OBJECT' then null
+                when json_extract_string(e, '$.type') = 'function' and json_exists(e, '$.function') then cast(e as varchar)
+                when json_exists(e, '$.name') then concat('{{"type":"function","function":', cast(e as varchar), '}}')
+                when json_exists(e, '$.function')
+                  then concat('{{"type":"function","function":', cast(json_extract(e, '$.function') as varchar), '}}')
+           end), lambda x: x is not null)"""
+
+
+def _transcript_sql() -> str:
+    nl = "chr(10)"
+    obj = "(json_valid({0}) and try(json_type({0})) = 'OBJECT')"
+    q = "replace(fc_s, '''', '\"')"
+    return S.duck_with("transcripts") + f"""
+, p0 as (select conv_id, system, unnest(string_split(chat, 'USER: ')) as part,
+           unnest(range(len(string_split(chat, 'USER: ')))) as pos from transcripts)
+, q as (select conv_id, system, pos,
+          {strip_sql("case when instr(part, 'ASSISTANT: ') > 0 then split_part(part, 'ASSISTANT: ', 1) else part end")} as usr,
+          instr(part, 'ASSISTANT: ') > 0 as has_a,
+          case when instr(part, 'ASSISTANT: ') > 0 then substr(part, instr(part, 'ASSISTANT: ') + 11) end as rest
+        from p0 where pos >= 1)
+, r as (select *, coalesce(contains(rest, '<functioncall>'), false) as has_fc,
+          substr(rest, instr(rest, '<functioncall>') + 14) as fc from q)
+, s as (select *, {strip_sql(f'''case when contains(fc, '</functioncall>') then split_part(fc, '</functioncall>', 1)
+              when contains(fc, '</') then split_part(fc, '</', 1)
+              when contains(fc, {nl} || {nl}) then split_part(fc, {nl} || {nl}, 1)
+              when contains(fc, {nl} || 'FUNCTION') then split_part(fc, {nl} || 'FUNCTION', 1) else fc end''')} as fc_s
+        from r)
+, t as (select *, case when has_fc and {obj.format('fc_s')} then fc_s
+                       when has_fc and {obj.format(q)} then {q} end as call from s)
+, fst as (select conv_id, min(pos) filter (where call is not null) as cut,
+            arg_min(call, pos) filter (where call is not null) as call, first(system) as system
+          from t group by conv_id having min(pos) filter (where call is not null) is not null)
+, agg as (select t.conv_id,
+            sum(4 + 1 + {ws('t.usr')} + case when t.pos = f.cut then 0
+                 when t.has_a and not t.has_fc then 4 + 1 + {ws(strip_sql('t.rest'))} else 0 end) as tok,
+            sum(1 + case when t.pos <> f.cut and t.has_a and not t.has_fc then 1 else 0 end) as n
+          from t join fst f on t.conv_id = f.conv_id where t.pos <= f.cut group by t.conv_id)
+, sp as (select f.*, a.tok, a.n, regexp_extract_all(coalesce(f.system, ''), '(\\[[\\s\\S]*?\\])', 1) as spans
+         from fst f join agg a on a.conv_id = f.conv_id)
+, pk as (select *, coalesce(list_position(list_transform(spans, lambda x: not json_valid(x)), true), 0) as bad,
+           coalesce(list_position(list_transform(spans, lambda x:
+             coalesce(try(contains(cast(json_extract(x, '$[0]') as varchar), 'name')), false)), true), 0) as good
+         from sp)
+, fin as (select *, case when good > 0 and (bad = 0 or good < bad) then spans[good] end as picked,
+            length(system) > 0 as has_sys from pk)
+select conv_id, cast(n + case when has_sys then 1 else 0 end as bigint) as n_messages,
+  cast(2 + tok + case when has_sys then 4 + 1 + {ws('system')} else 0 end as int) as n_tokens,
+  coalesce(json_extract_string(call, '$.name'), '') as exp_name,
+  case when json_exists(call, '$.arguments') and try(json_type(call, '$.arguments')) = 'OBJECT'
+       then array_to_string(json_keys(call, '$.arguments'), ',') else '' end as exp_args,
+  cast(coalesce(len(case when picked is not null and json_valid(picked) and try(json_type(picked)) = 'ARRAY'
+       then {_norm_list_sql("json_extract(picked, '$[*]')")} end), 0) as int) as n_tools
+from fin
+where 2 + tok + case when has_sys then 4 + 1 + {ws('system')} else 0 end between 100 and 16000
+"""
+
+
+@register("transcript_turns", _transcript_sql())
+def q_transcript_turns(spark, sf_dir):
+    return TO.split_transcript(S.transcripts_df(spark, sf_dir))

@@ -365,3 +365,97 @@ code_problems as (
 
 _DEPS.update({"fc_turns": ["chat_log"], "long_docs": [], "code_problems": []})
 _TEXT.update({"fc_turns": DUCK_FC_TURNS, "long_docs": DUCK_LONG_DOCS, "code_problems": DUCK_CODE_PROBLEMS})
+
+
+def raw_fc_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw function-calling conversations (``from``/``value``): the chat log
+    with roles renamed, and a ``<tool_call>`` block appended to each second
+    assistant turn.  The block varies by ``conv_id % 4``: arguments object,
+    no arguments, broken JSON, arguments given as a string."""
+    c = fc_turns_df(spark, sf_dir)
+    frm = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    block = F.expr("""case conv_id % 4
+        when 0 then concat('{"name": "f', conv_id, '", "arguments": {"city": "c', conv_id, '", "days": 2}}')
+        when 1 then concat('{"name": "f', conv_id, '"}')
+        when 2 then concat('{"name": "f', conv_id, '", "arguments": {"city": }')
+        else concat('{"name": "f', conv_id, '", "arguments": "city"}') end""")
+    value = F.when(F.col("tc_name").isNotNull(),
+                   F.concat(F.col("content"), F.lit("\n<tool_call>\n"), block, F.lit("\n</tool_call>"))) \
+        .otherwise(F.col("content"))
+    return c.select("conv_id", "turn", frm.alias("from"), value.alias("value"))
+
+
+DUCK_RAW_FC_TURNS = """
+raw_fc_turns as (
+  select conv_id, turn,
+    case when role = 'user' then 'human' when role = 'assistant' then 'gpt' else role end as "from",
+    case when tc_name is not null then content || chr(10) || '<tool_call>' || chr(10) ||
+      case conv_id % 4
+        when 0 then concat('{"name": "f', conv_id, '", "arguments": {"city": "c', conv_id, '", "days": 2}}')
+        when 1 then concat('{"name": "f', conv_id, '"}')
+        when 2 then concat('{"name": "f', conv_id, '", "arguments": {"city": }')
+        else concat('{"name": "f', conv_id, '", "arguments": "city"}') end
+      || chr(10) || '</tool_call>' else content end as value
+  from fc_turns)"""
+
+_DEPS.update({"raw_fc_turns": ["fc_turns"]})
+_TEXT.update({"raw_fc_turns": DUCK_RAW_FC_TURNS})
+
+
+def transcripts_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``USER: ... ASSISTANT: ...`` transcript per conversation.  The
+    system turn (plus a function list when ``conv_id`` is even) is the system
+    text.  Calls by ``conv_id % 4``: 0 a JSON call closed by its end tag;
+    1 a single-quoted call ended by a blank line; 2 a broken call followed by
+    a valid one in the next assistant turn; 3 none."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    c = c.withColumn("_arank", F.row_number().over(w))
+    call = F.expr("""case
+        when role = 'assistant' and _arank = 2 and conv_id % 4 = 0
+          then concat('<functioncall> {"name": "f', conv_id, '", "arguments": {"city": "c', conv_id, '"}} </functioncall>')
+        when role = 'assistant' and _arank = 2 and conv_id % 4 = 1
+          then concat('<functioncall> {''name'': ''f', conv_id, ''', ''arguments'': {''days'': 2}}', chr(10), chr(10),
+                      'FUNCTION RESPONSE: ok')
+        when role = 'assistant' and _arank = 2 and conv_id % 4 = 2 then '<functioncall> {broken</functioncall>'
+        when role = 'assistant' and _arank = 3 and conv_id % 4 = 2
+          then concat('<functioncall> {"name": "g', conv_id, '", "arguments": 5}</functioncall>')
+        else text end""")
+    line = F.concat(F.when(F.col("role") == "user", F.lit("USER: ")).otherwise(F.lit("ASSISTANT: ")), call,
+                    F.lit("\n\n"))
+    body = c.filter(F.col("role") != "system").groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "")
+        .alias("chat"))
+    sysd = c.filter(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("_sys"))
+    funcs = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(' Functions: [{"name": "f'), F.col("conv_id").cast("string"),
+                                                      F.lit('", "parameters": {}}]'))).otherwise(F.lit(""))
+    return body.join(sysd, "conv_id", "left").select(
+        "conv_id", F.concat(F.coalesce("_sys", F.lit("")), funcs).alias("system"), "chat")
+
+
+DUCK_TRANSCRIPTS = """
+transcripts as (
+  with c as (select *, row_number() over (partition by conv_id, role order by turn) as arank from conversations),
+  l as (select conv_id, turn, role,
+          case when role = 'user' then 'USER: ' else 'ASSISTANT: ' end ||
+          case
+            when role = 'assistant' and arank = 2 and conv_id % 4 = 0
+              then concat('<functioncall> {"name": "f', conv_id, '", "arguments": {"city": "c', conv_id, '"}} </functioncall>')
+            when role = 'assistant' and arank = 2 and conv_id % 4 = 1
+              then concat('<functioncall> {''name'': ''f', conv_id, ''', ''arguments'': {''days'': 2}}', chr(10), chr(10),
+                          'FUNCTION RESPONSE: ok')
+            when role = 'assistant' and arank = 2 and conv_id % 4 = 2 then '<functioncall> {broken</functioncall>'
+            when role = 'assistant' and arank = 3 and conv_id % 4 = 2
+              then concat('<functioncall> {"name": "g', conv_id, '", "arguments": 5}</functioncall>')
+            else text end || chr(10) || chr(10) as line
+        from c),
+  b as (select conv_id, string_agg(line, '' order by turn) as chat from l where role <> 'system' group by conv_id),
+  s as (select conv_id, arg_min(text, turn) as sys from conversations where role = 'system' group by conv_id)
+  select b.conv_id, coalesce(s.sys, '') || case when b.conv_id % 2 = 0
+           then concat(' Functions: [{"name": "f', b.conv_id, '", "parameters": {}}]') else '' end as system, b.chat
+  from b left join s on b.conv_id = s.conv_id)"""
+
+_DEPS.update({"transcripts": []})
+_TEXT.update({"transcripts": DUCK_TRANSCRIPTS})
