@@ -41,9 +41,14 @@ CHUNK_SCHEMA = T.StructType([
 ])
 
 
+# FIXED VALUES: the whitespace characters stripped from both ends of a line.
+WS_CHARS = " \t\n\r\f\x0b"
+
+
 def strip_ws(c: Column | str) -> Column:
-    """Remove leading and trailing whitespace of every kind (not only spaces)."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace (space, tab, newline, carriage
+    return, form feed, vertical tab) -- a character-set trim, no regex."""
+    return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
 def parse_wire(lines: DataFrame, key: str = "request_id", order: str = "line_no",

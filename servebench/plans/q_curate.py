@@ -30,8 +30,11 @@ def ws(expr: str) -> str:
     return f"len(regexp_extract_all({expr}, '\\S+'))"
 
 
+WS_SQL = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+
 def strip_sql(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({expr}, {WS_SQL})"
 
 
 def total_prompts(spark, sf_dir) -> int:
