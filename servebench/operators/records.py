@@ -97,8 +97,13 @@ def conversation_messages(chat: DataFrame, key: str = "conv_id", order: str = "t
                                                               m["content"].alias("content"))).alias("messages")))
 
 
-def conversation_tokens(chat: DataFrame, key: str = "conv_id", counter: str = "ws") -> DataFrame:
-    """Message-list token count per conversation."""
-    msgs = conversation_messages(chat, key)
-    return msgs.select(key, F.size("messages").alias("n_messages"),
-                       message_tokens("messages", counter).alias("n_tokens"))
+def conversation_tokens(chat: DataFrame, key: str = "conv_id", role: str = "role", content: str = "content",
+                        counter: str = "ws") -> DataFrame:
+    """Message-list token count per conversation (B13, D8): 4 per message
+    plus the tokens of its role and content, plus 2.  A sum with constant
+    state per conversation; no message list is built."""
+    from ..functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS
+
+    per = F.lit(PER_MESSAGE_TOKENS) + token_count(role, counter) + token_count(content, counter)
+    return chat.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_messages"),
+                                 (F.lit(REPLY_PRIMING_TOKENS) + F.sum(per)).cast("int").alias("n_tokens"))

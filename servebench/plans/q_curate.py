@@ -18,8 +18,21 @@ from ..operators.curate import tools as TO
 from ..sources import standins as S
 from ..specs import (CATEGORY_SPECS, FETCH_OVERSHOOT, MATH_SYSTEM, REASONING_KEYWORDS, LongDocParams,
                      scaled_specs)
+from ..catalog_support import materialize
 from .catalog import register
 
+_MEMO: dict = {}
+
+
+def _memo(kind: str, spark, sf_dir, build):
+    """Reuse a materialised stage within one session (its checkpoint files
+    live as long as the session)."""
+    k = (kind, id(spark), spark.sparkContext.applicationId, sf_dir)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 LANGS = ("en",)
 CHAT_SPECS = scaled_specs(0.1)
 LONG = LongDocParams(min_tok=500, max_tok=2000, min_chars=2500, trunc_lo=600, trunc_margin=200, over_margin=50)
@@ -94,11 +107,17 @@ def q_first_user_turn(spark, sf_dir):
     return p.select("conv_id", "first_user", "n_words", "single_tok")
 
 
+def passing_turns(spark, sf_dir):
+    """First user turns of eligible conversations (one row per conversation),
+    materialised once: routing evaluates several cut-offs over it."""
+    return _memo("passing", spark, sf_dir,
+                 lambda: materialize(C.first_user_turn(chat_facts(spark, sf_dir), LANGS)))
+
+
 def _route(spark, sf_dir):
-    total = total_prompts(spark, sf_dir)
+    total = _memo("total", spark, sf_dir, lambda: total_prompts(spark, sf_dir))
     fetch = {c: FETCH_OVERSHOOT * t for c, t in targets_for(total).items()}
-    passing = C.first_user_turn(chat_facts(spark, sf_dir), LANGS)
-    return C.route_chat(passing, fetch, specs=CHAT_SPECS)
+    return C.route_chat(passing_turns(spark, sf_dir), fetch, specs=CHAT_SPECS)
 
 
 def _kw_sql(expr: str) -> str:
@@ -373,18 +392,6 @@ def _plan_inputs(spark, sf_dir):
     return targets, quotas
 
 
-_MEMO: dict = {}
-
-
-def _memo(kind: str, spark, sf_dir, build):
-    """Reuse a materialised stage within one session (its checkpoint files
-    live as long as the session)."""
-    k = (kind, id(spark), spark.sparkContext.applicationId, sf_dir)
-    if k not in _MEMO:
-        _MEMO[k] = build()
-    return _MEMO[k]
-
-
 def admitted(spark, sf_dir):
     """Admitted candidates, materialised in the shared checkpoint folder: the
     sampling steps read them several times."""

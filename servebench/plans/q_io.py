@@ -36,7 +36,7 @@ def _entry_parts(spark, sf_dir, chosen: DataFrame) -> DataFrame:
         return j.select(F.col("_src").alias("source"), F.col("_cat").alias("category"), F.col("_o").alias("origin"),
                         messages.alias("messages"), tools.alias("tools"), exp.alias("expected_tool"))
 
-    passing = C.first_user_turn(QC.chat_facts(spark, sf_dir), QC.LANGS)
+    passing = QC.passing_turns(spark, sf_dir)
     chat_log = S.chat_log_df(spark, sf_dir)
     is_wc = (F.col("source") == "wildchat")
     parts = [
