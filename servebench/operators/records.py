@@ -69,8 +69,8 @@ def record_export(records: DataFrame, itl: DataFrame | None = None, key: str = "
         rec = rec.withColumn("error", F.lit(""))
     if itl is not None:
         avg = itl.groupBy(key).agg(F.avg("itl").alias("itl_avg"))
-        rec = rec.join(avg, key, "left")
-    else:
+        rec = rec.drop("itl_avg").join(avg, key, "left")
+    elif "itl_avg" not in rec.columns:
         rec = rec.withColumn("itl_avg", F.lit(None).cast("double"))
     return rec.select(key, *EXPORT_COLUMNS, "itl_avg")
 

@@ -249,10 +249,11 @@ def wire_summary(facts: DataFrame, key: str = "request_id", order: str = "line_n
         F.array_join(F.transform(parts, lambda s: s["c"]), "").alias("text"))
 
 
-def request_records_from_wire(requests: DataFrame, lines: DataFrame, expectations: DataFrame,
-                              key: str = "request_id", counter: str = "ws") -> DataFrame:
-    """Per-request record fields rebuilt from the capture (B2-B7, B5) joined to
-    the request log (send/completion time, status, pool token count)."""
+def request_records_two_pass(requests: DataFrame, lines: DataFrame, expectations: DataFrame,
+                             key: str = "request_id", counter: str = "ws") -> DataFrame:
+    """Reference composition of the per-request fields from the separate
+    operators (B2-B7): the capture is parsed in two branches.  Kept for
+    tests; :func:`request_records_from_wire` is the one-pass form."""
     chunks = parse_wire(lines, key)
     facts = chunk_facts(chunks, key)
     summ = wire_summary(facts, key)
@@ -270,3 +271,113 @@ def request_records_from_wire(requests: DataFrame, lines: DataFrame, expectation
         key, "category", "status", "request_sent_at", "first_token_at", "completed_at",
         F.when(up.isNotNull(), up).otherwise(F.col("input_tokens")).alias("input_tokens"),
         out_tok.alias("output_tokens"), "tool_call_correct")
+
+
+# ---------------------------------------------------------------------------
+# One pass per request: everything a record needs from the capture
+# ---------------------------------------------------------------------------
+
+def _chunk_tool_deltas(choices: Column) -> Column:
+    """Tool-call deltas of one chunk across all its choices, in order."""
+    return F.flatten(F.transform(F.coalesce(choices, F.array().cast(CHUNK_SCHEMA["choices"].dataType)),
+                                 lambda c, cpos: F.transform(
+                                     F.coalesce(c["delta"]["tool_calls"], F.array().cast(T.ArrayType(TOOL_DELTA))),
+                                     lambda t, tpos: F.struct(
+                                         F.coalesce(t["index"], F.lit(0)).alias("index"), t["id"].alias("id"),
+                                         t["function"]["name"].alias("name"),
+                                         t["function"]["arguments"].alias("arguments")))))
+
+
+def _assemble(deltas: Column) -> Column:
+    """Tool calls from an ordered delta list: grouped by index (sorted), last
+    non-empty id, names and arguments concatenated (B6, per request)."""
+    idxs = F.array_sort(F.array_distinct(F.transform(deltas, lambda d: d["index"])))
+
+    def of(i):
+        return F.filter(deltas, lambda d: d["index"] == i)
+
+    def cat(i, field):
+        return F.array_join(F.transform(F.filter(of(i), lambda d: F.length(d[field]) > 0), lambda d: d[field]), "")
+
+    return F.transform(idxs, lambda i: F.struct(
+        i.alias("index"),
+        F.coalesce(F.try_element_at(F.filter(of(i), lambda d: F.length(d["id"]) > 0), F.lit(-1))["id"],
+                   F.lit("")).alias("id"),
+        cat(i, "name").alias("name"), cat(i, "arguments").alias("arguments")))
+
+
+def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "line_no",
+                       time_col: str = "arrived_at") -> DataFrame:
+    """Per request, in ONE aggregate over the parsed capture: first/last
+    token arrival, token-chunk count, last non-zero usage, generated text,
+    assembled tool calls and the mean inter-token gap.  Lists gathered here
+    (text parts, tool deltas, token times) are bounded by one response."""
+    ch = parse_wire(lines, key, order, time_col)
+    c = F.col("choices")
+    facts = ch.select(key, order, time_col, _content(c).alias("content"), _has_token(c).alias("has_token"),
+                      _chunk_tool_deltas(c).alias("tool_deltas"),
+                      F.col("usage.prompt_tokens").alias("prompt_tokens"),
+                      F.col("usage.completion_tokens").alias("completion_tokens"))
+    tok = F.col("has_token")
+
+    def last_truthy(name: str) -> Column:
+        x = F.col(name)
+        t = x.isNotNull() & (x != 0)
+        return F.max_by(F.when(t, x), F.when(t, F.col(order)))
+
+    parts = F.array_sort(F.collect_list(F.when(F.length("content") > 0,
+                                               F.struct(F.col(order).alias("o"), F.col("content").alias("c")))))
+    tdel = F.array_sort(F.collect_list(F.when(F.size("tool_deltas") > 0,
+                                              F.struct(F.col(order).alias("o"), F.col("tool_deltas").alias("d")))))
+    times = F.array_sort(F.collect_list(F.when(tok, F.struct(F.col(order).alias("o"), F.col(time_col).alias("t")))))
+    a = facts.groupBy(key).agg(
+        F.min(F.when(tok, F.col(time_col))).alias("first_token_at"),
+        F.max(F.when(tok, F.col(time_col))).alias("last_token_at"),
+        F.count_if(tok).alias("n_token_chunks"),
+        last_truthy("prompt_tokens").alias("usage_prompt_tokens"),
+        last_truthy("completion_tokens").alias("usage_completion_tokens"),
+        F.array_join(F.transform(parts, lambda s: s["c"]), "").alias("text"),
+        F.flatten(F.transform(tdel, lambda s: s["d"])).alias("_deltas"),
+        F.transform(times, lambda s: s["t"]).alias("_ts"))
+    ts = F.col("_ts")
+    gaps = F.zip_with(F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(1))),
+                      F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(1))), lambda b, x: b - x)
+    n_gaps = F.greatest(F.size(ts) - 1, F.lit(0))
+    itl_avg = F.when(n_gaps > 0, F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g) / n_gaps)
+    return a.select(key, "first_token_at", "last_token_at", "n_token_chunks", "usage_prompt_tokens",
+                    "usage_completion_tokens", "text", _assemble(F.col("_deltas")).alias("tool_calls"),
+                    itl_avg.alias("itl_avg"))
+
+
+def score_inline(calls: Column, exp_name: Column, required: Column) -> Column:
+    """B7 on a per-request call array: no calls -> false; the first call (by
+    index) with the expected name decides; NULL when nothing is expected."""
+    match = F.try_element_at(F.filter(calls, lambda c: c["name"] == exp_name), F.lit(1))
+    args = match["arguments"]
+    ok = json_object_valid(args) & (F.size(F.array_except(F.coalesce(required, F.array().cast("array<string>")),
+                                                          F.json_object_keys(args))) == 0)
+    return (F.when(exp_name.isNull(), F.lit(None).cast("boolean"))
+            .when(F.coalesce(F.size(calls), F.lit(0)) == 0, F.lit(False))
+            .when(match.isNull(), F.lit(False))
+            .otherwise(F.coalesce(ok, F.lit(False))))
+
+
+def request_records_from_wire(requests: DataFrame, lines: DataFrame, expectations: DataFrame,
+                              key: str = "request_id", counter: str = "ws") -> DataFrame:
+    """Per-request record fields rebuilt from the capture (B2-B7, B5) joined to
+    the request log.  The capture is parsed and shuffled once."""
+    w = request_wire_facts(lines, key)
+    e = expectations.select(key, "exp_name", "required_args")
+    j = (requests.drop("first_token_at", "tool_call_correct", "output_tokens")
+         .join(w, key, "left").join(e, key, "left"))
+    ok = F.col("status") == "success"
+    scored = ok & (F.col("category") == "tool_call")
+    up = F.col("usage_prompt_tokens")
+    out_tok = (F.when(F.col("usage_completion_tokens").isNotNull(), F.col("usage_completion_tokens"))
+               .when(ok & (F.length("text") > 0), token_count("text", counter).cast("bigint"))
+               .otherwise(F.lit(0).cast("bigint")))
+    tc = F.when(scored, score_inline(F.col("tool_calls"), F.col("exp_name"), F.col("required_args")))
+    return j.select(
+        key, "category", "status", "request_sent_at", "first_token_at", "completed_at",
+        F.when(up.isNotNull(), up).otherwise(F.col("input_tokens")).alias("input_tokens"),
+        out_tok.alias("output_tokens"), tc.alias("tool_call_correct"), "itl_avg")

@@ -102,3 +102,17 @@ def test_classify_status(spark):
     opt = {r.request_id: r.status for r in
            W.classify_status(df, timeout_kinds=("asyncio.TimeoutError", "httpx.ReadTimeout")).collect()}
     assert opt[6] == "timeout"
+
+
+def test_one_pass_records_equal_two_branch(spark):
+    from conftest import SF001
+    from servebench.sources import standins as S
+
+    req = S.requests_df(spark, SF001)
+    lines = S.wire_lines_df(spark, SF001, req)
+    exp = S.expectations_df(spark, SF001, req)
+    cols = ["request_id", "first_token_at", "input_tokens", "output_tokens", "tool_call_correct"]
+    a = W.request_records_from_wire(req, lines, exp).select(*cols)
+    b = W.request_records_two_pass(req, lines, exp).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert a.filter("tool_call_correct is not null").count() > 0
