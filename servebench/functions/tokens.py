@@ -56,6 +56,13 @@ def token_count(c: Column | str, counter: str = "ws") -> Column:
     if counter == "ws":
         return ws_tokens(c)
     if counter == "bpe":
+        from pyspark.sql import SparkSession
+
+        from ..session import ship_package
+
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ship_package(active)
         return bpe_tokens_udf()(col_(c))
     raise ValueError(f"unknown token counter {counter!r}")
 
