@@ -698,3 +698,33 @@ where 2 + tok + case when has_sys then 4 + 1 + {ws('system')} else 0 end between
 @register("transcript_turns", _transcript_sql())
 def q_transcript_turns(spark, sf_dir):
     return TO.split_transcript(S.transcripts_df(spark, sf_dir))
+
+
+def _cand_info_sql() -> str:
+    """Per candidate (source, category, origin): message count, tool count,
+    whether an expectation exists, and the tool-definition tokens."""
+    from .catalog import _ORACLE
+
+    tools_tok = ws("regexp_replace(n.tools_text, '([,:])', '\\1 ', 'g')")
+    parts = [
+        f"select 'wildchat' as source, category, cast(conv_id as bigint) as origin, cast(1 as bigint) as n_messages, "
+        f"0 as n_tools, false as has_exp, 0 as tools_tok from {inner(_ORACLE['route_chat'])} x",
+        f"select 'wildchat', 'multi_turn', cast(conv_id as bigint), cast(n_messages as bigint), 0, false, 0 "
+        f"from {inner(_ORACLE['multi_turn'])} x",
+        f"select 'gsm8k', 'reasoning', cast(doc_id as bigint), cast(2 as bigint), 0, false, 0 "
+        f"from {inner(_ORACLE['math_prompts'])} x",
+        f"select 'code_contests', 'code_generation', cast(doc_id as bigint), cast(2 as bigint), 0, false, 0 "
+        f"from {inner(_ORACLE['code_prompts'])} x",
+        f"select 'swe_smith', 'code_generation', cast(conv_id as bigint), cast(n_messages as bigint), 0, false, 0 "
+        f"from {inner(_ORACLE['trajectory_prompts'])} x",
+        f"select source_name, 'long_context', cast(doc_id as bigint), cast(2 as bigint), 0, false, 0 "
+        f"from {inner(_ORACLE['long_doc_prompts'])} x",
+        f"select case when x.conv_id % 2 = 0 then 'hermes_fc' else 'toolace' end, 'tool_call', cast(x.conv_id as bigint), "
+        f"cast(x.n_messages as bigint), x.n_tools, x.exp_name is not null, "
+        f"case when x.n_tools > 0 then {tools_tok} else 0 end "
+        f"from {inner(_ORACLE['tool_prompts'])} x left join ntools_i n on n.row_id = x.conv_id",
+    ]
+    norm = _NORM_SQL.replace(", el as", ", el_i as").replace("from el)", "from el_i)").replace(
+        ", nt as", ", nt_i as").replace("from nt)", "from nt_i)").replace(", ntools as", ", ntools_i as")
+    return "\n".join(["info_base as (select 1 as _one)", norm.replace("from tool_defs)", "from tool_defs)"),
+                      ", info as (" + "\nunion all\n".join(parts) + ")"])

@@ -19,8 +19,12 @@ from ..specs import CATEGORY_SPECS, CODE_SYSTEM, MATH_SYSTEM
 from . import q_curate as QC
 from .catalog import _ORACLE, register
 
-EMPTY_TOOLS = F.lit(None).cast("array<struct<type:string,function:string>>")
-EMPTY_EXP = F.lit(None).cast("struct<name:string,required_args:array<string>>")
+def _no_tools():
+    return F.lit(None).cast("array<struct<type:string,function:string>>")
+
+
+def _no_expectation():
+    return F.lit(None).cast("struct<name:string,required_args:array<string>>")
 
 
 def _entry_parts(spark, sf_dir, chosen: DataFrame) -> DataFrame:
@@ -30,7 +34,9 @@ def _entry_parts(spark, sf_dir, chosen: DataFrame) -> DataFrame:
     def keys(src_filter):
         return chosen.filter(src_filter).select(F.col("origin").alias("_o"), "source", "category")
 
-    def attach(df, key, src_filter, messages, tools=EMPTY_TOOLS, exp=EMPTY_EXP):
+    def attach(df, key, src_filter, messages, tools=None, exp=None):
+        tools = _no_tools() if tools is None else tools
+        exp = _no_expectation() if exp is None else exp
         k = keys(src_filter).withColumnRenamed("source", "_src").withColumnRenamed("category", "_cat")
         j = df.join(k, df[key] == k["_o"])
         return j.select(F.col("_src").alias("source"), F.col("_cat").alias("category"), F.col("_o").alias("origin"),
@@ -91,7 +97,16 @@ def build_pool(spark, sf_dir, seed: int = 0) -> DataFrame:
         F.create_map(F.lit("origin"), F.col("origin").cast("string")).alias("source_metadata"), "pool_order"))
 
 
-@register("build_pool")
+def _pool_info_sql(final: str) -> str:
+    return (QC._pool_sql() + ", " + S.DUCK_TOOL_DEFS.strip() + "\n, " + QC._cand_info_sql()
+            + "\n, si as (select s.*, i.n_messages, i.n_tools, i.has_exp, i.tools_tok from sampled s join info i"
+              " on i.source = s.source and i.category = s.category and i.origin = s.origin)\n" + final)
+
+
+@register("build_pool", _pool_info_sql("""
+select id, category, source, cast(n_messages as int) as n_messages, cast(n_tokens as int) as input_token_count,
+  max_tokens, n_tools > 0 as has_tools, has_exp as has_expected_tool from si
+"""))
 def q_build_pool(spark, sf_dir):
     p = build_pool(spark, sf_dir)
     return p.select("id", "category", "source", F.size("messages").alias("n_messages"), "input_token_count",
@@ -116,7 +131,9 @@ def q_pool_roundtrip(spark, sf_dir):
     return prompts.select("id", "category", "source", "max_tokens", "input_token_count")
 
 
-@register("pool_load")
+@register("pool_load", QC._pool_sql() + """
+select id, category, true as valid from sampled
+""")
 def q_pool_load(spark, sf_dir):
     """Load a written pool plus rejects: rows with their validity flag."""
     path = _written_pool(spark, sf_dir)
@@ -125,7 +142,17 @@ def q_pool_load(spark, sf_dir):
             .unionByName(rejects.select("id", "category", F.lit(False).alias("valid"))))
 
 
-@register("validate_pool")
+# Every converter stores the message-list count as the claim, except tool
+# prompts, whose claim adds the tool-definition tokens the check ignores.
+@register("validate_pool", _pool_info_sql("""
+, v as (select count(*) as entries,
+          count(*) filter (where n_tokens > 0 and abs(tools_tok) / greatest(n_tokens, 1) > 0.2e0) as mism from si)
+select 'entries' as "check", entries as n from v
+union all select 'missing_fields', cast(0 as bigint) from v
+union all select 'empty_messages', cast(0 as bigint) from v
+union all select 'bad_messages', cast(0 as bigint) from v
+union all select 'token_mismatch', mism from v
+"""))
 def q_validate_pool(spark, sf_dir):
     prompts, _ = IO.read_prompt_pool(spark, _written_pool(spark, sf_dir))
     return PL.validate_pool(prompts)
@@ -146,8 +173,22 @@ def q_request_export(spark, sf_dir):
     return IO.read_request_csv(spark, path)
 
 
-@register("run_report")
+def _run_report_sql() -> str:
+    from . import q_analytics as QA
+
+    return f"""with s as {inner(QA.RUN_SUMMARY_SQL)}, e as {inner(QA._EFF_SQL)},
+ts as {inner(_ORACLE['throughput_timeseries'])}, cs as {inner(_ORACLE['concurrency_samples'])}
+select s.total_requests, round(e.effective_concurrency, 1) as effective_concurrency,
+  cast((select count(*) from ts) as int) as n_timeseries, cast((select count(*) from cs) as int) as n_concurrency,
+  true as key_dropped
+from s, e"""
+
+
+@register("run_report", _run_report_sql())
 def q_run_report(spark, sf_dir):
+    """Write the run report, read the document back and report what it
+    holds: total requests, effective concurrency, series lengths, and that
+    the API key was dropped."""
     from . import q_analytics as QA
 
     rep = IO.run_report(QA.q_run_summary(spark, sf_dir), QA.q_throughput_timeseries(spark, sf_dir),
@@ -155,6 +196,10 @@ def q_run_report(spark, sf_dir):
                         {"duration_seconds": QA.DUR, "warmup_seconds": QA.WARM, "api_key": "secret"})
     path = scratch_path(spark, "run_report")
     IO.write_run_json(rep, path)
-    return spark.read.text(path).select(F.length("value").alias("report_chars"),
-                                        F.get_json_object("value", "$.metrics.total_requests").alias("total_requests"),
-                                        F.get_json_object("value", "$.config.api_key").isNull().alias("key_dropped"))
+    doc = F.col("value")
+    return spark.read.text(path).select(
+        F.get_json_object(doc, "$.metrics.total_requests").cast("bigint").alias("total_requests"),
+        F.get_json_object(doc, "$.effective_concurrency").cast("double").alias("effective_concurrency"),
+        F.json_array_length(F.get_json_object(doc, "$.timeseries")).alias("n_timeseries"),
+        F.json_array_length(F.get_json_object(doc, "$.concurrency_timeseries")).alias("n_concurrency"),
+        F.get_json_object(doc, "$.config.api_key").isNull().alias("key_dropped"))

@@ -35,3 +35,18 @@ def test_projection_pruned_at_scan(spark):
     plan = _plan(q_run_summary(spark, SF001))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string>" in plan \
         or "ReadSchema" in plan
+
+
+def test_registry_imports_without_spark():
+    """oracle_sql() must work in a process with no Spark session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; print(len(E.oracle_sql()), len(E.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True,
+                         env={**os.environ, "PYTHONPATH": root}, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_oracle, n_queries = map(int, out.stdout.split())
+    assert n_oracle == n_queries
