@@ -58,6 +58,17 @@ def make_candidates(df: DataFrame, source: Column | str, category: Column | str,
                      F.col(tokens).cast("int").alias("n_tokens"), mt.cast("int").alias("max_tokens"))
 
 
+def ensure_group_limit(spark, limit: int) -> None:
+    """Spark plans ``row_number() <= N`` as a partial top-N per group only
+    while N is within ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000 by default); raise it for larger quotas so the cut still happens
+    before the shuffle.  (A session setting: it applies to later queries.)"""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    cur = int(spark.conf.get(key, "1000"))
+    if limit > cur:
+        spark.conf.set(key, str(int(limit)))
+
+
 def admit_first_n(cands: DataFrame, quotas: dict) -> DataFrame:
     """First ``quota`` candidates per (source, category) in source order
     (E17).  Pairs without a quota are kept whole (their converter already
@@ -68,6 +79,7 @@ def admit_first_n(cands: DataFrame, quotas: dict) -> DataFrame:
     q = spark.createDataFrame([(s, c, int(n)) for (s, c), n in quotas.items()],
                               "source string, category string, quota int")
     limit = max(quotas.values())
+    ensure_group_limit(spark, limit)
     w = Window.partitionBy("source", "category").orderBy("origin")
     quoted = cands.join(F.broadcast(q), ["source", "category"], "left_semi")
     ranked = (quoted.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= limit)
@@ -100,6 +112,7 @@ def sample_balanced(bucketed: DataFrame, targets: dict, seed: int = 0, n_buckets
     """
     spark = bucketed.sparkSession
     per = {c: max(1, t // n_buckets) for c, t in targets.items()}
+    ensure_group_limit(spark, max(targets.values()))
     tdf = spark.createDataFrame([(c, int(t), int(per[c])) for c, t in targets.items()],
                                 "category string, target int, per_bucket int")
     k = bucketed.select("*", order_key("id", seed).alias("_ok"))
@@ -181,22 +194,24 @@ def request_plan(keys: DataFrame, pool: DataFrame, shares: DataFrame, key: str =
     (category, position) against the pool ranked by id.
     """
     wc = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, 0)
-    cum = shares.select("category", F.sum("share").over(wc).alias("_hi"),
-                        (F.sum("share").over(wc) - F.col("share")).alias("_lo"))   # <= 7 rows
+    cum = shares.select("category", F.sum("share").over(wc).alias("_hi"))   # <= 7 rows
     sizes = pool.groupBy("category").agg(F.count(F.lit(1)).alias("_size"))
     cum = cum.join(sizes, "category")
+    # The (<= 7) cumulative bounds as one scalar array: each draw finds its
+    # band by counting bounds at or below it -- no join.
+    bands = cum.select(F.array_sort(F.collect_list(F.struct("_hi", "category", "_size")))).scalar()
     seed_s = F.lit(str(seed))
     u = unit_hash(F.concat(F.lit("cat#"), F.col(key).cast("string"), F.lit("#"), seed_s))
-    draws = keys.select(key, u.alias("_u"),
-                        hash_int(F.concat(F.lit("pick#"), F.col(key).cast("string"), F.lit("#"), seed_s)).alias("_h"))
-    # u lies in [0, 1); the last band is closed above so rounding in the
-    # cumulative sum can never leave a draw without a category.
-    last_hi = cum.select(F.max("_hi")).scalar()
-    j = draws.join(F.broadcast(cum), (F.col("_u") >= F.col("_lo"))
-                   & ((F.col("_u") < F.col("_hi")) | (F.col("_hi") == last_hi)))
+    # u lies in [0, 1); the index is clamped so rounding in the cumulative sum
+    # can never leave a draw without a category.
+    withb = keys.select(key, bands.alias("_bands"), u.alias("_u"))
+    b = F.col("_bands")
+    idx = F.least(F.size(F.filter(b, lambda x: x["_hi"] <= F.col("_u"))), F.size(b) - 1)
+    band = F.element_at(b, idx + 1)
+    h = hash_int(F.concat(F.lit("pick#"), F.col(key).cast("string"), F.lit("#"), seed_s))
+    picked = withb.select(key, band["category"].alias("category"), F.pmod(h, band["_size"]).alias("_pos"))
     wp = Window.partitionBy("category").orderBy("id")
     ranked = pool.select("category", "id", (F.row_number().over(wp) - 1).alias("_pos"))
-    picked = j.select(key, "category", F.pmod(F.col("_h"), F.col("_size")).alias("_pos"))
     return picked.join(ranked, ["category", "_pos"]).select(key, "category", F.col("id").alias("prompt_id"))
 
 
