@@ -19,6 +19,20 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # Keep broadcasts to sides whose size is known to be small.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Let AQE size reducers (and split skewed ones) from runtime statistics.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
+# Suggested settings for a large cluster (about 1000 executors, 100 TB of
+# input); ``get_session(extra=CLUSTER_CONF)`` applies them.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
