@@ -11,6 +11,7 @@ Two counters share one interface:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,6 @@ def _encoder(name: str):
 
 def bpe_tokens_udf(encoding: str = "cl100k_base"):
     """Arrow UDF counting BPE tokens (special tokens treated as text)."""
-    import pandas as pd
 
     @F.pandas_udf(T.IntegerType())
     def _count(texts: pd.Series) -> pd.Series:

@@ -113,3 +113,14 @@ def test_check_weights():
     PL.check_weights({"a": 0.5, "b": 0.5})
     with pytest.raises(ValueError):
         PL.check_weights({"a": 0.5, "b": 0.6})
+
+
+def test_require_prompts(spark):
+    d = _tmp()
+    path = os.path.join(d, "pool.jsonl")
+    with open(path, "w") as f:
+        f.write(json.dumps({"id": "x"}) + "\n")
+    ok, rej = IO.read_prompt_pool(spark, path)
+    assert rej.count() == 1
+    with pytest.raises(ValueError):
+        IO.require_prompts(ok, path)
