@@ -24,13 +24,3 @@ def r6(c: Column | str, decimals: int = REPORT_DECIMALS) -> Column:
     """Round a double for reporting."""
     return F.round(col_(c).cast("double"), decimals)
 
-
-def trunc_int(c: Column | str) -> Column:
-    """Truncate toward zero, as Python's ``int(x)``, as a BIGINT."""
-    c = col_(c)
-    return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("bigint")
-
-
-def safe_div(num: Column, den: Column) -> Column:
-    """``num / den`` with NULL when the denominator is NULL or zero."""
-    return num / F.when(den != 0, den)

@@ -80,8 +80,3 @@ def message_tokens(messages: Column | str, counter: str = "ws") -> Column:
     return (F.lit(REPLY_PRIMING_TOKENS) + F.size(col_(messages)) * PER_MESSAGE_TOKENS
             + token_count(flat, "bpe")).cast("int")
 
-
-def ws_prefix(c: Column | str, n: Column) -> Column:
-    """The first ``n`` whitespace tokens of a text, joined by single spaces
-    (``ws`` form of truncation)."""
-    return F.array_join(F.slice(F.regexp_extract_all(col_(c), F.lit(r"(\S+)"), 1), F.lit(1), n), " ")

@@ -93,10 +93,9 @@ def token_bucket(cands: DataFrame, spark=None, specs: dict | None = None) -> Dat
     """Index of the first half-open bucket ``[lo, hi)`` holding the count, or
     NULL when out of range (E19).  The bucket table has 4 rows per category
     (fixed size), broadcast for the range join."""
-    specs = specs or CATEGORY_SPECS
-    spark = spark or cands.sparkSession
-    b = spark.createDataFrame([(c, i, lo, hi) for c, s in specs.items() for i, (lo, hi) in enumerate(s["buckets"])],
-                              "category string, bucket int, lo int, hi int")
+    from ...specs import bucket_spec_df
+
+    b = bucket_spec_df(spark or cands.sparkSession, specs)
     j = cands.join(F.broadcast(b), (cands.category == b.category) & (cands.n_tokens >= b.lo) & (cands.n_tokens < b.hi),
                    "left")
     return j.select(*[cands[c] for c in cands.columns], b.bucket)

@@ -75,11 +75,6 @@ def record_export(records: DataFrame, itl: DataFrame | None = None, key: str = "
     return rec.select(key, *EXPORT_COLUMNS, "itl_avg")
 
 
-def rounded_export(df: DataFrame) -> DataFrame:
-    """Round the double columns of an export for reporting."""
-    doubles = {"request_sent_at", "first_token_at", "completed_at", "ttft", "e2e_latency",
-               "output_tps", "itl_avg"}
-    return df.select(*[r6(c).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 def doc_tokens(docs: DataFrame, text_col: str = "text", key: str = "doc_id", counter: str = "ws") -> DataFrame:
@@ -87,14 +82,6 @@ def doc_tokens(docs: DataFrame, text_col: str = "text", key: str = "doc_id", cou
     return docs.select(key, token_count(text_col, counter).alias("n_tokens"))
 
 
-def conversation_messages(chat: DataFrame, key: str = "conv_id", order: str = "turn",
-                          role: str = "role", content: str = "content") -> DataFrame:
-    """Ordered ``messages`` array per conversation (G6: sort an explicit key)."""
-    return (chat.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("role"),
-                                                      F.col(content).alias("content")))).alias("_m"))
-            .select(key, F.transform("_m", lambda m: F.struct(m["role"].alias("role"),
-                                                              m["content"].alias("content"))).alias("messages")))
 
 
 def conversation_tokens(chat: DataFrame, key: str = "conv_id", role: str = "role", content: str = "content",

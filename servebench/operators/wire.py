@@ -222,7 +222,8 @@ def classify_status(outcomes: DataFrame, timeout_kinds=("asyncio.TimeoutError",)
 
 def output_tokens_with_fallback(usage_tokens: Column, text: Column, counter: str = "ws") -> Column:
     """Usage count when non-zero, else the token count of the generated text
-    when non-empty, else 0 (B5)."""
+    when non-empty, else 0 (B5).  Pass a NULL text for requests that did not
+    complete (the fallback runs only after a finished stream)."""
     return (F.when(usage_tokens.isNotNull() & (usage_tokens != 0), usage_tokens)
             .when(F.length(text) > 0, token_count(text, counter).cast("bigint"))
             .otherwise(F.lit(0).cast("bigint")))
@@ -373,9 +374,8 @@ def request_records_from_wire(requests: DataFrame, lines: DataFrame, expectation
     ok = F.col("status") == "success"
     scored = ok & (F.col("category") == "tool_call")
     up = F.col("usage_prompt_tokens")
-    out_tok = (F.when(F.col("usage_completion_tokens").isNotNull(), F.col("usage_completion_tokens"))
-               .when(ok & (F.length("text") > 0), token_count("text", counter).cast("bigint"))
-               .otherwise(F.lit(0).cast("bigint")))
+    out_tok = output_tokens_with_fallback(F.col("usage_completion_tokens"),
+                                          F.when(ok, F.col("text")), counter)
     tc = F.when(scored, score_inline(F.col("tool_calls"), F.col("exp_name"), F.col("required_args")))
     return j.select(
         key, "category", "status", "request_sent_at", "first_token_at", "completed_at",
