@@ -31,8 +31,14 @@ def math_prompts(docs: DataFrame, key: str = "doc_id", text_col: str = "text", l
     """Questions of at least ten words under a fixed tutor system prompt,
     ``lo <= tokens <= hi`` (E10)."""
     q = F.col(text_col)
-    tok = messages_tokens([("system", F.lit(MATH_SYSTEM)), ("user", q)], counter)
-    return (docs.filter((F.length(q) > 0) & (token_count(q, "ws") >= MATH_MIN_WORDS))
+    words = docs.filter(F.length(q) > 0).select(key, text_col, token_count(q, "ws").alias("_words"))
+    if counter == "ws":
+        # the word count is the user turn's token count: scan each text once
+        tok = (messages_tokens([("system", F.lit(MATH_SYSTEM)), ("user", F.lit(""))], counter)
+               + F.col("_words")).cast("int")
+    else:
+        tok = messages_tokens([("system", F.lit(MATH_SYSTEM)), ("user", q)], counter)
+    return (words.filter(F.col("_words") >= MATH_MIN_WORDS)
             .select(key, tok.alias("n_tokens")).filter(within(F.col("n_tokens"), lo, hi)))
 
 
@@ -84,12 +90,21 @@ def long_doc_candidates(docs: DataFrame, p: LongDocParams, key: str = "doc_id",
     user = F.when(F.col("question_prefix").isNull(),
                   F.concat(body, F.lit(LONG_DOC_SEPARATOR), F.col("suffix"))) \
         .otherwise(F.concat(body, F.lit(LONG_DOC_SEPARATOR), F.col("question_prefix"), question))
+    tail = F.when(F.col("question_prefix").isNull(), F.concat(F.lit(LONG_DOC_SEPARATOR), F.col("suffix"))) \
+        .otherwise(F.concat(F.lit(LONG_DOC_SEPARATOR), F.col("question_prefix"), question))
     out = d.select(key, source_col, cut.alias("truncated"), F.when(cut, n_keep).alias("n_keep"),
-                   F.col("system"), user.alias("user_content"), body.alias("body"))
+                   F.col("system"), user.alias("user_content"), body.alias("body"), "text_tok", tail.alias("_tail"))
+    if counter == "ws":
+        # The tail starts with whitespace, so the user turn's count is the
+        # body's (the text, or its first n_keep tokens) plus the tail's:
+        # the long text is not scanned again.
+        body_tok = F.when(F.col("truncated"), F.least(F.col("n_keep"), F.col("text_tok"))).otherwise(F.col("text_tok"))
+        user_tok = body_tok + token_count("_tail", counter)
+    else:
+        user_tok = token_count("user_content", counter)
     tok = (F.lit(REPLY_PRIMING_TOKENS + 2 * PER_MESSAGE_TOKENS) + token_count(F.lit("system"), counter)
-           + token_count(F.lit("user"), counter) + token_count("system", counter)
-           + token_count("user_content", counter)).cast("int")
-    return out.select("*", tok.alias("n_tokens"))
+           + token_count(F.lit("user"), counter) + token_count("system", counter) + user_tok).cast("int")
+    return out.select("*", tok.alias("n_tokens")).drop("_tail", "text_tok")
 
 
 def long_doc_prompts(cands: DataFrame, p: LongDocParams, max_input_tokens: int = 80000) -> DataFrame:

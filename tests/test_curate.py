@@ -113,3 +113,18 @@ def test_weights(spark):
     assert w == {"a": 0.5, "b": 0.5}
     w2 = {r.category: r.share for r in PL.normalize_weights(pool, {"a": 1.0, "b": 3.0}).collect()}
     assert w2 == {"a": 0.25, "b": 0.75}
+
+
+def test_long_doc_token_count_matches_direct_count(spark):
+    from conftest import SF01
+
+    from servebench.functions.tokens import ws_tokens
+    from servebench.sources import standins as S
+    from servebench.specs import LongDocParams
+
+    p = LongDocParams(min_tok=500, max_tok=2000, min_chars=2500, trunc_lo=600, trunc_margin=200, over_margin=50)
+    c = D.long_doc_candidates(S.long_docs_df(spark, SF01), p)
+    direct = (F.lit(2 + 4 + 1 + 4 + 1) + ws_tokens("system") + ws_tokens("user_content")).cast("int")
+    bad = c.filter(F.col("n_tokens") != direct)
+    assert c.filter("truncated").count() > 0
+    assert bad.count() == 0
