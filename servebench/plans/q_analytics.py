@@ -364,3 +364,18 @@ select category, n, round(share, 6) as observed_share, weight, round(share - wei
 """)
 def q_dispatch_mix(spark, sf_dir):
     return V.dispatch_mix(S.requests_df(spark, sf_dir))
+
+
+@register("category_breakdown_overall", S.duck_with("records") + f"""
+, a as (select category, count(*) as count,
+          {_dist_inner('ttft', 'ttft', 'true')}, {_dist_inner('e2e_latency', 'e2e', 'true')},
+          {_dist_inner('output_tps', 'tps', 'true')},
+          avg(input_tokens) as avg_input_tokens, avg(output_tokens) as avg_output_tokens
+        from records where request_sent_at >= {CUT} and status = 'success'
+        group by grouping sets ((category), ()))
+select category, count, {_dist_outer('ttft')}, {_dist_outer('e2e')}, {_dist_outer('tps')},
+  round(avg_input_tokens, 6) as avg_input_tokens, round(avg_output_tokens, 6) as avg_output_tokens
+from a
+""")
+def q_category_breakdown_overall(spark, sf_dir):
+    return M.category_breakdown(records(spark, sf_dir), P, with_overall=True)
