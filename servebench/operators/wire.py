@@ -311,8 +311,9 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
                        time_col: str = "arrived_at") -> DataFrame:
     """Per request, in ONE aggregate over the parsed capture: first/last
     token arrival, token-chunk count, last non-zero usage, generated text,
-    assembled tool calls and the mean inter-token gap.  Lists gathered here
-    (text parts, tool deltas, token times) are bounded by one response."""
+    assembled tool calls and the mean inter-token gap.  The only lists
+    gathered are the text parts and tool-call deltas of one response, which
+    are the output itself."""
     ch = parse_wire(lines, key, order, time_col)
     c = F.col("choices")
     facts = ch.select(key, order, time_col, _content(c).alias("content"), _has_token(c).alias("has_token"),
@@ -330,7 +331,6 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
                                                F.struct(F.col(order).alias("o"), F.col("content").alias("c")))))
     tdel = F.array_sort(F.collect_list(F.when(F.size("tool_deltas") > 0,
                                               F.struct(F.col(order).alias("o"), F.col("tool_deltas").alias("d")))))
-    times = F.array_sort(F.collect_list(F.when(tok, F.struct(F.col(order).alias("o"), F.col(time_col).alias("t")))))
     a = facts.groupBy(key).agg(
         F.min(F.when(tok, F.col(time_col))).alias("first_token_at"),
         F.max(F.when(tok, F.col(time_col))).alias("last_token_at"),
@@ -338,13 +338,11 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
         last_truthy("prompt_tokens").alias("usage_prompt_tokens"),
         last_truthy("completion_tokens").alias("usage_completion_tokens"),
         F.array_join(F.transform(parts, lambda s: s["c"]), "").alias("text"),
-        F.flatten(F.transform(tdel, lambda s: s["d"])).alias("_deltas"),
-        F.transform(times, lambda s: s["t"]).alias("_ts"))
-    ts = F.col("_ts")
-    gaps = F.zip_with(F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(1))),
-                      F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(1))), lambda b, x: b - x)
-    n_gaps = F.greatest(F.size(ts) - 1, F.lit(0))
-    itl_avg = F.when(n_gaps > 0, F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g) / n_gaps)
+        F.flatten(F.transform(tdel, lambda s: s["d"])).alias("_deltas"))
+    # Consecutive gaps telescope: their mean is (last - first) / (n - 1), so
+    # no list of arrival times is needed.
+    n_gaps = F.col("n_token_chunks") - 1
+    itl_avg = F.when(n_gaps > 0, (F.col("last_token_at") - F.col("first_token_at")) / n_gaps)
     return a.select(key, "first_token_at", "last_token_at", "n_token_chunks", "usage_prompt_tokens",
                     "usage_completion_tokens", "text", _assemble(F.col("_deltas")).alias("tool_calls"),
                     itl_avg.alias("itl_avg"))
