@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.columns import col_
@@ -25,23 +25,37 @@ def msg(role: str | Column, content: Column | str) -> Column:
     return F.struct(r.alias("role"), col_(content).alias("content"))
 
 
-def first_n_cutoff(df: DataFrame, order_col: str, n: int, partition_cols: list[str] | None = None) -> DataFrame:
-    """Largest ``order_col`` among the ``n`` smallest per partition: rows with
-    a key at or below it are the first ``n``.  ``row_number() <= literal`` is
-    planned as a group limit (partial top-n before the shuffle), so a large
-    group is cut map-side.  Keys must be unique within a partition."""
-    parts = partition_cols or []
-    w = Window.partitionBy(*[F.col(c) for c in parts]).orderBy(order_col)
-    ranked = df.select(*parts, order_col, F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= n)
-    return ranked.groupBy(*parts).agg(F.max(order_col).alias("cutoff"))
+
+
+TOPK_MAX = 50_000
+RANK_BAND_ERROR = 1e-4
 
 
 def scalar_cutoff(df: DataFrame, order_col: str, n: int):
-    """The cut-off of :func:`first_n_cutoff` as a scalar subquery column
-    (NULL when ``n`` is 0 or nothing qualifies)."""
+    """The ``n``-th smallest ``order_col`` (unique keys) as a scalar subquery
+    column: rows at or below it are the first ``n``.  NULL when ``n`` is 0 or
+    nothing qualifies; the largest key when fewer than ``n`` rows exist.
+
+    Up to ``TOPK_MAX`` it is an explicit distributed top-K
+    (``orderBy().limit()``: each partition keeps ``n`` keys, one task merges
+    them).  Beyond that, ``approxQuantile`` brackets the rank (two numbers to
+    the driver), an exact count gives the rank of the bracket's lower end, and
+    the top-K runs only inside the bracket (about ``6 * error * rows`` keys).
+    """
     if n <= 0:
         return F.lit(None).cast(df.schema[order_col].dataType)
-    return first_n_cutoff(df, order_col, n).select(F.max("cutoff")).scalar()
+    keys = df.select(order_col)
+    if n <= TOPK_MAX:
+        return keys.orderBy(order_col).limit(n).agg(F.max(order_col)).scalar()
+    total = keys.count()
+    if n >= total:
+        return keys.agg(F.max(order_col)).scalar()
+    q = n / total
+    e = RANK_BAND_ERROR
+    lo, hi = keys.approxQuantile(order_col, [max(0.0, q - 3 * e), min(1.0, q + 3 * e)], e)
+    below = keys.filter(F.col(order_col) < F.lit(lo)).count()
+    band = keys.filter((F.col(order_col) >= F.lit(lo)) & (F.col(order_col) <= F.lit(hi)))
+    return band.orderBy(order_col).limit(n - below).agg(F.max(order_col)).scalar()
 
 
 def within(x: Column, lo: int, hi: int) -> Column:

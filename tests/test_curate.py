@@ -128,3 +128,18 @@ def test_long_doc_token_count_matches_direct_count(spark):
     bad = c.filter(F.col("n_tokens") != direct)
     assert c.filter("truncated").count() > 0
     assert bad.count() == 0
+
+
+def test_scalar_cutoff_paths(spark, monkeypatch):
+    """Top-K path and rank-bracket path give the n-th smallest key."""
+    from servebench.operators.curate import common
+
+    df = spark.range(0, 20000).select((F.col("id") * 7 % 20011).alias("k"))
+    keys = sorted(r.k for r in df.collect())
+    one = spark.range(1)
+    for n in (1, 5, 999, 12345, 19999, 20000, 25000):
+        want = keys[min(n, len(keys)) - 1]
+        assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == want
+    monkeypatch.setattr(common, "TOPK_MAX", 10)
+    for n in (50, 12345, 19999):
+        assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == keys[n - 1]
