@@ -80,6 +80,7 @@ def admit_first_n(cands: DataFrame, quotas: dict) -> DataFrame:
                               "source string, category string, quota int")
     limit = max(quotas.values())
     ensure_group_limit(spark, limit)
+    # ``q`` has one row per configured (source, category) quota: a handful.
     w = Window.partitionBy("source", "category").orderBy("origin")
     quoted = cands.join(F.broadcast(q), ["source", "category"], "left_semi")
     ranked = (quoted.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= limit)
@@ -95,7 +96,7 @@ def token_bucket(cands: DataFrame, spark=None, specs: dict | None = None) -> Dat
     (fixed size), broadcast for the range join."""
     from ...specs import bucket_spec_df
 
-    b = bucket_spec_df(spark or cands.sparkSession, specs)
+    b = bucket_spec_df(spark or cands.sparkSession, specs)   # 4 rows per category
     j = cands.join(F.broadcast(b), (cands.category == b.category) & (cands.n_tokens >= b.lo) & (cands.n_tokens < b.hi),
                    "left")
     return j.select(*[cands[c] for c in cands.columns], b.bucket)
@@ -112,6 +113,8 @@ def sample_balanced(bucketed: DataFrame, targets: dict, seed: int = 0, n_buckets
     spark = bucketed.sparkSession
     per = {c: max(1, t // n_buckets) for c, t in targets.items()}
     ensure_group_limit(spark, max(targets.values()))
+    # one row per category (7): the broadcast sides below are this table and
+    # the per-category remainder derived from it
     tdf = spark.createDataFrame([(c, int(t), int(per[c])) for c, t in targets.items()],
                                 "category string, target int, per_bucket int")
     k = bucketed.select("*", order_key("id", seed).alias("_ok"))
@@ -164,6 +167,7 @@ def normalize_weights(pool: DataFrame, weights: dict | None) -> DataFrame:
     spark = pool.sparkSession
     present = pool.groupBy("category").agg(F.count(F.lit(1)).alias("n_prompts"))
     if weights:
+        # one row per configured category
         wdf = spark.createDataFrame([(c, float(w)) for c, w in weights.items()], "category string, weight double")
         j = present.join(F.broadcast(wdf), "category", "left").select(
             "category", "n_prompts", F.coalesce("weight", F.lit(0.0)).alias("weight"))
