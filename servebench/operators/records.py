@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6, truthy
-from ..functions.tokens import message_tokens, token_count
+from ..functions.columns import truthy
+from ..functions.tokens import token_count
 
 EXPORT_COLUMNS = ["prompt_id", "category", "status", "request_sent_at", "first_token_at",
                   "completed_at", "ttft", "e2e_latency", "output_tps", "input_tokens",

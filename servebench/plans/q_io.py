@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog_support import inner, materialize
-from ..functions.columns import r6
 from ..operators.curate import chat as C
 from ..operators.curate import documents as D
 from ..operators.curate import pool as PL
@@ -15,10 +14,11 @@ from ..operators.curate.common import msg
 from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import standins as S
-from ..specs import CATEGORY_SPECS, CODE_SYSTEM, MATH_SYSTEM
+from ..specs import CODE_SYSTEM, MATH_SYSTEM
 from . import q_curate as QC
 from .catalog import _ORACLE, register
 
+
 def _no_tools():
     return F.lit(None).cast("array<struct<type:string,function:string>>")
 
@@ -63,10 +63,8 @@ def _entry_parts(spark, sf_dir, chosen: DataFrame) -> DataFrame:
     parts.append(attach(D.trajectory_messages(conv, tj_keys), "conv_id", F.col("source") == "swe_smith",
                         F.col("messages")))
     long = D.long_doc_candidates(S.long_docs_df(spark, sf_dir), QC.LONG)
-    long_src = [s for s in ("govreport", "pg19", "scrolls", "longbench", "longbench_v2")]
-    parts.append(attach(long, "doc_id", F.col("source").isin(*long_src) & (F.col("category") == "long_context"),
-                        F.array(msg("system", F.col("system")), msg("user", F.col("user_content"))))
-                 .join(chosen.select(F.col("origin"), "source"), ["origin", "source"], "left_semi"))
+    parts.append(attach(long, "doc_id", F.col("category") == "long_context",
+                        F.array(msg("system", F.col("system")), msg("user", F.col("user_content")))))
     turns = S.fc_turns_df(spark, sf_dir)
     tc_keys = keys(F.col("category") == "tool_call").select(F.col("_o").alias("conv_id"))
     tmsgs = TO.tool_prompt_messages(turns, tc_keys)
