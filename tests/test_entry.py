@@ -64,3 +64,32 @@ def test_bpe_counter_evaluated_once(spark):
            .filter(F.col("n") > 1))
     plan = _plan(out)
     assert plan.count("ArrowEvalPython") == 1
+
+
+# Queries whose unpartitioned windows run over tables bounded by the run
+# length (per-slot offsets, 1 s ticks, hourly slots) or by the <= 7 category
+# shares of a request plan.
+BOUNDED_WINDOW_QUERIES = {"concurrency_samples", "concurrency_series", "effective_concurrency", "in_flight",
+                          "live_in_flight", "peak_concurrency", "request_plan", "summary_cards", "run_report"}
+
+
+def test_plan_shapes_of_all_queries(spark):
+    """No nested-loop join or cartesian product anywhere; windows without a
+    partition only where the windowed table is bounded by design."""
+    import importlib.util
+    import os
+
+    from conftest import SF001
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spec = importlib.util.spec_from_file_location("plan_report", os.path.join(root, "scripts", "plan_report.py"))
+    pr = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(pr)
+    offenders = []
+    for name, fn in sorted(queries().items()):
+        s = pr.summarize(_plan(fn(spark, SF001)))
+        if s.get("nested-loop join") or s.get("cartesian product"):
+            offenders.append((name, "join"))
+        if s.get("window without partition, other") and name not in BOUNDED_WINDOW_QUERIES:
+            offenders.append((name, "window"))
+    assert offenders == []
