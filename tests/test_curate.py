@@ -143,3 +143,18 @@ def test_scalar_cutoff_paths(spark, monkeypatch):
     monkeypatch.setattr(common, "TOPK_MAX", 10)
     for n in (50, 12345, 19999):
         assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == keys[n - 1]
+
+
+def test_request_plan_follows_weights(spark):
+    """Weighted category draw, uniform prompt draw (with replacement)."""
+    pool = spark.createDataFrame([(f"{c}{i}", c) for c, n in (("a", 3), ("b", 5), ("c", 2)) for i in range(n)],
+                                 "id string, category string")
+    shares = PL.normalize_weights(pool, {"a": 0.6, "b": 0.3, "c": 0.1})
+    keys = spark.range(0, 20000).withColumnRenamed("id", "request_id")
+    plan = PL.request_plan(keys, pool, shares)
+    assert plan.count() == 20000
+    mix = {r.category: r["count"] / 20000 for r in plan.groupBy("category").count().collect()}
+    assert abs(mix["a"] - 0.6) < 0.02 and abs(mix["b"] - 0.3) < 0.02 and abs(mix["c"] - 0.1) < 0.02
+    per_prompt = {r.prompt_id: r["count"] for r in plan.filter("category = 'b'").groupBy("prompt_id").count().collect()}
+    assert len(per_prompt) == 5 and min(per_prompt.values()) > 0.8 * max(per_prompt.values())
+    assert plan.filter("substr(prompt_id, 1, 1) <> category").count() == 0
