@@ -50,10 +50,13 @@ def inter_token_latency(token_times: DataFrame, key: str = "request_id",
     blocks = t.groupBy(key, "_blk").agg(F.max_by(time_col, order).alias("_last"))
     wb = Window.partitionBy(key).orderBy("_blk")   # one row per block
     carry = blocks.select(key, "_blk", F.lag("_last").over(wb).alias("_carry"))
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    return (local.join(carry, [key, "_blk"])
-            .select(key, order, (F.col(time_col) - prev).alias("itl"))
-            .filter(F.col("itl").isNotNull()))
+    # Only the first arrival of each block needs the carried value: join just
+    # those rows (one per request and block) and keep the rest as they are.
+    inner = local.filter(F.col("_prev").isNotNull()).select(key, order, (F.col(time_col) - F.col("_prev")).alias("itl"))
+    edges = (local.filter(F.col("_prev").isNull()).join(carry, [key, "_blk"])
+             .filter(F.col("_carry").isNotNull())
+             .select(key, order, (F.col(time_col) - F.col("_carry")).alias("itl")))
+    return inner.unionByName(edges)
 
 
 def itl_arrays(token_times: DataFrame, key: str = "request_id", order: str = "seq",
