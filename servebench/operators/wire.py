@@ -252,7 +252,7 @@ def wire_summary(facts: DataFrame, key: str = "request_id", order: str = "line_n
 
 def request_records_two_pass(requests: DataFrame, lines: DataFrame, expectations: DataFrame,
                              key: str = "request_id", counter: str = "ws") -> DataFrame:
-    """Reference composition of the per-request fields from the separate
+    """Composition of the per-request fields from the separate
     operators (B2-B7): the capture is parsed in two branches.  Kept for
     tests; :func:`request_records_from_wire` is the one-pass form."""
     chunks = parse_wire(lines, key)
