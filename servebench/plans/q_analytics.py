@@ -329,15 +329,22 @@ def _cards_sql() -> str:
         (6, "Avg Output TPS", "coalesce(tps_avg, 0e0)", "tok/s per request", "true", "null"),
         (7, "Total Requests", "total_requests", "completed successfully", "true", "null"),
         (8, "RPM", "rpm", "requests/min", "true", "null"),
-        (9, "Error Rate", "error_rate * 100e0", "%", "true",
+        (9, "Error Rate", "error_rate * 100e0", "@failed_requests / total_attempted", "true",
          "case when error_rate < 0.01e0 then 'green' when error_rate < 0.05e0 then 'yellow' else 'red' end"),
-        (10, "Effective Concurrency", "round(effective_concurrency, 1)", "in flight", "true", "null"),
+        (10, "Effective Concurrency", "round(effective_concurrency, 1)", "/ 64", "true", "null"),
         (11, "Total Output Tokens", "total_output_tokens", "generated", "true", "null"),
         (12, "Total Input Tokens", "total_input_tokens", "processed", "true", "null"),
-        (13, "Tool Call Accuracy", "tool_call_accuracy * 100e0", "%", "tool_call_accuracy is not null", "null"),
+        (13, "Tool Call Accuracy", "tool_call_accuracy * 100e0", "@tool_call_correct / tool_call_total",
+         "tool_call_accuracy is not null", "null"),
     ]
+    def unit_sql(u: str) -> str:
+        if u.startswith("@"):   # counts caption: "<a> / <b>" from two columns
+            a, b = (x.strip() for x in u[1:].split("/"))
+            return f"concat(cast({a} as varchar), ' / ', cast({b} as varchar))"
+        return f"'{u}'"
+
     body = "\nunion all\n".join(
-        f"select {o} as card_order, '{n}' as card, round(cast({v} as double), 6) as value, '{u}' as unit, "
+        f"select {o} as card_order, '{n}' as card, round(cast({v} as double), 6) as value, {unit_sql(u)} as unit, "
         f"cast({r} as varchar) as rating from s, e where {show}" for o, n, v, u, show, r in cards)
     return f"with s as {_inner(RUN_SUMMARY_SQL)}, e as {_inner(_EFF_SQL)}\n{body}"
 
