@@ -44,7 +44,8 @@ def test_registry_imports_without_spark():
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import __spark_entry__ as E; print(len(E.oracle_sql()), len(E.queries()))"
+    code = ("import __spark_entry__ as E; from servebench.plans import catalog as C; "
+            "print(len(C.oracle_sql()), len(C.queries())); assert set(E.oracle_sql()) <= set(E.queries())")
     out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True,
                          env={**os.environ, "PYTHONPATH": root}, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
