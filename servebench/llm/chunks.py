@@ -125,7 +125,14 @@ def corpus(docs: DataFrame) -> Corpus:
     prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.mapInArrow(_pack, "chunk long, blob binary")
-    df = cut(packed.repartition(partitions, "chunk"))
+    # Planned without runtime re-planning, the written chunks are known to be dealt by chunk,
+    # so later passes do not shuffle the texts again.
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = cut(packed.repartition(partitions, "chunk"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     n = df.count()
     return Corpus(df, n, partitions)
 
@@ -182,6 +189,19 @@ def from48(data: memoryview) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Longs in four bytes each where their range allows, else in eight."""
+    low = int(ids.min()) if len(ids) else 0
+    narrow = len(ids) == 0 or int(ids.max()) - low < 1 << 32
+    head = low.to_bytes(8, "little", signed=True) + bytes([narrow])
+    return head + ((ids - low).astype("<u4") if narrow else ids.astype("<i8")).tobytes()
+
+
+def unpack_ids(data: memoryview) -> np.ndarray:
+    low = int.from_bytes(data[:8], "little", signed=True)
+    return np.frombuffer(data[9:], "<u4").astype(np.int64) + low if data[8] else np.frombuffer(data[9:], "<i8")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

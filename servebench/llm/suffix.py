@@ -17,7 +17,7 @@ refinement stops there, and only buckets that can still change are refined:
 * Round 2 takes, for anchor buckets that still hold differing runs, the strings
   one by one, for the smallest holder of each run only.
 
-Identifiers are 64-bit (pairs of them decide rounds 1 and 2); texts are
+Identifiers have 48 bits (two or three of them together decide rounds 1 and 2); texts are
 shuffled once, a key at most once per chunk.
 
 Edge cases: NULL text is empty; texts under 50 bytes keep everything; documents
@@ -42,6 +42,7 @@ WIDTH, Q = 50, 26
 LATER = WIDTH - Q                # offset of the second bucket of a string
 STEP = 1 << 20                   # strings looked at together
 _POS = np.uint64((1 << 31) - 1)
+_HIGH = ~np.uint64(0xFFFF)        # identifiers travel as their upper 48 bits
 _CHARS = K.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,7 +85,7 @@ class Runs:
             for x in four:
                 h = K.mix(h + x * m)
             out.append(h)
-        return out[0], out[1]
+        return out[0] & _HIGH, out[1] & _HIGH
 
     def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(run, start) of every string of the chosen runs."""
@@ -121,7 +122,7 @@ class Chunk:
         """Distinct 48-bit buckets (upper bits) and whether two documents here hold them."""
         if not self.runs:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        b = np.concatenate([r.bucket for r in self.runs]) & ~np.uint64(0xFFFF)
+        b = np.concatenate([r.bucket for r in self.runs]) & _HIGH
         d = np.concatenate([self.ids[r.doc] for r in self.runs])
         order = np.lexsort((d, b))
         b, d = b[order], d[order]
@@ -137,7 +138,7 @@ class Chunk:
         keys = keys[bits]
         out = []
         for r in self.runs:
-            b = r.bucket & ~np.uint64(0xFFFF)
+            b = r.bucket & _HIGH
             at = np.minimum(np.searchsorted(keys, b), max(len(keys) - 1, 0))
             out.append(np.flatnonzero(keys[at] == b) if len(keys) else np.zeros(0, np.int64))
         return out
@@ -152,7 +153,7 @@ class Chunk:
         empty = np.zeros(0, np.uint64)
         b, k1, k2 = (np.concatenate(x) if x else empty for x in (b, k1, k2))
         d = np.concatenate(d) if d else np.zeros(0, np.int64)
-        b = b & ~np.uint64(0xFFFF)
+        b = b & _HIGH
         order = np.lexsort((d, k2, k1, b))
         new = K.first_of(b[order]) | K.first_of(k1[order]) | K.first_of(k2[order])
         at = order[new]
@@ -171,7 +172,8 @@ class Chunk:
         for k, (r, s) in enumerate(zip(self.runs, self.sel)):
             run, start = r.strings(s[again[at:at + len(s)]])
             at += len(s)
-            w1.append(K.mix(r.b[start] * _MUL + r.b[start + LATER])), w2.append(r.b[start] ^ K.mix(r.b[start + LATER]))
+            w1.append(K.mix(r.b[start] * _MUL + r.b[start + LATER]) & _HIGH)
+            w2.append(K.mix(r.b[start] ^ K.mix(r.b[start + LATER])) & _HIGH)
             d.append(self.ids[r.doc[run]]), where.append(r.base + start)
         empty = np.zeros(0, np.uint64)
         w1, w2 = (np.concatenate(x) if x else empty for x in (w1, w2))
@@ -204,13 +206,13 @@ def _packed(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _lengths(payloads: list[memoryview], width: float) -> np.ndarray:
+def _lengths(payloads: list[memoryview]) -> np.ndarray:
     """Keys in each payload: a 4-byte count comes first."""
     return np.array([int.from_bytes(p[:4], "little") for p in payloads], np.int64)
 
 
 def _answer_buckets(payloads: list[memoryview]) -> list[bytes]:
-    n = _lengths(payloads, 6)
+    n = _lengths(payloads)
     keys = np.concatenate([K.from48(p[4:4 + 6 * k]) for p, k in zip(payloads, n)])
     here = np.concatenate([np.unpackbits(np.frombuffer(p[4 + 6 * k:], np.uint8), count=k) for p, k in zip(payloads, n)])
     order = np.argsort(keys, kind="stable")
@@ -224,7 +226,7 @@ def _answer_buckets(payloads: list[memoryview]) -> list[bytes]:
 def _answer_least(payloads: list[memoryview], refined: bool) -> list[bytes]:
     """Whether a smaller doc_id holds the key elsewhere; for runs also whether
     their anchor bucket holds differing runs."""
-    n = _lengths(payloads, 24)
+    n = _lengths(payloads)
     b, k1, k2, d = [], [], [], []
     for p, k in zip(payloads, n):
         at = 4
@@ -232,9 +234,9 @@ def _answer_least(payloads: list[memoryview], refined: bool) -> list[bytes]:
             b.append(K.from48(p[at:at + 6 * k]))
             at += 6 * k
         for out in (k1, k2):
-            out.append(np.frombuffer(p[at:at + 8 * k], "<u8"))
-            at += 8 * k
-        d.append(np.frombuffer(p[at:at + 8 * k], "<i8"))
+            out.append(K.from48(p[at:at + 6 * k]))
+            at += 6 * k
+        d.append(K.unpack_ids(p[at:]))
     k1, k2, d = np.concatenate(k1), np.concatenate(k2), np.concatenate(d)
     b = np.concatenate(b) if refined else k1
     order = np.lexsort((d, k2, k1, b))
@@ -270,15 +272,15 @@ def _answered(docs: DataFrame):
     def round1(chunk: int, table: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
         c = Chunk(table, parts, got)
         c.refine()
-        yield from K.questions(chunk, c.b, parts[1], lambda i, j: _count(j - i) + K.high48(c.b[i:j]) + c.k1[i:j].tobytes()
-                               + c.k2[i:j].tobytes() + c.least[i:j].tobytes())
+        yield from K.questions(chunk, c.b, parts[1], lambda i, j: _count(j - i) + K.high48(c.b[i:j]) + K.high48(c.k1[i:j])
+                               + K.high48(c.k2[i:j]) + K.pack_ids(c.least[i:j]))
 
     def round2(chunk: int, table: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
         c = Chunk(table, parts, got)
         c.refine()
         c.single_strings()
-        yield from K.questions(chunk, c.w1, parts[2], lambda i, j: _count(j - i) + c.w1[i:j].tobytes() + c.w2[i:j].tobytes()
-                               + c.w_least[i:j].tobytes())
+        yield from K.questions(chunk, c.w1, parts[2], lambda i, j: _count(j - i) + K.high48(c.w1[i:j]) + K.high48(c.w2[i:j])
+                               + K.pack_ids(c.w_least[i:j]))
 
     answers = {"buckets": corpus.answer(corpus.each(round0, K.ASK), _answer_buckets)}
     answers["runs"] = corpus.answer(corpus.each(round1, K.ASK, answers), lambda p: _answer_least(p, True))
