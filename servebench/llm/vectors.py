@@ -54,6 +54,13 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _filled(pivots: np.ndarray | None, length: int) -> np.ndarray:
+    """Always ``PIVOTS`` points: those missing for a rare vector length are drawn at random."""
+    drawn = np.random.default_rng(length).normal(size=(PIVOTS, length))
+    drawn /= np.sqrt((drawn * drawn).sum(axis=1, keepdims=True))
+    return drawn if pivots is None else np.concatenate([pivots, drawn])[:PIVOTS]
+
+
 def _describe(pivots: dict[int, np.ndarray]):
     """Unit vectors and the bit mask of each one's nearest pivots (of its own length)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +72,7 @@ def _describe(pivots: dict[int, np.ndarray]):
                 by_len.setdefault(len(r), []).append(i)
             for n, at in by_len.items():
                 x = _unit([rows[i] for i in at])
-                p = pivots.get(n, x[:1])
+                p = _filled(pivots.get(n), n)
                 near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :PREFIX]
                 bits = np.bitwise_or.reduce(np.uint64(1) << near.astype(np.uint64), axis=1).view(np.int64)
                 for i, m, u in zip(at, bits.tolist(), x):
