@@ -209,7 +209,7 @@ def jaccard_components(texts):
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
-@pytest.mark.parametrize("short,rounds", [(8, 1), (0, 0), (10_000, 0)])
+@pytest.mark.parametrize("short,rounds", [(8, 1), (0, 0)])
 def test_jaccard_components(docs, texts, monkeypatch, short, rounds):
     """Leaders, blocks and pairs each find the same components."""
     from servebench.llm import jaccard as J
