@@ -19,7 +19,6 @@ from ..wire import strip_ws
 from .common import scalar_cutoff, within
 
 CHAT_CATEGORIES = ("short_chat", "medium_chat", "multi_turn", "reasoning")
-SEEN_FACTOR = 50
 MIN_WORDS = 3
 MULTI_TURN_MIN_TURNS = 5
 
@@ -50,8 +49,8 @@ def conversation_facts(chat_log: DataFrame, key: str = "conv_id", order: str = "
 
 
 def chat_eligible(facts: DataFrame, languages=("English",)) -> Column:
-    """Language missing or accepted, non-empty, not toxic, not redacted."""
-    return ((F.col("lang").isNull() | F.col("lang").isin(*languages)) & (F.col("n_turns") > 0)
+    """Language missing, empty or accepted, non-empty, not toxic, not redacted."""
+    return ((F.col("lang").isNull() | (F.col("lang") == "") | F.col("lang").isin(*languages)) & (F.col("n_turns") > 0)
             & (F.col("toxic") == 0) & ~F.col("redacted"))
 
 
@@ -75,22 +74,18 @@ def _has_keyword(text: Column, keywords) -> Column:
 
 
 def route_chat(passing: DataFrame, fetch_targets: dict, key: str = "conv_id", specs: dict | None = None,
-               keywords=REASONING_KEYWORDS, max_input_tokens: int = 80000,
-               seen_factor: int = SEEN_FACTOR) -> tuple[DataFrame, DataFrame]:
+               keywords=REASONING_KEYWORDS, max_input_tokens: int = 80000) -> tuple[DataFrame, DataFrame]:
     """Route first user turns to short / medium / reasoning (E3) and pick
     multi-turn conversations (E4).  Returns ``(routed, multi_turn)``.
 
     ``passing`` is the output of :func:`first_user_turn`; ``key`` is the
-    source order (unique).  Only the first ``needed * 50 + 1`` passing rows are
-    considered, as the sequential scan stops there.  ``max_input_tokens`` caps
-    multi-turn only.
+    source order (unique).  All passing rows are considered.
+    ``max_input_tokens`` caps multi-turn only.
     """
     specs = specs or CATEGORY_SPECS
     t = {c: int(fetch_targets.get(c, 0)) for c in CHAT_CATEGORIES}
-    needed = sum(t.values())
-    cap = scalar_cutoff(passing, key, needed * seen_factor + 1)
     k, tok = F.col(key), F.col("text_tok")
-    base = passing.filter(k <= cap)
+    base = passing
     s, m, r, mt = (specs[c] for c in CHAT_CATEGORIES[:2] + ("reasoning", "multi_turn"))
     short_el = within(tok, s["min_tok"], s["max_tok"])
     med_el = (tok > F.lit(m["min_tok"])) & (tok <= F.lit(m["max_tok"]))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col_
 from ..functions.tokens import token_count
-from ..specs import ERROR_BODY_CHARS, ERROR_MESSAGE_CHARS, MAX_SSE_LINE_BYTES
+from ..specs import ERROR_BODY_CHARS, ERROR_MESSAGE_CHARS
 
 # FIXED VALUES: wire format markers.
 DATA_PREFIX = "data: "
@@ -57,7 +57,7 @@ def parse_wire(lines: DataFrame, key: str = "request_id", order: str = "line_no"
 
     Lines are trimmed; blank lines and lines without the ``data: `` prefix are
     ignored; reading stops at ``data: [DONE]`` (per request, the first such
-    line); malformed JSON payloads are skipped; lines over 1 MB are dropped.
+    line); malformed JSON payloads are skipped.
     The terminator position is a per-request ``min`` (partial aggregation)
     joined back, not a window, so a request with many lines is still
     aggregated map-side.
@@ -65,8 +65,7 @@ def parse_wire(lines: DataFrame, key: str = "request_id", order: str = "line_no"
     t = lines.select(key, order, time_col, strip_ws(line_col).alias("_l"))
     done = (t.filter(F.col("_l") == DONE_LINE).groupBy(key)
             .agg(F.min(order).alias("_done_at")))
-    data = (t.filter(F.col("_l").startswith(DATA_PREFIX) & (F.col("_l") != DONE_LINE)
-                     & (F.octet_length("_l") <= MAX_SSE_LINE_BYTES))
+    data = (t.filter(F.col("_l").startswith(DATA_PREFIX) & (F.col("_l") != DONE_LINE))
             .join(done, key, "left")
             .filter(F.col("_done_at").isNull() | (F.col(order) < F.col("_done_at")))
             .select(key, order, time_col, F.substring("_l", len(DATA_PREFIX) + 1, 1 << 30).alias("payload")))

@@ -128,8 +128,7 @@ _S, _M, _R, _MT = (CHAT_SPECS[c] for c in ("short_chat", "medium_chat", "reasoni
 _ROUTE_SQL = _FACTS_SQL + f"""
 , tg as (select 3 * {target_sql('short_chat')} as ts, 3 * {target_sql('medium_chat')} as tm,
            3 * {target_sql('reasoning')} as tr, 3 * {target_sql('multi_turn')} as tmt)
-, base as (select p.* from (select *, row_number() over (order by conv_id) as rn from passing) p, tg
-           where p.rn <= (ts + tm + tr + tmt) * 50 + 1)
+, base as (select p.* from (select *, row_number() over (order by conv_id) as rn from passing) p)
 , s as (select conv_id from (select conv_id, row_number() over (order by conv_id) as r from base
         where text_tok between {_S['min_tok']} and {_S['max_tok']}) x, tg where r <= ts)
 , m as (select conv_id from (select conv_id, row_number() over (order by conv_id) as r from base

@@ -79,7 +79,6 @@ SAMPLER_TAIL_SECONDS = 30.0
 FETCH_OVERSHOOT = 3
 ERROR_BODY_CHARS = 200
 ERROR_MESSAGE_CHARS = 300
-MAX_SSE_LINE_BYTES = 1_048_576
 TOKEN_MISMATCH_TOLERANCE = 0.20
 
 
