@@ -263,12 +263,12 @@ def test_cutting_stock_uses_every_item_once():
     rng = np.random.default_rng(1)
     for top in (1, 5, 64, 256):
         demand = rng.integers(0, 40, top)
-        plan = K.plan(demand, 256)
+        plan = K.plan(demand, 256, max_columns=300)
         assert (sum((p * n for p, n in plan), np.zeros(top, int)) == demand).all()
         assert all((p * np.arange(1, top + 1)).sum() <= 256 for p, _ in plan)
         used = (demand * np.arange(1, top + 1)).sum()
         if top == 64:
-            assert sum(n for _, n in plan) <= math.ceil(used / 256) + 2
+            assert sum(n for _, n in plan) <= math.ceil(used / 256) + 4
 
 
 # --- 7 -----------------------------------------------------------------------
