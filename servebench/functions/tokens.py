@@ -1,20 +1,13 @@
 """Token counting (D7) and message-list token totals.
 
-Two counters share one interface:
-
-* ``ws``  -- number of maximal non-whitespace runs (``\\S+``).  Native Spark
-  expression (``regexp_count``), stays inside whole-stage codegen.
-* ``bpe`` -- byte-pair encoding via an Arrow-batched pandas UDF.  It needs an
-  encoding file available to the workers; when none can be loaded the counter
-  raises at call time rather than silently falling back.
+The counter is ``ws``: the number of maximal non-whitespace runs (``\\S+``), a
+native Spark expression (``regexp_count``) inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .columns import col_
 
@@ -28,55 +21,16 @@ def ws_tokens(c: Column | str) -> Column:
     return F.coalesce(F.regexp_count(col_(c), F.lit(r"\S+")), F.lit(0)).cast("int")
 
 
-_ENCODERS: dict = {}
-
-
-def _encoder(name: str):
-    if name not in _ENCODERS:
-        import tiktoken  # per-worker module cache
-
-        _ENCODERS[name] = tiktoken.get_encoding(name)
-    return _ENCODERS[name]
-
-
-def bpe_tokens_udf(encoding: str = "cl100k_base"):
-    """Arrow UDF counting BPE tokens (special tokens treated as text)."""
-
-    @F.pandas_udf(T.IntegerType())
-    def _count(texts: pd.Series) -> pd.Series:
-        enc = _encoder(encoding)
-        return texts.map(lambda t: 0 if t is None else len(enc.encode(t, disallowed_special=())))
-
-    # Declared non-deterministic so that a filter and a projection on the same
-    # count share one evaluation node instead of tokenising twice.
-    return _count.asNondeterministic()
-
-
 def token_count(c: Column | str, counter: str = "ws") -> Column:
     if counter == "ws":
         return ws_tokens(c)
-    if counter == "bpe":
-        from pyspark.sql import SparkSession
-
-        from ..session import ship_package
-
-        active = SparkSession.getActiveSession()
-        if active is not None:
-            ship_package(active)
-        return bpe_tokens_udf()(col_(c))
     raise ValueError(f"unknown token counter {counter!r}")
 
 
 def message_tokens(messages: Column | str, counter: str = "ws") -> Column:
     """Tokens of a message list: 4 per message plus the tokens of every string
     value (role and content), plus 2 for reply priming (D8)."""
-    if counter == "ws":
-        return F.aggregate(
-            col_(messages), F.lit(REPLY_PRIMING_TOKENS),
-            lambda acc, m: acc + F.lit(PER_MESSAGE_TOKENS) + ws_tokens(m["role"])
-            + ws_tokens(m["content"])).cast("int")
-    # BPE: count each string once through the UDF after flattening.
-    flat = F.array_join(F.transform(col_(messages), lambda m: F.concat_ws("\n", m["role"], m["content"])), "\n")
-    return (F.lit(REPLY_PRIMING_TOKENS) + F.size(col_(messages)) * PER_MESSAGE_TOKENS
-            + token_count(flat, "bpe")).cast("int")
-
+    return F.aggregate(
+        col_(messages), F.lit(REPLY_PRIMING_TOKENS),
+        lambda acc, m: acc + F.lit(PER_MESSAGE_TOKENS) + token_count(m["role"], counter)
+        + token_count(m["content"], counter)).cast("int")

@@ -26,36 +26,17 @@ def msg(role: str | Column, content: Column | str) -> Column:
 
 
 
-
-TOPK_MAX = 50_000
-RANK_BAND_ERROR = 1e-4
-
-
 def scalar_cutoff(df: DataFrame, order_col: str, n: int):
-    """The ``n``-th smallest ``order_col`` (unique keys) as a scalar subquery
-    column: rows at or below it are the first ``n``.  NULL when ``n`` is 0 or
-    nothing qualifies; the largest key when fewer than ``n`` rows exist.
-
-    Up to ``TOPK_MAX`` it is an explicit distributed top-K
-    (``orderBy().limit()``: each partition keeps ``n`` keys, one task merges
-    them).  Beyond that, ``approxQuantile`` brackets the rank (two numbers to
-    the driver), an exact count gives the rank of the bracket's lower end, and
-    the top-K runs only inside the bracket (about ``6 * error * rows`` keys).
+    """The ``n``-th smallest ``order_col`` (unique keys of any type) as a scalar
+    subquery column: rows at or below it are the first ``n``.  NULL when ``n``
+    is 0 or nothing qualifies; the largest key when fewer than ``n`` rows exist.
+
+    A distributed top-K of the keys alone (each partition keeps ``n`` keys,
+    one task merges them), part of the plan of whatever uses it.
     """
     if n <= 0:
         return F.lit(None).cast(df.schema[order_col].dataType)
-    keys = df.select(order_col)
-    if n <= TOPK_MAX:
-        return keys.orderBy(order_col).limit(n).agg(F.max(order_col)).scalar()
-    total = keys.count()
-    if n >= total:
-        return keys.agg(F.max(order_col)).scalar()
-    q = n / total
-    e = RANK_BAND_ERROR
-    lo, hi = keys.approxQuantile(order_col, [max(0.0, q - 3 * e), min(1.0, q + 3 * e)], e)
-    below = keys.filter(F.col(order_col) < F.lit(lo)).count()
-    band = keys.filter((F.col(order_col) >= F.lit(lo)) & (F.col(order_col) <= F.lit(hi)))
-    return band.orderBy(order_col).limit(n - below).agg(F.max(order_col)).scalar()
+    return df.select(order_col).orderBy(order_col).limit(n).agg(F.max(order_col)).scalar()
 
 
 def within(x: Column, lo: int, hi: int) -> Column:

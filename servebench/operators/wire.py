@@ -20,8 +20,10 @@ from ..specs import ERROR_BODY_CHARS, ERROR_MESSAGE_CHARS
 DATA_PREFIX = "data: "
 DONE_LINE = "data: [DONE]"
 
+# Numbers are read as text, so that one odd number (``2.0``, ``"0"``) costs
+# neither its chunk nor the fields beside it.
 TOOL_DELTA = T.StructType([
-    T.StructField("index", T.IntegerType()),
+    T.StructField("index", T.StringType()),
     T.StructField("id", T.StringType()),
     T.StructField("function", T.StructType([
         T.StructField("name", T.StringType()),
@@ -29,15 +31,13 @@ TOOL_DELTA = T.StructType([
 ])
 CHUNK_SCHEMA = T.StructType([
     T.StructField("choices", T.ArrayType(T.StructType([
-        T.StructField("index", T.IntegerType()),
         T.StructField("delta", T.StructType([
             T.StructField("content", T.StringType()),
             T.StructField("tool_calls", T.ArrayType(TOOL_DELTA))])),
     ]))),
     T.StructField("usage", T.StructType([
-        T.StructField("prompt_tokens", T.LongType()),
-        T.StructField("completion_tokens", T.LongType())])),
-    T.StructField("_corrupt", T.StringType()),
+        T.StructField("prompt_tokens", T.StringType()),
+        T.StructField("completion_tokens", T.StringType())])),
 ])
 
 
@@ -57,7 +57,7 @@ def parse_wire(lines: DataFrame, key: str = "request_id", order: str = "line_no"
 
     Lines are trimmed; blank lines and lines without the ``data: `` prefix are
     ignored; reading stops at ``data: [DONE]`` (per request, the first such
-    line); malformed JSON payloads are skipped.
+    line); payloads that are not one whole JSON object are skipped.
     The terminator position is a per-request ``min`` (partial aggregation)
     joined back, not a window, so a request with many lines is still
     aggregated map-side.
@@ -69,12 +69,14 @@ def parse_wire(lines: DataFrame, key: str = "request_id", order: str = "line_no"
             .join(done, key, "left")
             .filter(F.col("_done_at").isNull() | (F.col(order) < F.col("_done_at")))
             .select(key, order, time_col, F.substring("_l", len(DATA_PREFIX) + 1, 1 << 30).alias("payload")))
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = data.select("*", F.from_json("payload", CHUNK_SCHEMA, opts).alias("_j"))
-    valid = (F.col("_j").isNotNull() & F.col("_j._corrupt").isNull()
-             & strip_ws("payload").endswith("}"))
-    return parsed.filter(valid).select(key, order, time_col, F.col("_j.choices").alias("choices"),
-                                       F.col("_j.usage").alias("usage"))
+    parsed = data.filter(json_object_valid("payload")).select("*", F.from_json("payload", CHUNK_SCHEMA).alias("_j"))
+    return parsed.select(key, order, time_col, F.col("_j.choices").alias("choices"), F.col("_j.usage").alias("usage"))
+
+
+def whole_number(c: Column | str) -> Column:
+    """A number read as text as a whole number; NULL when it is none."""
+    c = col_(c)
+    return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
 
 
 def _has_token(choices: Column) -> Column:
@@ -96,8 +98,8 @@ def chunk_facts(chunks: DataFrame, key: str = "request_id", order: str = "line_n
                         F.lit(0))
     return chunks.select(key, order, time_col, _content(ch).alias("content"), _has_token(ch).alias("has_token"),
                          n_tool.alias("n_tool_deltas"),
-                         F.col("usage.prompt_tokens").alias("prompt_tokens"),
-                         F.col("usage.completion_tokens").alias("completion_tokens"))
+                         whole_number("usage.prompt_tokens").alias("prompt_tokens"),
+                         whole_number("usage.completion_tokens").alias("completion_tokens"))
 
 
 def first_token(facts: DataFrame, key: str = "request_id", time_col: str = "arrived_at") -> DataFrame:
@@ -118,11 +120,13 @@ def token_times(facts: DataFrame, key: str = "request_id", order: str = "line_no
 
 def last_usage(facts: DataFrame, key: str = "request_id", order: str = "line_no") -> DataFrame:
     """Last non-zero ``prompt_tokens`` and ``completion_tokens``."""
-    def last_truthy(c: str) -> Column:
-        x = F.col(c)
-        return F.max_by(F.when(x.isNotNull() & (x != 0), x), F.when(x.isNotNull() & (x != 0), F.col(order)))
-    return facts.groupBy(key).agg(last_truthy("prompt_tokens").alias("usage_prompt_tokens"),
-                                  last_truthy("completion_tokens").alias("usage_completion_tokens"))
+    return facts.groupBy(key).agg(_last_truthy("prompt_tokens", order).alias("usage_prompt_tokens"),
+                                  _last_truthy("completion_tokens", order).alias("usage_completion_tokens"))
+
+
+def _last_truthy(c: str, order: str) -> Column:
+    kept = F.when(F.col(c) != 0, F.col(c))
+    return F.max_by(kept, F.when(kept.isNotNull(), F.col(order)))
 
 
 def generated_text(facts: DataFrame, key: str = "request_id", order: str = "line_no") -> DataFrame:
@@ -138,7 +142,7 @@ def tool_call_deltas(chunks: DataFrame, key: str = "request_id", order: str = "l
     c = chunks.select(key, order, F.posexplode("choices").alias("_cpos", "_c"))
     d = c.select(key, order, "_cpos", F.posexplode("_c.delta.tool_calls").alias("_tpos", "_t"))
     return d.select(key, order, "_cpos", "_tpos",
-                    F.coalesce(F.col("_t.index"), F.lit(0)).alias("index"),
+                    F.coalesce(whole_number("_t.index"), F.lit(0)).cast("int").alias("index"),
                     F.col("_t.id").alias("id"), F.col("_t.function.name").alias("name"),
                     F.col("_t.function.arguments").alias("arguments"))
 
@@ -160,12 +164,17 @@ def assemble_tool_calls(deltas: DataFrame, key: str = "request_id", order: str =
 
 
 def json_object_valid(c: Column | str) -> Column:
-    """True when the text is one JSON object.  ``json_object_keys`` rejects
-    arrays, scalars and broken text; ``try_parse_json`` rejects single quotes;
-    the closing-brace test rejects text after the object.  Residual
-    difference from a strict parser: NaN literals and duplicate keys."""
+    """True when the whole text is one JSON object; never NULL.
+
+    The text is set as the first value of a two-field object: text after it
+    breaks that object or its key list.  ``try_parse_json`` rejects what the
+    key list tolerates, such as single quotes.  Residual difference from a
+    strict parser: NaN literals and duplicate keys."""
     c = col_(c)
-    return F.json_object_keys(c).isNotNull() & F.try_parse_json(c).isNotNull() & strip_ws(c).endswith("}")
+    framed = F.concat(F.lit('{"value":'), c, F.lit(',"end":0}'))
+    ok = (strip_ws(c).startswith("{") & F.try_parse_json(framed).isNotNull()
+          & (F.json_object_keys(framed) == F.array(F.lit("value"), F.lit("end"))))
+    return F.coalesce(ok, F.lit(False))
 
 
 def score_tool_calls(calls: DataFrame, expectations: DataFrame, scored: DataFrame,
@@ -232,47 +241,17 @@ def wire_summary(facts: DataFrame, key: str = "request_id", order: str = "line_n
                  time_col: str = "arrived_at") -> DataFrame:
     """B2 + B3 + B4 in one aggregate: a single shuffle of the chunk facts."""
     tok = F.col("has_token")
-
-    def last_truthy(c: str) -> Column:
-        x = F.col(c)
-        t = x.isNotNull() & (x != 0)
-        return F.max_by(F.when(t, x), F.when(t, F.col(order)))
-
     parts = F.array_sort(F.collect_list(F.when(F.length("content") > 0,
                                                F.struct(F.col(order).alias("o"), F.col("content").alias("c")))))
     return facts.groupBy(key).agg(
         F.min(F.when(tok, F.col(time_col))).alias("first_token_at"),
         F.max(F.when(tok, F.col(time_col))).alias("last_token_at"),
         F.count_if(tok).alias("n_token_chunks"),
-        last_truthy("prompt_tokens").alias("usage_prompt_tokens"),
-        last_truthy("completion_tokens").alias("usage_completion_tokens"),
+        _last_truthy("prompt_tokens", order).alias("usage_prompt_tokens"),
+        _last_truthy("completion_tokens", order).alias("usage_completion_tokens"),
         F.array_join(F.transform(parts, lambda s: s["c"]), "").alias("text"))
 
 
-def request_records_two_pass(requests: DataFrame, lines: DataFrame, expectations: DataFrame,
-                             key: str = "request_id", counter: str = "ws") -> DataFrame:
-    """Composition of the per-request fields from the separate
-    operators (B2-B7): the capture is parsed in two branches.  Kept for
-    tests; :func:`request_records_from_wire` is the one-pass form."""
-    chunks = parse_wire(lines, key)
-    facts = chunk_facts(chunks, key)
-    summ = wire_summary(facts, key)
-    calls = assemble_tool_calls(tool_call_deltas(chunks, key), key)
-    scored = requests.filter((F.col("category") == "tool_call") & (F.col("status") == "success")).select(key)
-    scores = score_tool_calls(calls, expectations, scored, key)
-    j = requests.drop("first_token_at", "tool_call_correct", "output_tokens").join(summ, key, "left") \
-        .join(scores, key, "left")
-    up = F.col("usage_prompt_tokens")
-    ok = F.col("status") == "success"
-    out_tok = (F.when(F.col("usage_completion_tokens").isNotNull(), F.col("usage_completion_tokens"))
-               .when(ok & (F.length("text") > 0), token_count("text", counter).cast("bigint"))
-               .otherwise(F.lit(0).cast("bigint")))
-    return j.select(
-        key, "category", "status", "request_sent_at", "first_token_at", "completed_at",
-        F.when(up.isNotNull(), up).otherwise(F.col("input_tokens")).alias("input_tokens"),
-        out_tok.alias("output_tokens"), "tool_call_correct")
-
-
 # ---------------------------------------------------------------------------
 # One pass per request: everything a record needs from the capture
 # ---------------------------------------------------------------------------
@@ -283,7 +262,7 @@ def _chunk_tool_deltas(choices: Column) -> Column:
                                  lambda c, cpos: F.transform(
                                      F.coalesce(c["delta"]["tool_calls"], F.array().cast(T.ArrayType(TOOL_DELTA))),
                                      lambda t, tpos: F.struct(
-                                         F.coalesce(t["index"], F.lit(0)).alias("index"), t["id"].alias("id"),
+                                         F.coalesce(whole_number(t["index"]), F.lit(0)).cast("int").alias("index"), t["id"].alias("id"),
                                          t["function"]["name"].alias("name"),
                                          t["function"]["arguments"].alias("arguments")))))
 
@@ -317,15 +296,9 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
     c = F.col("choices")
     facts = ch.select(key, order, time_col, _content(c).alias("content"), _has_token(c).alias("has_token"),
                       _chunk_tool_deltas(c).alias("tool_deltas"),
-                      F.col("usage.prompt_tokens").alias("prompt_tokens"),
-                      F.col("usage.completion_tokens").alias("completion_tokens"))
+                      whole_number("usage.prompt_tokens").alias("prompt_tokens"),
+                      whole_number("usage.completion_tokens").alias("completion_tokens"))
     tok = F.col("has_token")
-
-    def last_truthy(name: str) -> Column:
-        x = F.col(name)
-        t = x.isNotNull() & (x != 0)
-        return F.max_by(F.when(t, x), F.when(t, F.col(order)))
-
     parts = F.array_sort(F.collect_list(F.when(F.length("content") > 0,
                                                F.struct(F.col(order).alias("o"), F.col("content").alias("c")))))
     tdel = F.array_sort(F.collect_list(F.when(F.size("tool_deltas") > 0,
@@ -334,8 +307,8 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
         F.min(F.when(tok, F.col(time_col))).alias("first_token_at"),
         F.max(F.when(tok, F.col(time_col))).alias("last_token_at"),
         F.count_if(tok).alias("n_token_chunks"),
-        last_truthy("prompt_tokens").alias("usage_prompt_tokens"),
-        last_truthy("completion_tokens").alias("usage_completion_tokens"),
+        _last_truthy("prompt_tokens", order).alias("usage_prompt_tokens"),
+        _last_truthy("completion_tokens", order).alias("usage_completion_tokens"),
         F.array_join(F.transform(parts, lambda s: s["c"]), "").alias("text"),
         F.flatten(F.transform(tdel, lambda s: s["d"])).alias("_deltas"))
     # Consecutive gaps telescope: their mean is (last - first) / (n - 1), so

@@ -29,35 +29,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-BALANCE_MIN_BYTES = 1 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table.  When a large input arrives as fewer scan partitions
-    than the session's parallelism (one big row group), it is spread
-    round-robin so per-row work runs in parallel; inputs already split into
-    enough partitions (any real data set) are read as they are."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return balanced(df, path)
-
-
-def balanced(df: DataFrame, path: str | None = None) -> DataFrame:
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    try:
-        n_parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return df
-    if n_parts >= par:
-        return df
-    if path is not None:
-        from .io import _fs
-
-        fs, p = _fs(spark, path)
-        if fs.getContentSummary(p).getLength() < BALANCE_MIN_BYTES:
-            return df
-    return df.repartition(par)
+    """A supplied table, read as it is."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _epoch_micros(df: DataFrame, col: str) -> str:

@@ -8,7 +8,7 @@ from servebench.operators.curate import chat as C
 from servebench.operators.curate import documents as D
 from servebench.operators.curate import pool as PL
 from servebench.operators.curate import tools as TO
-from servebench.specs import CATEGORY_SPECS, REASONING_KEYWORDS
+from servebench.specs import CATEGORY_SPECS
 
 
 def test_normalize_tools(spark):
@@ -37,39 +37,22 @@ def test_chat_eligibility(spark):
     assert [r.conv_id for r in p.collect()] == [1]
 
 
-def _sequential_route(rows, fetch, specs):
-    """The reference's single pass, for comparison."""
-    out = {c: [] for c in ("short_chat", "medium_chat", "reasoning")}
-    s, m, r = specs["short_chat"], specs["medium_chat"], specs["reasoning"]
-    for cid, text, tok in rows:
-        if len(out["short_chat"]) < fetch["short_chat"] and s["min_tok"] <= tok <= s["max_tok"]:
-            out["short_chat"].append(cid)
-        elif len(out["medium_chat"]) < fetch["medium_chat"] and m["min_tok"] < tok <= m["max_tok"]:
-            out["medium_chat"].append(cid)
-        elif (len(out["reasoning"]) < fetch["reasoning"] and r["min_tok"] <= tok <= r["max_tok"]
-              and any(k in text.lower() for k in REASONING_KEYWORDS)):
-            out["reasoning"].append(cid)
-    return out
-
-
-def test_route_matches_sequential_loop(spark):
-    import random
-
-    rnd = random.Random(3)
-    words = ["alpha", "beta", "solve", "gamma", "prove", "delta"]
-    rows = []
-    for cid in range(400):
-        n = rnd.choice([3, 6, 20, 45, 60, 120, 390, 420])
-        rows.append((cid, " ".join(rnd.choice(words) for _ in range(n))))
-    df = spark.createDataFrame([(cid, 0, "user", t, None, 0) for cid, t in rows],
+def test_route_takes_in_order_and_spills_over(spark):
+    """A quota takes the first ids; what it leaves goes to the next category that fits."""
+    texts = [(1, "alpha " * 20), (2, "prove " * 20), (3, "alpha " * 20),      # short, short, over the short quota
+             (4, "solve " * 20),                                            # over it too, and a reasoning keyword
+             (5, "alpha " * 60), (6, "prove " * 60), (7, "alpha " * 60),      # medium, over its quota: 6 reasoning, 7 nowhere
+             (8, "solve " * 60), (9, "alpha beta")]                          # over the reasoning quota; too short
+    df = spark.createDataFrame([(cid, 0, "user", t.strip(), None, 0) for cid, t in texts],
                                "conv_id long, turn int, role string, content string, lang string, toxic int")
-    specs = {c: dict(s, min_tok=s["min_tok"] // 10, max_tok=s["max_tok"] // 10) for c, s in CATEGORY_SPECS.items()}
-    fetch = {"short_chat": 30, "medium_chat": 20, "reasoning": 25, "multi_turn": 0}
-    passing = C.first_user_turn(C.conversation_facts(df))
-    routed, _ = C.route_chat(passing, fetch, specs=specs)
-    got = {c: sorted(r.conv_id for r in routed.filter(F.col("category") == c).collect()) for c in fetch if c != "multi_turn"}
-    want = _sequential_route([(cid, t, len(t.split())) for cid, t in rows], fetch, specs)
-    assert got == {c: sorted(v) for c, v in want.items()}
+    specs = {c: dict(s) for c, s in CATEGORY_SPECS.items()}
+    specs["short_chat"] |= {"min_tok": 5, "max_tok": 30}
+    specs["medium_chat"] |= {"min_tok": 30, "max_tok": 100}
+    specs["reasoning"] |= {"min_tok": 5, "max_tok": 100}
+    fetch = {"short_chat": 2, "medium_chat": 1, "reasoning": 2, "multi_turn": 0}
+    routed, _ = C.route_chat(C.first_user_turn(C.conversation_facts(df)), fetch, specs=specs)
+    got = sorted((r.category, r.conv_id) for r in routed.collect())
+    assert got == [("medium_chat", 5), ("reasoning", 4), ("reasoning", 6), ("short_chat", 1), ("short_chat", 2)]
 
 
 def test_sample_balanced_pool(spark):
@@ -130,19 +113,17 @@ def test_long_doc_token_count_matches_direct_count(spark):
     assert bad.count() == 0
 
 
-def test_scalar_cutoff_paths(spark, monkeypatch):
-    """Top-K path and rank-bracket path give the n-th smallest key."""
+def test_scalar_cutoff(spark):
+    """The n-th smallest key, of any type; the largest when there are fewer."""
     from servebench.operators.curate import common
 
     df = spark.range(0, 20000).select((F.col("id") * 7 % 20011).alias("k"))
     keys = sorted(r.k for r in df.collect())
     one = spark.range(1)
-    for n in (1, 5, 999, 12345, 19999, 20000, 25000):
-        want = keys[min(n, len(keys)) - 1]
-        assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == want
-    monkeypatch.setattr(common, "TOPK_MAX", 10)
-    for n in (50, 12345, 19999):
-        assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == keys[n - 1]
+    for n in (1, 5, 12345, 20000, 60000):
+        assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == keys[min(n, len(keys)) - 1]
+    words = df.select(F.md5(F.col("k").cast("string")).alias("k"))
+    assert one.select(common.scalar_cutoff(words, "k", 60000)).first()[0] == max(r.k for r in words.collect())
 
 
 def test_request_plan_follows_weights(spark):

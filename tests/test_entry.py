@@ -53,20 +53,6 @@ def test_registry_imports_without_spark():
     assert n_oracle == n_queries
 
 
-def test_bpe_counter_evaluated_once(spark):
-    """A BPE count used in a projection and a filter is one Arrow UDF node
-    (the UDF is declared non-deterministic); cheap filters stay below it."""
-    from pyspark.sql import functions as F
-
-    from servebench.functions.tokens import token_count
-
-    df = spark.createDataFrame([(1, "hello world", 20)], "doc_id long, text string, n_chars long")
-    out = (df.filter(F.col("n_chars") >= 10).select("doc_id", token_count("text", "bpe").alias("n"))
-           .filter(F.col("n") > 1))
-    plan = _plan(out)
-    assert plan.count("ArrowEvalPython") == 1
-
-
 # Queries whose unpartitioned windows run over tables bounded by the run
 # length (per-slot offsets, 1 s ticks, hourly slots) or by the <= 7 category
 # shares of a request plan.

@@ -124,17 +124,3 @@ def test_require_prompts(spark):
     assert rej.count() == 1
     with pytest.raises(ValueError):
         IO.require_prompts(ok, path)
-
-
-def test_balanced_input(spark):
-    """A large single-row-group input is spread over the session's
-    parallelism; small inputs and already-split inputs are left alone."""
-    from servebench.sources import standins as S
-
-    par = spark.sparkContext.defaultParallelism
-    small = S.table(spark, "/root/testdata/sf0.001", "events")
-    assert small.rdd.getNumPartitions() < par                     # 22 KB file: read as is
-    big = S.table(spark, "/root/testdata/sf0.1", "documents")      # 15 MB, one row group
-    assert big.rdd.getNumPartitions() == par
-    split = spark.range(0, 1000, numPartitions=par + 2)
-    assert S.balanced(split).rdd.getNumPartitions() == par + 2

@@ -44,6 +44,10 @@ def test_sse_edge_cases(spark):
     assert W.parse_wire(lines(spark, [chunk("a"), "data: {bad json", chunk("b")])).count() == 2
     # trailing text after a JSON object is malformed too
     assert W.parse_wire(lines(spark, [chunk("a"), 'data: {"choices":[]} trailing'])).count() == 1
+    assert W.parse_wire(lines(spark, [chunk("a"), 'data: {"choices":[]} {}', "data: {'choices':[]}"])).count() == 1
+    # an odd number costs neither its chunk nor the fields beside it
+    odd = W.chunk_facts(W.parse_wire(lines(spark, [chunk("a", usage={"prompt_tokens": "x", "completion_tokens": 2.0})]))).first()
+    assert (odd.content, odd.prompt_tokens, odd.completion_tokens) == ("a", None, 2)
     # lines after the terminator are ignored; lines without the prefix too
     assert W.parse_wire(lines(spark, [chunk("a"), "data: [DONE]", chunk("late"), "event: ping"])).count() == 1
 
@@ -61,7 +65,7 @@ def test_tool_call_assembly(spark):
     assert len(c) == 1 and c[0].name == "get_weather" and c[0].id == "call_1"
     assert json.loads(c[0].arguments) == {"location": "SF"}
     two = calls_of(spark, [[{"index": 0, "function": {"name": "a"}}, {"index": 1, "function": {"name": "b"}}],
-                           [{"function": {"arguments": "{}"}}]])
+                           [{"index": "0", "function": {"arguments": "{}"}}]])
     assert [(x["index"], x.name, x.arguments) for x in two] == [(0, "a", "{}"), (1, "b", "")]
 
 
@@ -73,6 +77,11 @@ SCORE_CASES = [
     ("get_weather", '{"location": "SF"}', None, None, None),
     ("get_weather", '{"location": ', "get_weather", ["location"], False),
     ("get_weather", '[1, 2]', "get_weather", [], False),
+    ("get_weather", '{"location": "SF"} }', "get_weather", ["location"], False),
+    ("get_weather", '{"location": "SF"} {}', "get_weather", ["location"], False),
+    ("get_weather", '{"location": "SF"}, "x": {}', "get_weather", ["location"], False),
+    ("get_weather", "{'location': 'SF'}", "get_weather", ["location"], False),
+    ("get_weather", ' {"location": "SF"}\n', "get_weather", ["location"], True),
 ]
 
 
@@ -111,8 +120,12 @@ def test_one_pass_records_equal_two_branch(spark):
     req = S.requests_df(spark, SF001)
     lines = S.wire_lines_df(spark, SF001, req)
     exp = S.expectations_df(spark, SF001, req)
-    cols = ["request_id", "first_token_at", "input_tokens", "output_tokens", "tool_call_correct"]
+    cols = ["request_id", "first_token_at", "tool_call_correct"]
     a = W.request_records_from_wire(req, lines, exp).select(*cols)
-    b = W.request_records_two_pass(req, lines, exp).select(*cols)
+    chunks = W.parse_wire(lines)
+    calls = W.assemble_tool_calls(W.tool_call_deltas(chunks))
+    scored = req.filter("category = 'tool_call' and status = 'success'").select("request_id")
+    b = (req.select("request_id").join(W.first_token(W.chunk_facts(chunks)), "request_id", "left")
+         .join(W.score_tool_calls(calls, exp, scored), "request_id", "left").select(*cols))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert a.filter("tool_call_correct is not null").count() > 0
