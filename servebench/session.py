@@ -88,7 +88,7 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``servebench`` importable in Python workers (needed by operators
-    that run Python in tasks: the stateful stream fold.
+    that run Python in tasks: the stateful stream fold).
     The package is zipped once per application and distributed with
     ``addPyFile``, which Spark copies to every executor."""
     import zipfile
