@@ -21,6 +21,9 @@ from .common import scalar_cutoff, within
 CHAT_CATEGORIES = ("short_chat", "medium_chat", "multi_turn", "reasoning")
 MIN_WORDS = 3
 MULTI_TURN_MIN_TURNS = 5
+# FIXED VALUES: the characters that part words (Unicode blanks and separators).
+BLANKS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+          "\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def conversation_facts(chat_log: DataFrame, key: str = "conv_id", order: str = "turn",
@@ -29,7 +32,7 @@ def conversation_facts(chat_log: DataFrame, key: str = "conv_id", order: str = "
     language/toxicity/redaction flags, the first non-blank user turn
     (trimmed), and the multi-turn message count and token total."""
     role, content = F.col("role"), F.col("content")
-    stripped = strip_ws(content)
+    stripped = F.btrim(content, F.lit(BLANKS))
     user_nb = (role == "user") & (F.length(stripped) > 0)
     mt = role.isin("user", "assistant") & (F.length(stripped) > 0)
     redacted = F.col("redacted") if "redacted" in chat_log.columns else F.lit(False)
@@ -58,7 +61,7 @@ def first_user_turn(facts: DataFrame, languages=("English",), counter: str = "ws
     """Eligible conversations whose first non-blank user turn has at least
     three words (E2), with its text and single-message token counts."""
     fu = F.col("first_user")
-    words = token_count(fu, "ws")
+    words = F.regexp_count(fu, F.lit(f"[^{BLANKS}]+"))
     out = facts.filter(chat_eligible(facts, languages) & fu.isNotNull() & (words >= MIN_WORDS))
     text_tok = token_count(fu, counter)
     single = (F.lit(REPLY_PRIMING_TOKENS + PER_MESSAGE_TOKENS) + token_count(F.lit("user"), counter) + text_tok)

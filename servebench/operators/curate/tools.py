@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS, token_count
-from ..wire import json_object_valid, strip_ws
+from ..wire import json_object_valid, json_valid, strip_ws
 from .common import within
 
+# String values, separators, and the runs between them.
+JSON_PIECES = r'"(?:[^"\\]++|\\.)*+"|[,:]|[^",:]++'
 WRAP_PREFIX = '{"type":"function","function":'
 
 
@@ -41,12 +43,26 @@ def normalize_tools(df: DataFrame, col: str = "tools_json", key: str = "row_id")
         F.when(F.size("tools") > 0, F.concat(F.lit("["), F.array_join("tools", ","), F.lit("]"))).alias("tools_text"))
 
 
+def spaced_json(text: Column) -> Column:
+    """Compact JSON text with a space after each structural ``,`` and ``:``."""
+    pieces = F.regexp_extract_all(text, F.lit(JSON_PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.isin(",", ":"), F.concat(p, F.lit(" "))).otherwise(p)), "")
+
+
+def expected_args(args: Column) -> Column:
+    """Argument names of a call; none when its text is not a JSON object."""
+    return F.when(json_object_valid(args), F.json_object_keys(args)).otherwise(F.array().cast("array<string>"))
+
+
 def tools_tokens(tools_text: Column, counter: str = "ws") -> Column:
-    """Tokens of the tool list.  ``ws``: the compact JSON with a space after
-    each ``,`` and ``:``, the spacing of a default JSON dump."""
-    if counter == "ws":
-        return F.coalesce(token_count(F.regexp_replace(tools_text, "([,:])", "$1 "), "ws"), F.lit(0))
-    return F.coalesce(token_count(tools_text, counter), F.lit(0))
+    """Tokens of the tool list, spaced as a default JSON dump: a space after
+    each ``,`` and ``:`` between values, none inside string values."""
+    return F.coalesce(token_count(spaced_json(tools_text), counter), F.lit(0))
+
+
+def has_call() -> Column:
+    """An assistant turn carrying a tool call, named or not."""
+    return (F.col("role") == "assistant") & (F.col("tc_name").isNotNull() | F.col("tc_args").isNotNull())
 
 
 def cut_at_tool_call(turns: DataFrame, tools: DataFrame | None = None, key: str = "conv_id",
@@ -54,20 +70,21 @@ def cut_at_tool_call(turns: DataFrame, tools: DataFrame | None = None, key: str
                      counter: str = "ws") -> DataFrame:
     """Prompt = messages before the first assistant turn carrying a tool call
     (E5).  ``turns`` has ``role``, ``content``, ``tc_name``, ``tc_args``
-    (NULL when the turn has no call).
+    (both NULL when the turn has no call; a call may lack either).
 
     The cut position and the expectation are per-conversation aggregates;
     the prompt's message count and tokens are a second aggregate over the
     turns before the cut.  Kept: system/user/assistant turns with content;
     at least one user turn; tool-JSON tokens added; ``lo <= tokens <= hi``.
     The expectation is the first call's name and argument keys (bad JSON or
-    a non-object gives no keys); no call gives no expectation.
+    a non-object gives no keys; a missing name is empty); no call gives no
+    expectation.
     """
     role = F.col("role")
-    is_tc = (role == "assistant") & F.col("tc_name").isNotNull()
+    is_tc = has_call()
     cut = turns.groupBy(key).agg(
         F.min(F.when(is_tc, F.col(order))).alias("_cut"),
-        F.min_by(F.when(is_tc, F.col("tc_name")), F.when(is_tc, F.col(order))).alias("exp_name"),
+        F.min_by(F.when(is_tc, F.coalesce("tc_name", F.lit(""))), F.when(is_tc, F.col(order))).alias("exp_name"),
         F.min_by(F.when(is_tc, F.col("tc_args")), F.when(is_tc, F.col(order))).alias("_exp_args"))
     keep = role.isin("system", "user", "assistant") & (F.length("content") > 0)
     before = (turns.join(cut.select(key, "_cut"), key)
@@ -84,9 +101,7 @@ def cut_at_tool_call(turns: DataFrame, tools: DataFrame | None = None, key: str
     n_tools = F.coalesce("n_tools", F.lit(0))
     tok = (F.lit(REPLY_PRIMING_TOKENS) + F.col("_tok")
            + F.when(n_tools > 0, tools_tokens(F.col("tools_text"), counter)).otherwise(F.lit(0))).cast("int")
-    args = F.col("_exp_args")
-    req = F.when(F.col("exp_name").isNull(), F.lit(None).cast("string")) \
-        .when(json_object_valid(args), F.array_join(F.json_object_keys(args), ",")).otherwise(F.lit(""))
+    req = F.when(F.col("exp_name").isNotNull(), expected_args(F.col("_exp_args")))
     cond = (F.col("n_messages") > 0) & (F.col("_n_user") > 0) & within(tok, lo, hi)
     if require_tools is not None:
         cond = cond & (~require_tools | (n_tools > 0))
@@ -99,7 +114,7 @@ def tool_prompt_messages(turns: DataFrame, chosen: DataFrame, key: str = "conv_i
     conversations, collected only for those keys."""
     role = F.col("role")
     t = turns.join(chosen.select(key), key, "left_semi")
-    is_tc = (role == "assistant") & F.col("tc_name").isNotNull()
+    is_tc = has_call()
     cut = t.groupBy(key).agg(F.min(F.when(is_tc, F.col(order))).alias("_cut"))
     keep = role.isin("system", "user", "assistant") & (F.length("content") > 0)
     before = t.join(cut, key).filter(keep & (F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))))
@@ -164,7 +179,7 @@ def cut_at_tool_tag(turns: DataFrame, tools: DataFrame | None = None, key: str =
     has_args = F.array_contains(F.coalesce(F.json_object_keys(tc), F.array().cast("array<string>")), "arguments")
     args_obj = json_object_valid(args)
     exp_name = F.when(ok_json, F.coalesce(F.get_json_object(tc, "$.name"), F.lit("")))
-    exp_args = F.when(ok_json, F.when(has_args, F.array_join(F.json_object_keys(args), ",")).otherwise(F.lit("")))
+    exp_args = F.when(ok_json, expected_args(args))
     dropped = ok_json & has_args & ~F.coalesce(args_obj, F.lit(False))
     cond = (F.col("n_messages") > 0) & (F.col("_n_user") > 0) & within(tok, lo, hi) & ~dropped
     return j.select("*", tok.alias("n_tokens"), exp_name.alias("exp_name"), exp_args.alias("exp_args"),
@@ -203,8 +218,9 @@ def split_transcript(transcripts: DataFrame, key: str = "conv_id", lo: int = 100
 
     The chat is split on the user marker (one row per part, ``posexplode``).
     The first part whose assistant text holds a parseable call ends the
-    prompt; the call text runs to the first end marker present (tried in
-    order) and is retried with single quotes turned double.  Earlier parts
+    prompt, and drops the transcript when the call is no object; the call
+    text runs to the first end marker present (tried in order) and is
+    retried with single quotes turned double.  Earlier parts
     with an unparseable call keep their user turn but lose the assistant
     turn.  Only transcripts with a call are kept; tool tokens are not counted.
     """
@@ -222,13 +238,13 @@ def split_transcript(transcripts: DataFrame, key: str = "conv_id", lo: int = 100
                else cut.when(fc.contains(m), F.substring_index(fc, m, 1)))
     fc_s = strip_ws(cut.otherwise(fc))
     fc_q = F.regexp_replace(fc_s, "'", '"')
-    parsed = F.when(has_fc & json_object_valid(fc_s), fc_s).when(has_fc & json_object_valid(fc_q), fc_q)
+    parsed = F.when(has_fc & json_valid(fc_s), fc_s).when(has_fc & json_valid(fc_q), fc_q)
     p = parts.select(key, "system", "pos", user.alias("user"), has_a.alias("has_a"), has_fc.alias("has_fc"),
                      strip_ws(rest).alias("assistant"), parsed.alias("call"))
     first = p.groupBy(key).agg(F.min(F.when(F.col("call").isNotNull(), F.col("pos"))).alias("_cut"),
                                F.min_by("call", F.when(F.col("call").isNotNull(), F.col("pos"))).alias("call"),
                                F.first("system").alias("system"))
-    first = first.filter(F.col("_cut").isNotNull())
+    first = first.filter(json_object_valid("call"))
     msg_tok = F.lit(PER_MESSAGE_TOKENS) + token_count(F.lit("user"), counter) + token_count("user", counter)
     asst_tok = F.when(F.col("has_a") & ~F.col("has_fc"),
                       F.lit(PER_MESSAGE_TOKENS) + token_count(F.lit("assistant"), counter)
@@ -250,7 +266,6 @@ def split_transcript(transcripts: DataFrame, key: str = "conv_id", lo: int = 100
     tools = transcript_tools(sysv)
     out = j.select(key, (F.col("_n") + F.when(has_sys, 1).otherwise(0)).cast("bigint").alias("n_messages"),
                    tok.alias("n_tokens"), F.coalesce(F.get_json_object(call, "$.name"), F.lit("")).alias("exp_name"),
-                   F.when(json_object_valid(args), F.array_join(F.json_object_keys(args), ",")).otherwise(F.lit(""))
-                   .alias("exp_args"),
+                   expected_args(args).alias("exp_args"),
                    F.coalesce(F.size(tools), F.lit(0)).cast("int").alias("n_tools"))
     return out.filter(within(F.col("n_tokens"), lo, hi))

@@ -163,8 +163,8 @@ def assemble_tool_calls(deltas: DataFrame, key: str = "request_id", order: str =
         concat_truthy("name").alias("name"), concat_truthy("arguments").alias("arguments"))
 
 
-def json_object_valid(c: Column | str) -> Column:
-    """True when the whole text is one JSON object; never NULL.
+def json_valid(c: Column | str) -> Column:
+    """True when the whole text is one JSON value; never NULL.
 
     The text is set as the first value of a two-field object: text after it
     breaks that object or its key list.  ``try_parse_json`` rejects what the
@@ -172,11 +172,15 @@ def json_object_valid(c: Column | str) -> Column:
     strict parser: NaN literals and duplicate keys."""
     c = col_(c)
     framed = F.concat(F.lit('{"value":'), c, F.lit(',"end":0}'))
-    ok = (strip_ws(c).startswith("{") & F.try_parse_json(framed).isNotNull()
-          & (F.json_object_keys(framed) == F.array(F.lit("value"), F.lit("end"))))
+    ok = F.try_parse_json(framed).isNotNull() & (F.json_object_keys(framed) == F.array(F.lit("value"), F.lit("end")))
     return F.coalesce(ok, F.lit(False))
 
 
+def json_object_valid(c: Column | str) -> Column:
+    """True when the whole text is one JSON object; never NULL."""
+    return F.coalesce(strip_ws(c).startswith("{"), F.lit(False)) & json_valid(c)
+
+
 def score_tool_calls(calls: DataFrame, expectations: DataFrame, scored: DataFrame,
                      key: str = "request_id") -> DataFrame:
     """Tool-call correctness per scored request.

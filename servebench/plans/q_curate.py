@@ -35,6 +35,9 @@ def _memo(kind: str, spark, sf_dir, build):
 
 LANGS = ("en",)
 CHAT_SPECS = scaled_specs(0.1)
+# The pool's buckets follow the bounds its prompts are cut at.
+POOL_SPECS = CATEGORY_SPECS | {c: CHAT_SPECS[c] for c in ("short_chat", "medium_chat", "multi_turn")} | {
+    "long_context": dict(CATEGORY_SPECS["long_context"], buckets=[(500, 800), (800, 1200), (1200, 1600), (1600, 2001)])}
 LONG = LongDocParams(min_tok=500, max_tok=2000, min_chars=2500, trunc_lo=600, trunc_margin=200, over_margin=50)
 
 
@@ -43,6 +46,21 @@ def ws(expr: str) -> str:
     return f"len(regexp_extract_all({expr}, '\\S+'))"
 
 
+def words_sql(expr: str) -> str:
+    """DuckDB text of the word count over all Unicode blanks."""
+    return f"len(regexp_extract_all({expr}, '[^{C.BLANKS}]+'))"
+
+
+def blank_sql(expr: str) -> str:
+    return f"trim({expr}, '{C.BLANKS}')"
+
+
+def spaced_sql(expr: str) -> str:
+    """DuckDB text of compact JSON spaced as a default dump."""
+    return (f"""array_to_string(list_transform(regexp_extract_all({expr}, '"(?:[^"\\\\]|\\\\.)*"|[,:]|[^",:]+'), """
+            "lambda p: case when p in (',', ':') then p || ' ' else p end), '')")
+
+
 WS_SQL = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 
 
@@ -78,16 +96,16 @@ def chat_facts(spark, sf_dir):
 _FACTS_SQL = f"""
 , facts as (
   select conv_id, count(*) as n_turns, max(lang) as lang, max(coalesce(toxic, 0)) as toxic,
-    arg_min({strip_sql('content')}, turn) filter (where role = 'user' and length({strip_sql('content')}) > 0) as first_user,
-    count(*) filter (where role in ('user', 'assistant') and length({strip_sql('content')}) > 0) as n_mt,
+    arg_min({blank_sql('content')}, turn) filter (where role = 'user' and length({blank_sql('content')}) > 0) as first_user,
+    count(*) filter (where role in ('user', 'assistant') and length({blank_sql('content')}) > 0) as n_mt,
     cast(2 + coalesce(sum(4 + {ws('role')} + {ws('content')})
-         filter (where role in ('user', 'assistant') and length({strip_sql('content')}) > 0), 0) as int) as mt_tokens
+         filter (where role in ('user', 'assistant') and length({blank_sql('content')}) > 0), 0) as int) as mt_tokens
   from chat_log group by conv_id)
 , passing as (
-  select *, {ws('first_user')} as n_words, {ws('first_user')} as text_tok, 2 + 4 + 1 + {ws('first_user')} as single_tok
+  select *, {words_sql('first_user')} as n_words, {ws('first_user')} as text_tok, 2 + 4 + 1 + {ws('first_user')} as single_tok
   from facts
   where (lang is null or lang in ('en')) and n_turns > 0 and toxic = 0
-    and first_user is not null and {ws('first_user')} >= 3)
+    and first_user is not null and {words_sql('first_user')} >= 3)
 """
 
 
@@ -192,9 +210,9 @@ def q_normalize_tools(spark, sf_dir):
 
 
 @register("tool_prompts", S.duck_with("fc_turns", "tool_defs") + _NORM_SQL + f"""
-, cut as (select conv_id, min(turn) filter (where role = 'assistant' and tc_name is not null) as cut_at,
-            arg_min(tc_name, turn) filter (where role = 'assistant' and tc_name is not null) as exp_name,
-            arg_min(tc_args, turn) filter (where role = 'assistant' and tc_name is not null) as exp_args_raw,
+, cut as (select conv_id, min(turn) filter (where role = 'assistant' and tc_args is not null) as cut_at,
+            arg_min(coalesce(tc_name, ''), turn) filter (where role = 'assistant' and tc_args is not null) as exp_name,
+            arg_min(tc_args, turn) filter (where role = 'assistant' and tc_args is not null) as exp_args_raw,
             max(source) as source
           from fc_turns group by conv_id)
 , pre as (select f.conv_id, count(*) as n_messages, count(*) filter (where f.role = 'user') as n_user,
@@ -206,12 +224,12 @@ def q_normalize_tools(spark, sf_dir):
 , j as (select p.conv_id, p.n_messages, p.n_user, c.source, c.exp_name, c.exp_args_raw,
           coalesce(t.n_tools, 0) as n_tools,
           cast(2 + p.tok + case when coalesce(t.n_tools, 0) > 0
-               then {ws("regexp_replace(t.tools_text, '([,:])', '\\1 ', 'g')")} else 0 end as int) as n_tokens
+               then {ws(spaced_sql('t.tools_text'))} else 0 end as int) as n_tokens
         from pre p join cut c on p.conv_id = c.conv_id left join ntools t on t.row_id = p.conv_id)
 select conv_id, cast(n_messages as bigint) as n_messages, n_tools, n_tokens, exp_name,
   case when exp_name is null then null
        when json_valid(exp_args_raw) and try(json_type(exp_args_raw)) = 'OBJECT'
-         then array_to_string(json_keys(exp_args_raw), ',') else '' end as exp_args
+         then cast(to_json(json_keys(exp_args_raw)) as varchar) else '[]' end as exp_args
 from j where n_messages > 0 and n_user > 0 and n_tokens between 100 and 16000
   and (source <> 'toolace' or n_tools > 0)
 """)
@@ -221,7 +239,7 @@ def q_tool_prompts(spark, sf_dir):
     src = turns.groupBy("conv_id").agg(F.max("source").alias("source"))
     out = TO.cut_at_tool_call(turns, tools, lo=100, hi=16000)
     return (out.join(src, "conv_id").filter((F.col("source") != "toolace") | (F.col("n_tools") > 0))
-            .select("conv_id", "n_messages", "n_tools", "n_tokens", "exp_name", "exp_args"))
+            .select("conv_id", "n_messages", "n_tools", "n_tokens", "exp_name", F.to_json("exp_args").alias("exp_args")))
 
 
 # ---------------------------------------------------------------------------
@@ -400,7 +418,7 @@ def admitted(spark, sf_dir):
 
 
 def bucketed(spark, sf_dir):
-    return PL.token_bucket(admitted(spark, sf_dir))
+    return PL.token_bucket(admitted(spark, sf_dir), specs=POOL_SPECS)
 
 
 def sampled(spark, sf_dir, seed: int = 0):
@@ -456,7 +474,7 @@ def _quotas_sql() -> str:
 
 
 def _buckets_sql() -> str:
-    return ", ".join(f"('{c}', {i}, {lo}, {hi})" for c, s in CATEGORY_SPECS.items()
+    return ", ".join(f"('{c}', {i}, {lo}, {hi})" for c, s in POOL_SPECS.items()
                      for i, (lo, hi) in enumerate(s["buckets"]))
 
 
@@ -613,7 +631,7 @@ _TAG_RE = "(?s)<tool_call>\\s*(\\{.*?\\})\\s*</tool_call>"
           group by t.conv_id)
 , j as (select p.conv_id, p.n_messages, p.n_user, c.tc, coalesce(n.n_tools, 0) as n_tools,
           cast(2 + p.tok + case when coalesce(n.n_tools, 0) > 0
-               then {ws("regexp_replace(n.tools_text, '([,:])', '\\1 ', 'g')")} else 0 end as int) as n_tokens,
+               then {ws(spaced_sql('n.tools_text'))} else 0 end as int) as n_tokens,
           c.tc is not null and json_valid(c.tc) and try(json_type(c.tc)) = 'OBJECT' as ok_json
         from pre p join cut c on p.conv_id = c.conv_id left join ntools n on n.row_id = p.conv_id)
 , k as (select *, ok_json and coalesce(try(json_exists(tc, '$.arguments')), false) as has_args,
@@ -622,13 +640,14 @@ _TAG_RE = "(?s)<tool_call>\\s*(\\{.*?\\})\\s*</tool_call>"
         from j)
 select conv_id, cast(n_messages as bigint) as n_messages, n_tools, n_tokens,
   case when ok_json then coalesce(try(json_extract_string(tc, '$.name')), '') end as exp_name,
-  case when ok_json then case when has_args then array_to_string(try(json_keys(tc, '$.arguments')), ',') else '' end end
+  case when ok_json then case when has_args then cast(to_json(try(json_keys(tc, '$.arguments'))) as varchar) else '[]' end end
     as exp_args
 from k where n_messages > 0 and n_user > 0 and n_tokens between 100 and 16000 and not (has_args and not args_obj)
 """)
 def q_tool_prompts_tagged(spark, sf_dir):
     tools = TO.normalize_tools(S.tool_defs_df(spark, sf_dir)).withColumnRenamed("row_id", "conv_id")
-    return TO.cut_at_tool_tag(S.raw_fc_turns_df(spark, sf_dir), tools)
+    out = TO.cut_at_tool_tag(S.raw_fc_turns_df(spark, sf_dir), tools)
+    return out.withColumn("exp_args", F.to_json("exp_args"))
 
 
 # ---------------------------------------------------------------------------
@@ -647,7 +666,7 @@ def _norm_list_sql(expr: str) -> str:
 
 def _transcript_sql() -> str:
     nl = "chr(10)"
-    obj = "(json_valid({0}) and try(json_type({0})) = 'OBJECT')"
+    obj = "json_valid({0})"
     q = "replace(fc_s, '''', '\"')"
     return S.duck_with("transcripts") + f"""
 , p0 as (select conv_id, system, unnest(string_split(chat, 'USER: ')) as part,
@@ -666,9 +685,10 @@ def _transcript_sql() -> str:
         from r)
 , t as (select *, case when has_fc and {obj.format('fc_s')} then fc_s
                        when has_fc and {obj.format(q)} then {q} end as call from s)
-, fst as (select conv_id, min(pos) filter (where call is not null) as cut,
+, fst as (select * from (
+          select conv_id, min(pos) filter (where call is not null) as cut,
             arg_min(call, pos) filter (where call is not null) as call, first(system) as system
-          from t group by conv_id having min(pos) filter (where call is not null) is not null)
+          from t group by conv_id) x where call is not null and try(json_type(call)) = 'OBJECT')
 , agg as (select t.conv_id,
             sum(4 + 1 + {ws('t.usr')} + case when t.pos = f.cut then 0
                  when t.has_a and not t.has_fc then 4 + 1 + {ws(strip_sql('t.rest'))} else 0 end) as tok,
@@ -686,7 +706,7 @@ select conv_id, cast(n + case when has_sys then 1 else 0 end as bigint) as n_mes
   cast(2 + tok + case when has_sys then 4 + 1 + {ws('system')} else 0 end as int) as n_tokens,
   coalesce(json_extract_string(call, '$.name'), '') as exp_name,
   case when json_exists(call, '$.arguments') and try(json_type(call, '$.arguments')) = 'OBJECT'
-       then array_to_string(json_keys(call, '$.arguments'), ',') else '' end as exp_args,
+       then cast(to_json(json_keys(call, '$.arguments')) as varchar) else '[]' end as exp_args,
   cast(coalesce(len(case when picked is not null and json_valid(picked) and try(json_type(picked)) = 'ARRAY'
        then {_norm_list_sql("json_extract(picked, '$[*]')")} end), 0) as int) as n_tools
 from fin
@@ -696,7 +716,7 @@ where 2 + tok + case when has_sys then 4 + 1 + {ws('system')} else 0 end between
 
 @register("transcript_turns", _transcript_sql())
 def q_transcript_turns(spark, sf_dir):
-    return TO.split_transcript(S.transcripts_df(spark, sf_dir))
+    return TO.split_transcript(S.transcripts_df(spark, sf_dir)).withColumn("exp_args", F.to_json("exp_args"))
 
 
 def _cand_info_sql() -> str:
@@ -704,7 +724,7 @@ def _cand_info_sql() -> str:
     whether an expectation exists, and the tool-definition tokens."""
     from .catalog import _ORACLE
 
-    tools_tok = ws("regexp_replace(n.tools_text, '([,:])', '\\1 ', 'g')")
+    tools_tok = ws(spaced_sql('n.tools_text'))
     parts = [
         f"select 'wildchat' as source, category, cast(conv_id as bigint) as origin, cast(1 as bigint) as n_messages, "
         f"0 as n_tools, false as has_exp, 0 as tools_tok from {inner(_ORACLE['route_chat'])} x",

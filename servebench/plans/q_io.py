@@ -72,8 +72,7 @@ def _entry_parts(spark, sf_dir, chosen: DataFrame) -> DataFrame:
     tp = QC._tool_prompts_df(spark, sf_dir).join(tmsgs, "conv_id").join(tools.select("conv_id", "tools"), "conv_id", "left")
     exp = F.when(F.col("exp_name").isNotNull(), F.struct(
         F.col("exp_name").alias("name"),
-        F.when(F.col("exp_args") == "", F.array().cast("array<string>"))
-        .otherwise(F.split("exp_args", ",")).alias("required_args")))
+        F.col("exp_args").alias("required_args")))
     tool_list = F.when(F.size("tools") > 0, TO.tool_structs(F.col("tools")))
     parts.append(attach(tp, "conv_id", F.col("category") == "tool_call", F.col("messages"), tool_list, exp))
     out = parts[0]
@@ -121,12 +120,18 @@ def _written_pool(spark, sf_dir) -> str:
     return path
 
 
-@register("pool_roundtrip", QC._pool_sql() + """
-select id, category, source, max_tokens, n_tokens as input_token_count from sampled
-""")
+@register("pool_roundtrip", _pool_info_sql("""
+select id, category, source, max_tokens, n_tokens as input_token_count, cast(n_tools as int) as n_tool_objects from si
+"""))
 def q_pool_roundtrip(spark, sf_dir):
-    prompts, _ = IO.read_prompt_pool(spark, _written_pool(spark, sf_dir))
-    return prompts.select("id", "category", "source", "max_tokens", "input_token_count")
+    """The pool read back, and from the text of its lines the number of tools
+    whose function is written as an object."""
+    path = _written_pool(spark, sf_dir)
+    prompts, _ = IO.read_prompt_pool(spark, path)
+    tools = spark.read.text(path).select(
+        F.get_json_object("value", "$.id").alias("id"),
+        F.regexp_count("value", F.lit(r'"type":"function","function":\{')).alias("n_tool_objects"))
+    return prompts.join(tools, "id").select("id", "category", "source", "max_tokens", "input_token_count", "n_tool_objects")
 
 
 @register("pool_load", QC._pool_sql() + """
@@ -141,19 +146,35 @@ def q_pool_load(spark, sf_dir):
 
 
 # Every converter stores the message-list count as the claim, except tool
-# prompts, whose claim adds the tool-definition tokens the check ignores.
+# prompts, whose claim adds the tool-definition tokens the check ignores; a
+# message without its role counts one token less.
 @register("validate_pool", _pool_info_sql("""
 , v as (select count(*) as entries,
-          count(*) filter (where n_tokens > 0 and abs(tools_tok) / greatest(n_tokens, 1) > 0.2e0) as mism from si)
-select 'entries' as "check", entries as n from v
-union all select 'missing_fields', cast(0 as bigint) from v
-union all select 'empty_messages', cast(0 as bigint) from v
-union all select 'bad_messages', cast(0 as bigint) from v
+          count(*) filter (where origin % 7 = 0) as missing, count(*) filter (where origin % 5 = 0) as empty,
+          count(*) filter (where origin % 3 = 0) as bad,
+          count(*) filter (where n_tokens > 0 and tools_tok / greatest(n_tokens, 1) > 0.2e0)
+          + count(*) filter (where origin % 3 = 0 and n_tokens > 0 and (tools_tok + 1) / greatest(n_tokens, 1) > 0.2e0)
+            as mism from si)
+select 'entries' as "check", entries + missing + empty + bad as n from v
+union all select 'missing_fields', missing from v
+union all select 'empty_messages', empty from v
+union all select 'bad_messages', bad from v
 union all select 'token_mismatch', mism from v
 """))
 def q_validate_pool(spark, sf_dir):
-    prompts, _ = IO.read_prompt_pool(spark, _written_pool(spark, sf_dir))
-    return PL.validate_pool(prompts)
+    """Checks over the raw entries of a pool file that also holds faulty copies:
+    without category (``origin % 7 = 0``), without messages (``% 5``), with a
+    first message without role (``% 3``)."""
+    pool = build_pool(spark, sf_dir)
+    origin = F.col("source_metadata")["origin"].cast("bigint")
+    no_role = F.transform("messages", lambda m, i: F.when(i == 0, F.struct(
+        F.lit(None).cast("string").alias("role"), m["content"].alias("content"))).otherwise(m))
+    faulty = (pool.filter(origin % 7 == 0).withColumn("category", F.lit(None).cast("string"))
+              .unionByName(pool.filter(origin % 5 == 0).withColumn("messages", F.filter("messages", lambda m: F.lit(False))))
+              .unionByName(pool.filter(origin % 3 == 0).withColumn("messages", no_role)))
+    path = scratch_path(spark, "pool_raw")
+    IO.write_prompt_pool(pool.unionByName(faulty), path, force=True)
+    return PL.validate_pool(IO.read_pool_entries(spark, path))
 
 
 # Like the reference's CSV, NULL and empty text are both written as empty

@@ -143,7 +143,8 @@ def chat_log_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return (c.join(d, c.conv_id == d.doc_id, "left").drop("doc_id")
             .join(lab, c.conv_id == lab.doc_id, "left")
-            .select("conv_id", "turn", "role", F.col("text").alias("content"), "lang",
+            .select("conv_id", "turn", "role", F.when(F.col("conv_id") % 16 == 7, F.regexp_replace("text", " ", "\u3000"))
+                    .otherwise(F.col("text")).alias("content"), "lang",
                     F.coalesce("toxic", F.lit(0)).alias("toxic")))
 
 
@@ -153,7 +154,7 @@ def tool_defs_df(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id as row_id",
         """case doc_id % 5
              when 0 then concat('[{"type":"function","function":{"name":"f', doc_id, '","parameters":{}}}]')
-             when 1 then concat('[{"name":"f', doc_id, '","description":"bare"}]')
+             when 1 then concat('[{"name":"f', doc_id, '","description":"bare: a, b"}]')
              when 2 then concat('[{"function":{"name":"f', doc_id, '"}}]')
              when 3 then 'not json'
              else '["not_a_dict",{}]' end as tools_json""")
@@ -225,7 +226,8 @@ expectations as (
 
 DUCK_CHAT_LOG = """
 chat_log as (
-  select c.conv_id, c.turn, c.role, c.text as content, d.lang,
+  select c.conv_id, c.turn, c.role, case when c.conv_id % 16 = 7 then replace(c.text, ' ', chr(12288)) else c.text end
+      as content, d.lang,
     coalesce(l.toxic, 0) as toxic
   from conversations c
   left join documents d on d.doc_id = c.conv_id
@@ -236,7 +238,7 @@ tool_defs as (
   select doc_id as row_id,
     case doc_id % 5
       when 0 then concat('[{"type":"function","function":{"name":"f', doc_id, '","parameters":{}}}]')
-      when 1 then concat('[{"name":"f', doc_id, '","description":"bare"}]')
+      when 1 then concat('[{"name":"f', doc_id, '","description":"bare: a, b"}]')
       when 2 then concat('[{"function":{"name":"f', doc_id, '"}}]')
       when 3 then 'not json'
       else '["not_a_dict",{}]' end as tools_json
@@ -292,7 +294,7 @@ def duck_with(*views: str) -> str:
 
 def fc_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function-calling conversations: the chat log with a tool call on each
-    conversation's second assistant turn.  Argument text varies by
+    conversation's second assistant turn, nameless when ``conv_id % 16 = 5``.  Argument text varies by
     ``conv_id % 4``: an object, another object, broken JSON, a JSON array."""
     from pyspark.sql import Window
 
@@ -302,10 +304,10 @@ def fc_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_tc = (F.col("role") == "assistant") & (F.col("_arank") == 2)
     return c.select(
         "conv_id", "turn", "role", "content",
-        F.when(is_tc, F.concat(F.lit("f"), F.col("conv_id").cast("string"))).alias("tc_name"),
+        F.when(is_tc & (F.col("conv_id") % 16 != 5), F.concat(F.lit("f"), F.col("conv_id").cast("string"))).alias("tc_name"),
         F.when(is_tc, F.expr("""case conv_id % 4
             when 0 then concat('{"city":"c', conv_id, '","days":', turn, '}')
-            when 1 then '{"q":"x"}' when 2 then 'not json' else '[1,2]' end""")).alias("tc_args"),
+            when 1 then '{"q,r":"x"}' when 2 then 'not json' else '[1,2]' end""")).alias("tc_args"),
         F.when(F.col("conv_id") % 2 == 0, "hermes_fc").otherwise("toolace").alias("source"))
 
 
@@ -340,10 +342,10 @@ def code_problems_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 DUCK_FC_TURNS = """
 fc_turns as (
   select conv_id, turn, role, content,
-    case when role = 'assistant' and arank = 2 then concat('f', conv_id) end as tc_name,
+    case when role = 'assistant' and arank = 2 and conv_id % 16 <> 5 then concat('f', conv_id) end as tc_name,
     case when role = 'assistant' and arank = 2 then
       case conv_id % 4 when 0 then concat('{"city":"c', conv_id, '","days":', turn, '}')
-        when 1 then '{"q":"x"}' when 2 then 'not json' else '[1,2]' end end as tc_args,
+        when 1 then '{"q,r":"x"}' when 2 then 'not json' else '[1,2]' end end as tc_args,
     case when conv_id % 2 = 0 then 'hermes_fc' else 'toolace' end as source
   from (select *, row_number() over (partition by conv_id, role order by turn) as arank from chat_log))"""
 
@@ -408,7 +410,8 @@ def transcripts_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     system turn (plus a function list when ``conv_id`` is even) is the system
     text.  Calls by ``conv_id % 4``: 0 a JSON call closed by its end tag;
     1 a single-quoted call ended by a blank line; 2 a broken call followed by
-    a valid one in the next assistant turn; 3 none."""
+    a valid one in the next assistant turn; 3 none, or a call that is no object
+    followed by a valid one (``conv_id % 8 = 3``)."""
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "conversations")
@@ -421,7 +424,8 @@ def transcripts_df(spark: SparkSession, sf_dir: str) -> DataFrame:
           then concat('<functioncall> {''name'': ''f', conv_id, ''', ''arguments'': {''days'': 2}}', chr(10), chr(10),
                       'FUNCTION RESPONSE: ok')
         when role = 'assistant' and _arank = 2 and conv_id % 4 = 2 then '<functioncall> {broken</functioncall>'
-        when role = 'assistant' and _arank = 3 and conv_id % 4 = 2
+        when role = 'assistant' and _arank = 2 and conv_id % 8 = 3 then '<functioncall> ["f"]</functioncall>'
+        when role = 'assistant' and _arank = 3 and (conv_id % 4 = 2 or conv_id % 8 = 3)
           then concat('<functioncall> {"name": "g', conv_id, '", "arguments": 5}</functioncall>')
         else text end""")
     line = F.concat(F.when(F.col("role") == "user", F.lit("USER: ")).otherwise(F.lit("ASSISTANT: ")), call,
@@ -448,7 +452,8 @@ transcripts as (
               then concat('<functioncall> {''name'': ''f', conv_id, ''', ''arguments'': {''days'': 2}}', chr(10), chr(10),
                           'FUNCTION RESPONSE: ok')
             when role = 'assistant' and arank = 2 and conv_id % 4 = 2 then '<functioncall> {broken</functioncall>'
-            when role = 'assistant' and arank = 3 and conv_id % 4 = 2
+            when role = 'assistant' and arank = 2 and conv_id % 8 = 3 then '<functioncall> ["f"]</functioncall>'
+            when role = 'assistant' and arank = 3 and (conv_id % 4 = 2 or conv_id % 8 = 3)
               then concat('<functioncall> {"name": "g', conv_id, '", "arguments": 5}</functioncall>')
             else text end || chr(10) || chr(10) as line
         from c),

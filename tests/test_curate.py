@@ -139,3 +139,41 @@ def test_request_plan_follows_weights(spark):
     per_prompt = {r.prompt_id: r["count"] for r in plan.filter("category = 'b'").groupBy("prompt_id").count().collect()}
     assert len(per_prompt) == 5 and min(per_prompt.values()) > 0.8 * max(per_prompt.values())
     assert plan.filter("substr(prompt_id, 1, 1) <> category").count() == 0
+
+
+def test_tool_tokens_space_structure_only(spark):
+    texts = ['[{"name":"f","description":"a,b:c \\"d:e\\" ,"}]', "[]", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(TO.spaced_json(F.col("t")).alias("s"), TO.tools_tokens(F.col("t")).alias("n")).collect()
+    spaced = '[{"name": "f", "description": "a,b:c \\"d:e\\" ,"}]'
+    assert [r.s for r in rows] == [spaced, "[]", None]
+    assert [r.n for r in rows] == [len(spaced.split()), 1, 0]
+
+
+def test_call_without_name_and_comma_in_key(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "hello there", None, None), (1, 1, "assistant", "x", None, '{"a,b":1,"c":2}'),
+         (1, 2, "user", "later", None, None),
+         (2, 0, "user", "hello there", None, None), (2, 1, "assistant", "x", "f", "[1]")],
+        "conv_id long, turn int, role string, content string, tc_name string, tc_args string")
+    out = {r.conv_id: r for r in TO.cut_at_tool_call(turns, lo=0).collect()}
+    assert (out[1].exp_name, out[1].exp_args, out[1].n_messages) == ("", ["a,b", "c"], 1)
+    assert (out[2].exp_name, out[2].exp_args) == ("f", [])
+
+
+def test_transcript_call_that_is_no_object_drops_the_row(spark):
+    good = 'ASSISTANT: <functioncall> {"name":"g","arguments":{"k":1}} </functioncall>\n\n'
+    df = spark.createDataFrame(
+        [(1, None, "USER: a b\n\n" + good), (2, None, 'USER: a b\n\nASSISTANT: <functioncall> [1] </functioncall>\n\nUSER: c\n\n' + good),
+         (3, None, "USER: a b\n\nASSISTANT: <functioncall> {x </functioncall>\n\nUSER: c\n\n" + good)],
+        "conv_id long, system string, chat string")
+    out = {r.conv_id: r.exp_args for r in TO.split_transcript(df, lo=0).collect()}
+    assert out == {1: ["k"], 3: ["k"]}
+
+
+def test_first_turn_knows_unicode_blanks(spark):
+    rows = [(1, 0, "user", "one　two three four"), (2, 0, "user", "　"), (2, 1, "user", "now there are words"),
+            (3, 0, "user", " two words　")]
+    log = spark.createDataFrame(rows, "conv_id long, turn int, role string, content string")
+    out = {r.conv_id: (r.first_user, r.n_words) for r in C.first_user_turn(C.conversation_facts(log)).collect()}
+    assert out == {1: (rows[0][3], 4), 2: ("now there are words", 4)}

@@ -124,3 +124,19 @@ def test_require_prompts(spark):
     assert rej.count() == 1
     with pytest.raises(ValueError):
         IO.require_prompts(ok, path)
+
+
+def test_pool_file_holds_tool_objects(spark):
+    d = _tmp()
+    path = os.path.join(d, "pool")
+    fn = '{"name":"f","parameters":{"a":"x, \\"y\\"\\n"}}'
+    tools = [{"type": "function", "function": fn}, {"type": None, "function": "no object"}]
+    rows = [dict(ENTRY, tools=tools, expected_tool={"name": "f", "required_args": ["a,b", "c"]}), dict(ENTRY, id="bare", tools=[])]
+    IO.write_prompt_pool(spark.createDataFrame(rows, IO.POOL_SCHEMA), path, force=True)
+    got = {r["id"]: r for r in map(json.loads, (r.value for r in spark.read.text(path).collect()))}
+    assert got["a1"]["tools"] == [{"type": "function", "function": json.loads(fn)}, {"function": "no object"}]
+    assert got["a1"]["expected_tool"]["required_args"] == ["a,b", "c"]
+    assert got["a1"]["messages"] == ENTRY["messages"] and got["a1"]["input_token_count"] == 8
+    assert got["bare"]["tools"] == []
+    back = {r.id: r for r in IO.read_prompt_pool(spark, path)[0].collect()}
+    assert json.loads(back["a1"].tools[0].function) == json.loads(fn)
