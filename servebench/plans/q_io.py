@@ -196,23 +196,27 @@ def _run_report_sql() -> str:
     from . import q_analytics as QA
 
     return f"""with s as {inner(QA.RUN_SUMMARY_SQL)}, e as {inner(QA._EFF_SQL)},
-ts as {inner(_ORACLE['throughput_timeseries'])}, cs as {inner(_ORACLE['concurrency_samples'])}
+ts as {inner(_ORACLE['throughput_timeseries'])}, cs as {inner(_ORACLE['concurrency_samples'])},
+it as {inner(_ORACLE['itl_distribution'])}, pc as {inner(_ORACLE['category_breakdown'])}
 select s.total_requests, round(e.effective_concurrency, 1) as effective_concurrency,
   cast((select count(*) from ts) as int) as n_timeseries, cast((select count(*) from cs) as int) as n_concurrency,
-  true as key_dropped
-from s, e"""
+  it.itl_p95, (select count(*) from pc) as n_categories,
+  (select cast(count as bigint) from pc where category = 'tool_call') as tool_call_requests, true as keys_dropped
+from s, e, it"""
 
 
 @register("run_report", _run_report_sql())
 def q_run_report(spark, sf_dir):
     """Write the run report, read the document back and report what it
-    holds: total requests, effective concurrency, series lengths, and that
-    the API key was dropped."""
+    holds: total requests, effective concurrency, series lengths, the token-gap
+    p95, the categories, and that the API keys were dropped and nothing else."""
     from . import q_analytics as QA
 
     rep = IO.run_report(QA.q_run_summary(spark, sf_dir), QA.q_throughput_timeseries(spark, sf_dir),
                         QA.samples(spark, sf_dir), QA.q_effective_concurrency(spark, sf_dir),
-                        {"duration_seconds": QA.DUR, "warmup_seconds": QA.WARM, "api_key": "secret"})
+                        {"endpoint": {"url": "http://localhost", "api_key": "secret"},
+                         "test": {"duration_seconds": QA.DUR, "warmup_seconds": QA.WARM}, "metadata": {"api_key": "secret"}},
+                        itl=QA.q_itl_distribution(spark, sf_dir), per_category=QA.q_category_breakdown(spark, sf_dir))
     path = scratch_path(spark, "run_report")
     IO.write_run_json(rep, path)
     doc = F.col("value")
@@ -221,4 +225,7 @@ def q_run_report(spark, sf_dir):
         F.get_json_object(doc, "$.effective_concurrency").cast("double").alias("effective_concurrency"),
         F.json_array_length(F.get_json_object(doc, "$.timeseries")).alias("n_timeseries"),
         F.json_array_length(F.get_json_object(doc, "$.concurrency_timeseries")).alias("n_concurrency"),
-        F.get_json_object(doc, "$.config.api_key").isNull().alias("key_dropped"))
+        F.get_json_object(doc, "$.metrics.itl.p95").cast("double").alias("itl_p95"),
+        F.size(F.json_object_keys(F.get_json_object(doc, "$.metrics.per_category"))).cast("bigint").alias("n_categories"),
+        F.get_json_object(doc, "$.metrics.per_category.tool_call.count").cast("bigint").alias("tool_call_requests"),
+        (~doc.contains("secret") & doc.contains('"endpoint":{"url":"http://localhost"}')).alias("keys_dropped"))

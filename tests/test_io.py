@@ -140,3 +140,8 @@ def test_pool_file_holds_tool_objects(spark):
     assert got["bare"]["tools"] == []
     back = {r.id: r for r in IO.read_prompt_pool(spark, path)[0].collect()}
     assert json.loads(back["a1"].tools[0].function) == json.loads(fn)
+
+
+def test_report_config_loses_keys_at_any_depth():
+    config = {"endpoint": {"url": "u", "api_key": "k"}, "runs": [{"api_key": "k", "n": 1}], "api_key": "k"}
+    assert IO.without_key(config) == {"endpoint": {"url": "u"}, "runs": [{"n": 1}]}
