@@ -1,5 +1,7 @@
 """Driver contract and plan-shape checks."""
 
+import re
+
 from servebench.plans.catalog import oracle_sql, queries
 
 
@@ -33,8 +35,10 @@ def test_projection_pruned_at_scan(spark):
     from servebench.plans.q_analytics import q_run_summary
 
     plan = _plan(q_run_summary(spark, SF001))
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string>" in plan \
-        or "ReadSchema" in plan
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert schemas
+    for schema in schemas:
+        assert {c.split(":")[0] for c in schema.split(",")} <= {"ts", "user_id", "event_type", "value", "props"}
 
 
 def test_registry_imports_without_spark():
