@@ -1,19 +1,21 @@
 """Language-model scoring by prediction by partial matching.
 
-Bytes (A-Z lower-cased) are mapped to an alphabet of ``SYMBOLS``: the end of a
-text, the most frequent bytes of the training texts, and one symbol for all
-others (then told apart uniformly).  The trie of contexts up to ``ORDER`` symbols
-is counted over all training documents.  A symbol unseen after a context is
-escaped to the next shorter one with the chance of method C (distinct symbols
-over occurrences plus distinct symbols), and the symbols seen after the longer
-context are excluded there; below order 0 every symbol not yet excluded is
-equally likely.  Since the trie is fixed when documents are scored, these rules
-give one probability per (context, symbol), worked out once; a document's code
-length is the sum over its bytes and its end, accumulated in the tasks.
-
-The alphabet and order bound the model (SYMBOLS ** (ORDER + 1) entries), whatever
-the size of the corpus; its counts, and the word counts of the base score,
-cover all training documents.
+The symbols are all bytes (A-Z lower-cased) and the end of a text.  The trie of
+contexts up to ``order`` symbols is counted over all training documents; the
+order grows with the training texts (``order_for``).  A symbol unseen after a
+context is escaped to the next shorter one with the chance of method C (distinct
+symbols over occurrences plus distinct symbols), and the symbols seen after the
+longer context are excluded there; below order 0 every symbol not yet excluded
+is equally likely.  Since the trie is fixed when documents are scored, these
+rules give one probability per (context, symbol); a document's code length is the
+sum over its bytes and its end, accumulated in the tasks.
+
+Contexts of up to two symbols are a table of at most SYMBOLS ** 3 entries, fixed by
+the byte alphabet; the driver keeps the rows of the contexts that occur.  Longer
+contexts are rows: each chunk sends its distinct (context, symbol) with their
+training counts, dealt by the last three symbols of the context, so a part holds
+all longer contexts that end in these with what they escape to.  It adds the
+counts, works out the chances, and each chunk gets those it asked for.
 
 Edge cases: NULL and empty texts code their end alone; a NULL doc_id is neither
 held out nor learned from; with nothing to learn from, all symbols are equally
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,51 +39,81 @@ from . import counts as C
 from . import shingles as S
 from .tables import crc_mod, id_and_bytes
 
-SYMBOLS, ORDER = 64, 3
+ORDER = 2                     # of the contexts kept as a table; longer ones are rows
+SYMBOLS = 231                 # the end of a text, 256 bytes without A-Z
 SIZE = SYMBOLS ** (ORDER + 1)
+LONGEST = 7                   # symbols of a context that fit a 64-bit key with the symbol after it
+GROW_BITS = 5                 # one symbol more of context for so many doublings of the training text
+PART_BITS, PART_MIX = 24, 0x9E3779  # the last three symbols of a context, dealt out by an odd multiplier
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 END = np.uint64(0x5851F42D4C957F2D)  # the identifier of the end token among words
 
 
 # --- the model --------------------------------------------------------------
-def alphabet(byte_counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Symbol of every byte, and how many bytes share the last symbol."""
-    order = np.argsort(-byte_counts, kind="stable")
-    out = np.full(256, SYMBOLS - 1, np.uint8)
-    top = order[:SYMBOLS - 2]
-    out[top] = np.arange(1, SYMBOLS - 1)
-    return out, 256 - len(top)
+_SYMBOL = np.concatenate([np.arange(1, 66), np.arange(72, 98), np.arange(66, 231)]).astype(np.uint8)  # of every byte
 
 
-def grams(symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context and symbol as one number, document) of every symbol and end of the texts."""
+def order_for(symbols: int) -> int:
+    """The longest context counted when so many symbols are learned from."""
+    return min(max(ORDER + 1, int(symbols).bit_length() // GROW_BITS), LONGEST)
+
+
+def _placed(symbols: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with ``order`` zeros before and an end after each; the place and document of every symbol and end."""
     n = np.diff(offs)
-    starts = offs[:-1] + (ORDER + 1) * np.arange(len(n))     # room for ORDER zeros before and an end after
-    padded = np.zeros(len(symbols) + (ORDER + 1) * len(n), np.uint32)
+    starts = offs[:-1] + (order + 1) * np.arange(len(n))     # room for the zeros before and an end after
+    padded = np.zeros(len(symbols) + (order + 1) * len(n), np.uint64)
     doc = np.repeat(np.arange(len(n)), n + 1)
-    at = np.repeat(starts + ORDER, n + 1) + np.arange(len(doc)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
-    text = np.repeat(starts + ORDER, n) + np.arange(len(symbols)) - np.repeat(offs[:-1] - offs[0], n)
+    at = np.repeat(starts + order, n + 1) + np.arange(len(doc)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    text = np.repeat(starts + order, n) + np.arange(len(symbols)) - np.repeat(offs[:-1] - offs[0], n)
     padded[text] = symbols
-    g = np.zeros(len(doc), np.uint32)
-    for k in range(ORDER, -1, -1):
-        g = g * np.uint32(SYMBOLS) + padded[at - k]
-    return g, doc
+    return padded, at, doc
 
 
-def log_probabilities(count: np.ndarray, other: int) -> np.ndarray:
-    """log10 chance of each symbol after each context of ORDER symbols (float32)."""
-    levels = [count.reshape(-1, SYMBOLS).astype(np.float32)]     # longest contexts first
-    while len(levels) <= ORDER:
+def grams(symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context of ORDER symbols and symbol as one number, document) of every symbol and end of the texts."""
+    padded, at, doc = _placed(symbols, offs, ORDER)
+    g = np.zeros(len(doc), np.uint64)
+    for k in range(ORDER, -1, -1):
+        g = g * np.uint64(SYMBOLS) + padded[at - k]
+    return g.astype(np.int64), doc
+
+
+def long_grams(symbols: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context of ``order`` symbols and symbol as one key, document) of every symbol and end of the texts.
+
+    The upper bits hold the last three symbols of the context, mixed; the lower
+    ones its earlier symbols, the nearest first, and the symbol after it.  Sorted
+    keys are in the order of the trie at every length of context from three.
+    """
+    padded, at, doc = _placed(symbols, offs, order)
+    size = np.uint64(SYMBOLS)
+    near = (padded[at - 3] * size + padded[at - 2]) * size + padded[at - 1]
+    rest = np.zeros(len(doc), np.uint64)
+    for k in [*range(4, order + 1), 0]:
+        rest = rest << np.uint64(8) | padded[at - k]
+    return (near * np.uint64(PART_MIX) % np.uint64(1 << PART_BITS)) << np.uint64(64 - PART_BITS) | rest, doc
+
+
+def chances(count: np.ndarray) -> list[np.ndarray]:
+    """Chance of each symbol after each context, by length of context from 0, from a dense table of counts."""
+    levels = [count.reshape(-1, SYMBOLS).astype(np.float64)]     # longest contexts first
+    while len(levels[-1]) > 1:
         levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0))
-    p = np.full((1, SYMBOLS), 1.0 / SYMBOLS)                     # order -1
+    p = [np.full((1, SYMBOLS), 1.0 / SYMBOLS)]                   # order -1
     for n in reversed(levels):
-        longer = np.empty(n.shape, np.float32)
+        longer = np.empty(n.shape)
         for r in range(0, len(n), 1 << 14):
             rows = np.arange(r, min(r + (1 << 14), len(n)))
-            longer[rows] = _with_escape(n[rows], p[rows % len(p)])
-        p = longer
-    p = np.log10(np.maximum(p, 1e-30))
+            longer[rows] = _with_escape(n[rows], p[-1][rows % len(p[-1])])
+        p.append(longer)
+    return p[1:]
+
+
+def log_probabilities(count: np.ndarray, other: int) -> np.ndarray:
+    """log10 of the chances after the longest contexts of a dense table (float32), the last symbol's shared by ``other``."""
+    p = np.log10(np.maximum(chances(count)[-1], 1e-30))
     p[:, SYMBOLS - 1] -= math.log10(max(1, other))
     return p.astype(np.float32).ravel()
 
@@ -97,11 +130,54 @@ def _with_escape(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return n / whole + escape * left / np.where(may_escape, mass, 1)
 
 
-# --- counting ---------------------------------------------------------------
-def _bytes_of(c: "Docs") -> np.ndarray:
-    return np.bincount(_LOWER[c.data[np.repeat(c.train, np.diff(c.offs))]], minlength=256)
+class Short:
+    """Chances after contexts of up to ORDER symbols: rows of the contexts that occur, else of the one shorter."""
+
+    def __init__(self, count: np.ndarray):
+        p = chances(count)
+        occurs = count.reshape(-1, SYMBOLS).any(axis=1)
+        shorter = len(p[-2])
+        self.rows = np.concatenate([p[-2], p[-1][occurs]])
+        self.row = np.where(occurs, shorter + np.cumsum(occurs) - 1, np.arange(len(occurs)) % shorter)
+
+    def after(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.rows[self.row[context], symbol]
+
+
+def long_chances(keys: np.ndarray, n: np.ndarray, order: int, short: Short) -> np.ndarray:
+    """Chance of each of the sorted distinct ``keys`` of ``long_grams``, with their training counts ``n``.
+
+    All keys that share the last three symbols of their context must be there.
+    """
+    rest_bits = 64 - PART_BITS
+    near = ((keys >> np.uint64(rest_bits)) * np.uint64(pow(PART_MIX, -1, 1 << PART_BITS)) % np.uint64(1 << PART_BITS)).astype(np.int64)
+    head, rest = keys >> np.uint64(rest_bits), (keys & np.uint64((1 << rest_bits) - 1)).astype(np.int64)
+    symbol = rest & 255
+    p = short.after(near % SYMBOLS ** ORDER, symbol)
+    for k in range(ORDER + 1, order + 1):
+        earlier = rest >> 8 * (order - k + 1)
+        new = K.first_of(head)
+        new[1:] |= earlier[1:] != earlier[:-1]
+        context = np.cumsum(new) - 1
+        size = int(context[-1]) + 1
+        pair = context * SYMBOLS + symbol
+        by = np.argsort(pair, kind="stable")
+        first = K.first_of(pair[by])
+        number = np.empty(len(keys), np.int64)
+        number[by] = np.cumsum(first) - 1
+        one = by[first]                                   # a key of each (context, symbol)
+        count, of, shorter = np.bincount(number, weights=n), context[one], p[one]
+        seen = count > 0
+        total, distinct = np.bincount(of, weights=count, minlength=size), np.bincount(of[seen], minlength=size)
+        # Exclusion: what the shorter context leaves for the symbols not seen here.
+        left = np.maximum(1 - np.bincount(of[seen], weights=shorter[seen], minlength=size), 1e-300)
+        whole = np.maximum(total + np.where(distinct < SYMBOLS, distinct, 0), 1)
+        escape = np.where(distinct > 0, distinct / whole / left, 1)
+        p = np.where(seen, count / whole[of], shorter * escape[of])[number]
+    return p
 
 
+# --- counting ---------------------------------------------------------------
 class Docs:
     """A chunk's texts and which of its documents are learned from."""
 
@@ -111,6 +187,9 @@ class Docs:
         self.held_out = np.array(table.column("held_out").to_pylist(), bool)
         self.train = np.array(table.column("train").to_pylist(), bool)
 
+    def symbols(self) -> np.ndarray:
+        return _SYMBOL[_LOWER[self.data]]
+
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """(identifier, document) of all words and ends."""
         ident, doc = S.words(self.data, self.offs)
@@ -119,7 +198,13 @@ class Docs:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct tokens, their training counts, each token's number and document."""
-        ident, doc = self.tokens()
+        return self._distinct(*self.tokens())
+
+    def long_grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for contexts of ``order`` symbols with the symbol after them."""
+        return self._distinct(*long_grams(self.symbols(), self.offs, order))
+
+    def _distinct(self, ident: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(ident, kind="stable")
         new = K.first_of(ident[order])
         number = np.empty(len(ident), np.int64)
@@ -128,15 +213,15 @@ class Docs:
         return keys, np.bincount(number, weights=self.train[doc], minlength=len(keys)).astype(np.int64), number, doc
 
 
-def _sparse(counts: np.ndarray, salt: int) -> Iterator[pa.RecordBatch]:
-    """A task's non-zero counts, one row per first symbol: places (4 bytes), counts (8 bytes)."""
+def _sparse(counts: np.ndarray, salt: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Non-zero counts from block ``first`` on, one row per first symbol: places (4 bytes), counts (8 bytes)."""
     width = SIZE // SYMBOLS
-    for k in range(SYMBOLS):
+    for k in range(len(counts) // width):
         part = counts[k * width:(k + 1) * width]
         at = np.flatnonzero(part)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([salt % C.SALTS], pa.int32()),
+                [pa.array([first + k], pa.int32()), pa.array([salt % C.SALTS], pa.int32()),
                  pa.array([at.astype("<u4").tobytes() + part[at].astype("<i8").tobytes()], pa.binary())],
                 names=["block", "salt", "n"])
 
@@ -147,35 +232,25 @@ def _unsparse(blob: memoryview) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, block = np.zeros(SIZE // SYMBOLS, np.int64), None
+    total, block = np.zeros(SIZE // SYMBOLS, np.int64), 0
     for b in batches:
         for k, x in zip(b.column("block").to_pylist(), b.column("n")):
             block = k
             at, n = _unsparse(memoryview(x.as_buffer()))
             total[at] += n
-    for out in _sparse(np.concatenate([np.zeros(block * len(total), np.int64), total, np.zeros(SIZE - (block + 1) * len(total), np.int64)]), 0):
-        yield out
+    yield from _sparse(total, 0, block)
 
 
-def train(corpus: K.Corpus) -> tuple[np.ndarray, np.ndarray]:
-    """The log10 table of the trie counted over all training documents, and the byte map."""
-    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(256, np.int64)
-        for b in batches:
-            for blob in b.column("blob"):
-                n += _bytes_of(Docs(K.read_blob(blob.as_buffer())))
-        yield from C.blocks(n, TaskContext.get().partitionId())
-
-    symbol, other = alphabet(C.gathered(corpus.df.mapInArrow(count_bytes, C.SCHEMA), 256))
-
+def train(corpus: K.Corpus) -> np.ndarray:
+    """How often each symbol follows each context of ORDER symbols in the training documents."""
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = None
         for b in batches:
             for blob in b.column("blob"):
-                n = np.zeros(SIZE, np.uint32) if n is None else n
+                n = np.zeros(SIZE, np.int64) if n is None else n
                 d = Docs(K.read_blob(blob.as_buffer()))
-                g, doc = grams(symbol[_LOWER[d.data]], d.offs)
-                np.add.at(n, g[d.train[doc]], 1)
+                g, doc = grams(d.symbols(), d.offs)
+                n += np.bincount(g[d.train[doc]], minlength=SIZE)
         if n is not None:
             yield from _sparse(n, TaskContext.get().partitionId())
 
@@ -184,7 +259,7 @@ def train(corpus: K.Corpus) -> tuple[np.ndarray, np.ndarray]:
     for r in by_salt.groupBy("block").applyInArrow(_add_sparse, C.SCHEMA).collect():  # at most SIZE places
         at, n = _unsparse(memoryview(bytes(r.n)))
         count[r.block * (SIZE // SYMBOLS) + at.astype(np.int64)] = n
-    return log_probabilities(count, other), symbol
+    return count
 
 
 # --- scoring ----------------------------------------------------------------
@@ -203,6 +278,39 @@ def _answer_words(payloads: list[memoryview]) -> list[bytes]:
     return [head + x.astype("<i8").tobytes() for x in np.split(out, np.cumsum(n)[:-1])]
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte of all, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+
+
+def _from_planes(blob: memoryview, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _pack(keys: np.ndarray, count: np.ndarray) -> bytes:
+    k = _planes(keys.astype("<u8"))
+    return len(k).to_bytes(4, "little") + k + _planes(count.astype("<i8"))
+
+
+def _unpack(payload: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    k = 4 + int.from_bytes(payload[:4], "little")
+    return _from_planes(payload[4:k], "<u8"), _from_planes(payload[k:], "<i8")
+
+
+def _answer_grams(payloads: list[memoryview], order: int, short: Short) -> list[bytes]:
+    """The log10 chance of each key, as compressed floats."""
+    asked = [_unpack(p) for p in payloads]
+    n = [len(keys) for keys, _ in asked]
+    keys, count = (np.concatenate(x) for x in zip(*asked))
+    by = np.argsort(keys, kind="stable")
+    new = K.first_of(keys[by])
+    p = long_chances(keys[by][new], np.add.reduceat(count[by], np.flatnonzero(new)), order, short)
+    out = np.empty(len(keys), "<f4")
+    out[by] = np.log10(p)[np.cumsum(new) - 1]
+    return [zstandard.compress(x.tobytes(), 6) for x in np.split(out, np.cumsum(n)[:-1])]
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         heads = [np.frombuffer(x.as_buffer()[:16], "<i8") for x in b.column("payload")]
@@ -215,20 +323,25 @@ def score(docs: DataFrame) -> DataFrame:
     held = crc_mod(F.col("doc_id").cast("long"), 10) == 0
     src = id_and_bytes(docs).withColumns({"held_out": F.coalesce(held, F.lit(False)), "train": F.coalesce(~held, F.lit(False))})
     corpus = K.corpus(src)
-    table, symbol = train(corpus)
-    model = spark.sparkContext.broadcast((table, symbol))  # SIZE floats, whatever the corpus
-    parts = corpus.parts(K.CHUNK_BYTES // 32)
+    count = train(corpus)
+    order = order_for(int(count.sum()))
+    model = spark.sparkContext.broadcast(Short(count))  # at most SIZE floats
+    parts, gram_parts = corpus.parts(K.CHUNK_BYTES // 32), corpus.parts(K.CHUNK_BYTES // 4)
 
     def ask(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
         keys, count, _, _ = Docs(t).distinct()
         yield from K.questions(chunk, keys, parts, lambda i, j: keys[i:j].tobytes() + count[i:j].tobytes())
 
+    def ask_grams(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
+        keys, count, _, _ = Docs(t).long_grams(order)
+        yield from K.questions(chunk, keys, gram_parts, lambda i, j: _pack(keys[i:j], count[i:j]))
+
     words = corpus.answer(corpus.each(ask, K.ASK), _answer_words)
+    told = corpus.answer(corpus.each(ask_grams, K.ASK), lambda payloads: _answer_grams(payloads, order, model.value))
     sums = words.dropDuplicates(["part"]).mapInArrow(_totals, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     distinct, total = sums.v or 0, sums.n or 0
 
     def run(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
-        log10, symbol = model.value
         d = Docs(t)
         n_docs = len(d.offs) - 1
         keys, _, number, doc = d.distinct()
@@ -237,13 +350,17 @@ def score(docs: DataFrame) -> DataFrame:
         for p, a in got["words"].items():
             count[at[p]:at[p + 1]] = np.frombuffer(a[16:], "<i8")
         logs = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
-        g, of = grams(symbol[_LOWER[d.data]], d.offs)
+        grams_, _, gram, of = d.long_grams(order)
+        at = K.split(grams_, gram_parts)
+        log10 = np.zeros(len(grams_))
+        for p, a in got["grams"].items():
+            log10[at[p]:at[p + 1]] = np.frombuffer(zstandard.decompress(a), "<f4")
         yield pa.RecordBatch.from_arrays(
             [t.column("doc_id").combine_chunks(), pa.array(d.held_out),
              pa.array(np.bincount(doc, minlength=n_docs)), pa.array(np.bincount(doc, weights=(count > 0)[number], minlength=n_docs).astype(np.int64)),
              pa.array(np.full(n_docs, total)), pa.array(np.bincount(doc, weights=logs[number], minlength=n_docs)),
-             pa.array(np.bincount(of, weights=log10[g], minlength=n_docs))],
+             pa.array(np.bincount(of, weights=log10[gram], minlength=n_docs))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return corpus.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-                       {"words": words})
+                       {"words": words, "grams": told})

@@ -322,6 +322,61 @@ def test_ppm_chances_sum_to_one(monkeypatch):
         assert np.allclose(short[a, bc], short[same[0], bc])
 
 
+def trie_score(learned, text, order):
+    """Brute-force PPM: method C with exclusion over all symbols; ``learned`` maps contexts to counts."""
+    def chance(context, x):
+        if context is None:
+            return 1 / 231
+        shorter = context[1:] if context else None
+        n = learned.get(context)
+        if not n:
+            return chance(shorter, x)
+        whole = sum(n.values()) + (len(n) if len(n) < 231 else 0)
+        if x in n:
+            return n[x] / whole
+        return len(n) / whole * chance(shorter, x) / (1 - sum(chance(shorter, y) for y in n))
+
+    seen, total = {}, 0.0
+    t = (-1,) * order + tuple(text) + (-1,)
+    for i in range(order, len(t)):
+        at = t[i - order:i], t[i]
+        if at not in seen:
+            seen[at] = math.log10(chance(*at))
+        total += seen[at]
+    return total
+
+
+def test_lm_score_is_the_byte_tries(spark, monkeypatch):
+    """All bytes and contexts longer than three symbols count."""
+    from servebench.llm import ppm
+
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?()[]{}<>=+*/#%&@ éüßñ中文字жшщ\n"
+    stock = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    texts = {i: " ".join(rng.choice(stock) for _ in range(rng.randint(0, 300))) for i in range(90)}
+    texts[90], texts[91] = "ABC abc", None
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    size = sum(len(utf8(t)) + 1 for i, t in texts.items() if not out[i])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert len({b for t in texts.values() for b in utf8(t).translate(LOWER)}) > 64
+    for order in (ppm.order_for(size), 6):
+        learned = defaultdict(Counter)
+        for i, t in texts.items():
+            if not out[i]:
+                s = (-1,) * order + tuple(utf8(t).translate(LOWER)) + (-1,)
+                for k in range(order, len(s)):
+                    for n in range(order + 1):
+                        learned[s[k - n:k]][s[k]] += 1
+        with monkeypatch.context() as m:
+            m.setattr(ppm, "order_for", lambda n: order)
+            got = {r.doc_id: r.score for r in ppm.score(df).collect()}
+        assert got.keys() == texts.keys()
+        for i, t in texts.items():
+            if out[i] or i % 9 == 0:
+                assert math.isclose(got[i], trie_score(learned, utf8(t).translate(LOWER), order), rel_tol=1e-5), i
+    assert [ppm.order_for(1 << n) for n in (1, 20, 30, 35)] == [3, 4, 6, 7]
+
+
 # --- 9, 10 -------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def labelled(spark):
