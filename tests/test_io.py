@@ -41,6 +41,17 @@ def test_pool_json_array(spark):
     assert sorted(r.id for r in ok.collect()) == ["a1", "a2"]
 
 
+@pytest.mark.parametrize("names", [("a.json", "b.jsonl"), ("b.json", "a.jsonl")])
+def test_pool_folder_of_arrays_and_lines(spark, names):
+    d = _tmp()
+    with open(os.path.join(d, names[0]), "w") as f:
+        json.dump([ENTRY, dict(ENTRY, id="a2")], f, indent=2)
+    with open(os.path.join(d, names[1]), "w") as f:
+        f.write("\n" + "\n".join(json.dumps(dict(ENTRY, id=i)) for i in ("b1", "b2", "b3")) + "\n")
+    ok, rej = IO.read_prompt_pool(spark, d)
+    assert sorted(r.id for r in ok.collect()) == ["a1", "a2", "b1", "b2", "b3"] and rej.count() == 0
+
+
 def test_malformed_line_fails(spark):
     d = _tmp()
     path = os.path.join(d, "pool.jsonl")
