@@ -36,7 +36,6 @@ from .importance import label_sample
 from .tables import crc_mod, cut, id_and_text, prepare
 
 LABELLED = 20_000       # labelled rows learned from
-ENTRIES = 50_000        # candidate entries counted among the clean rows
 MIN_LEN, MAX_LEN = 4, 7  # letters of a learned word beginning
 FIXED_STRENGTH = 6.0
 THRESHOLD = 0.7
@@ -175,19 +174,14 @@ def _toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                          names=["feature", "doc_id", "before"])
 
 
-def _clean_counts(features: set[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
         n: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                got = set()
-                for w in set(WORDS.findall(text.lower())):
-                    got.update(f for f in word_features(w) if f in features)
-                n.update(got)
+        for text in b.column("text").to_pylist():
+            n.update({f for w in set(WORDS.findall(text.lower())) for f in word_features(w)})
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())],
                                              names=["feature", "n"])
-    return count
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Grammar:
@@ -202,27 +196,26 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Gramm
     if not n_tox or not n_clean:
         return Grammar(words=fixed)
     # Candidates: support counts differing neighbours, so copies of one text count once.
-    toxic = (rows.filter("value = 1").select("doc_id", "text")
-             .mapInArrow(_toxic_features, "feature string, doc_id long, before string")
-             .groupBy("feature").agg(F.countDistinct("before").alias("support"), F.count("*").alias("tox"))
-             .filter("support >= 4").orderBy(F.desc("support"), "feature").limit(ENTRIES).collect())
-    names = {r.feature for r in toxic}
-    clean = {r.feature: r.n for r in rows.filter("value <> 1").select("text").mapInArrow(_clean_counts(names), "feature string, n long")
-             .groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    toxic = cut(rows.filter("value = 1").select("doc_id", "text")
+                .mapInArrow(_toxic_features, "feature string, doc_id long, before string")
+                .groupBy("feature").agg(F.countDistinct("before").alias("support"), F.count("*").alias("tox"))
+                .filter("support >= 4"))
+    clean = (rows.filter("value <> 1").select("text").mapInArrow(_clean_counts, "feature string, n long")
+             .groupBy("feature").agg(F.sum("n").alias("n")))
     share = n_tox / (n_tox + n_clean)
     # As many toxic documents as make a chance find among all candidates unlikely.
-    least = max(4, math.ceil(math.log(0.01 / max(len(toxic), 1)) / math.log(share)))
+    least = max(4, math.ceil(math.log(0.01 / max(toxic.count(), 1)) / math.log(share)))
+    odds = F.log((F.col("tox") + 0.5) / F.lit(n_tox + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
+    entries = (toxic.filter(F.least("support", "tox") >= least).join(clean, "feature", "left")
+               .withColumn("clean", F.coalesce("n", F.lit(0))).filter(F.col("clean") <= 0.05 * F.col("tox"))
+               .withColumn("odds", odds).filter("odds >= 3").select("feature", "odds").collect())  # what the grammar holds
     words, stems = dict(fixed), {}
-    for r in sorted(toxic, key=lambda r: (len(r.feature), r.feature)):
-        c = clean.get(r.feature, 0)
-        odds = math.log((r.tox + 0.5) / (n_tox + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if min(r.support, r.tox) < least or c > 0.05 * r.tox or odds < 3:
-            continue
+    for r in sorted(entries, key=lambda r: (len(r.feature), r.feature)):
         f = r.feature
         if f.endswith("$"):
-            words[f[:-1]] = max(words.get(f[:-1], 0.0), min(odds, 8.0))
+            words[f[:-1]] = max(words.get(f[:-1], 0.0), min(r.odds, 8.0))
         elif not any(f[:n] in stems for n in range(MIN_LEN, len(f))):
-            stems[f] = min(odds, 8.0)
+            stems[f] = min(r.odds, 8.0)
     g = Grammar(words=words, stems=stems)
     return _calibrated(rows, g)
 

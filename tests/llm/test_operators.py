@@ -421,6 +421,23 @@ def test_toxicity_learns_held_out(labelled):
     assert T.score(docs.limit(0), T.learn(docs.limit(0), labels)).count() == 0
 
 
+def test_toxic_entries_of_a_large_vocabulary(spark):
+    """A rarer, toxic-only word is learned although over 50,000 entries have more support."""
+    from servebench.llm import toxicity as T
+
+    rng = random.Random(13)
+    vocabulary = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(13_000)})
+    assert len({f for w in vocabulary for f in T.word_features(w)}) > 50_000
+    ids = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 3 != 1][:330]
+    rows = []
+    for k, i in enumerate(ids):
+        w = rng.sample(vocabulary, len(vocabulary)) if k < 33 else rng.sample(vocabulary, 3)
+        rows.append((i, " ".join([*w, "zzblorgish"] if k < 10 else w)))
+    labels = [(i, int(k < 30)) for k, i in enumerate(ids)]
+    g = T.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "zzblorgish" in g.words and not set(vocabulary) & set(g.words)
+
+
 def test_toxic_clauses():
     from servebench.llm import toxicity as T
 
