@@ -271,6 +271,19 @@ def test_cutting_stock_uses_every_item_once():
             assert sum(n for _, n in plan) <= math.ceil(used / 256) + 4
 
 
+def test_cutting_stock_padding_of_the_default_setting():
+    """With the columns production uses, at most two sequences more than the tokens fill."""
+    import numpy as np
+    from servebench.llm import packing as K
+
+    for seed, top in ((1, 32), (1, 64), (2, 64)):
+        demand = np.random.default_rng(seed).integers(0, 40, top)
+        plan = K.plan(demand, K.SEQUENCE // K.UNIT)
+        assert (sum(p * n for p, n in plan) == demand).all()
+        used = (demand * np.arange(1, top + 1)).sum()
+        assert sum(n for _, n in plan) <= math.ceil(used / (K.SEQUENCE // K.UNIT)) + 2
+
+
 # --- 7 -----------------------------------------------------------------------
 def test_bpe(docs, texts, odd, empty):
     import public_tokenizers as P
