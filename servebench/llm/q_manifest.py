@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle
+from . import merkle, repair
 from .tables import table
 
 
@@ -52,3 +52,60 @@ done AS (SELECT doc_id, leaf, subroot, (SELECT digest FROM top WHERE n = 1) AS r
     list_reduce([changed] || coalesce(runs, []), lambda c, x: sha256(replace(x, '*', c))) AS folded_root
   FROM l LEFT JOIN walk USING (r))
 SELECT *, folded_root = root AS verified FROM done"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_sql(conversations: str = "conversations") -> str:
+    """DuckDB SQL for the rows of ``op12_conversation_repair``: every state's best repair of the
+    rows from ``i`` on, as text of cost (9 digits), audit, chr(31) and repaired lines."""
+    shown = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+    kind = _crc32(f"({shown('conv_id')} || ':' || {shown('turn')})") + " % 20"
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    made = {q: "assistant" if q == 2 else "user" for q in after}
+
+    def put(v: str, letter: str, cost: str, line: str) -> str:
+        cut = f"strpos({v}, chr(31))"
+        return (f"(printf('%09d', substr({v}, 1, 9)::BIGINT + {cost}) || '{letter}' || substr({v}, 10, {cut} - 9) "
+                f"|| {line} || substr({v}, {cut} + 1))")
+
+    def inserted(source: str) -> str:
+        """Up to three rows inserted before the rest."""
+        for _ in range(3):
+            best = ", ".join(f"least(v{q}, {put(f'v{n}', 'I', '5', f"chr(10) || '{made[q]}:'")}) AS v{q}" for q, n in after.items())
+            source = f"(SELECT conv_id, i, {best} FROM {source})"
+        return source
+
+    def edited(q: int) -> str:
+        add = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+        ways = [put(f"v{q}", "D", "2", "''")]
+        keep = {0: ["s1", "u2"], 1: ["u2"], 2: ["a3"], 3: ["u2"]}[q]
+        ways += [f"CASE WHEN NOT gone AND substr(role, 1, 1) = '{k[0]}' THEN {put(f'v{k[1]}', 'K', add, "chr(10) || role || ':' || text")} END" for k in keep]
+        ways.append(f"CASE WHEN NOT gone THEN {put(f'v{after[q]}', 'R', f'1 + {add}', f"chr(10) || '{made[q]}:' || text")} END")
+        return f"least({', '.join(ways)}) AS v{q}"
+
+    start = "(SELECT conv_id, max(i) + 1 AS i, '000000000' || chr(31) AS v0, NULL::VARCHAR AS v1, NULL::VARCHAR AS v2, '000000000' || chr(31) AS v3 FROM f GROUP BY conv_id)"
+    step = (f"(SELECT f.conv_id, f.i, {', '.join(map(edited, after))} FROM best JOIN f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i - 1)")
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, {shown('role')} AS role, {shown('text')} AS text, {kind} AS kind FROM {conversations}),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+p AS (SELECT *, regexp_replace(text, '[ 	-]+$', '') AS said,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM n),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(said, '[.!?]$') THEN 'truncated' ELSE '' END AS fault,
+        said = '' OR again AS gone FROM p),
+best(conv_id, i, v0, v1, v2, v3) AS (SELECT * FROM {inserted(start)} UNION ALL SELECT * FROM {inserted(step)}),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+            count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+won AS (SELECT conv_id, v0, strpos(v0, chr(31)) AS cut FROM best WHERE i = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(substr(v0, 1, 9)::BIGINT, 0) AS cost,
+  coalesce(substr(v0, 10, cut - 10), '') AS audit, sha256(coalesce(substr(v0, cut + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM {conversations}) c
+LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM c.conv_id"""
