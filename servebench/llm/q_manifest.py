@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, repair
+from . import fingerprints, merkle, repair
 from .tables import table
 
 
@@ -94,7 +94,8 @@ d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role
         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
-p AS (SELECT *, regexp_replace(text, '[ 	-]+$', '') AS said,
+p AS (SELECT *, regexp_replace(text, '[ 	-
+]+$', '') AS said,
         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM n),
 f AS (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(said, '[.!?]$') THEN 'truncated' ELSE '' END AS fault,
@@ -109,3 +110,7 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
   coalesce(substr(v0, 10, cut - 10), '') AS audit, sha256(coalesce(substr(v0, cut + 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM {conversations}) c
 LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN won ON won.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ def queries() -> dict[str, QueryFn]:
         q_quality.op1_quality_rules, q_dedup.op2_vector_dedup, q_dedup.op3_suffix_dedup, q_urls.op4_url_filter,
         q_dedup.op5_jaccard_join, q_tokens.op6_packing, q_tokens.op7_bpe, q_classify.op8_lm_scoring,
         q_classify.op9_quality_classifier, q_classify.op10_toxicity, q_manifest.op11_merkle_manifest,
-        q_manifest.op12_conversation_repair)}
+        q_manifest.op12_conversation_repair, q_manifest.op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
