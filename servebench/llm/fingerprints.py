@@ -42,7 +42,7 @@ _MOD, _31, _33 = np.uint64(MOD), np.uint64(31), np.uint64(33)
 
 
 def _rem(x: np.ndarray) -> np.ndarray:
-    """x modulo 2^31 - 1 for x < 2^62."""
+    """x modulo 2^31 - 1 for x < 2^63."""
     x = (x & _MOD) + (x >> _31)
     x = (x & _MOD) + (x >> _31)
     return np.where(x >= _MOD, x - _MOD, x)
@@ -75,21 +75,22 @@ class Prefix:
         self.sums = []
         for base in BASES:
             p = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_rem((codes + np.uint64(1)) * powers(base, max(self.n - 1, 0))[:self.n]), out=p[1:])  # below 2^31 * n
+            terms = (codes + np.uint64(1)) * powers(base, self.n)[:self.n]
+            np.cumsum((terms & _MOD) + (terms >> _31), out=p[1:])     # below 2^32 * n
             self.sums.append(_rem(p))
 
     def spans(self, start: np.ndarray, end: np.ndarray, lane: int) -> np.ndarray:
         """Hashes of the spans [start, end), whatever their place."""
         p = self.sums[lane]
-        return _rem(_rem(p[end] + _MOD - p[start]) * powers(_INVERSES[lane], self.n)[start])
-
-    def span(self, start: int, end: int) -> tuple[int, int]:
-        at = np.array([start]), np.array([end])
-        return int(self.spans(*at, 0)[0]), int(self.spans(*at, 1)[0])
+        return _rem((p[end] + _MOD - p[start]) * powers(_INVERSES[lane], self.n)[start])
 
     def equal(self, start: int, other: Prefix, at: int, length: int) -> bool:
         """Whether ``length`` code points from ``start`` are those of ``other`` from ``at``."""
-        return self.span(start, start + length) == other.span(at, at + length)
+        for p, q, base in zip(self.sums, other.sums, BASES):
+            here, there = int(p[start + length]) - int(p[start]), int(q[at + length]) - int(q[at])
+            if (here * pow(base, at, MOD) - there * pow(base, start, MOD)) % MOD:
+                return False
+        return True
 
     def common(self, start: int, other: Prefix, at: int) -> int:
         """The longest common extension of position ``start`` and ``at`` of ``other``."""
@@ -121,40 +122,74 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
+def _least(values: np.ndarray) -> np.ndarray:
+    """The ``KEPT`` least distinct values, sorted."""
+    share = 4 * KEPT
+    while len(values) > share:                           # they are among few least ones
+        some = np.unique(np.partition(values, share)[:share])
+        if len(some) >= KEPT:
+            return some[:KEPT]
+        share *= 4
+    return np.unique(values)[:KEPT]
+
+
+class Mark:
+    """The fingerprint of the text read so far; texts that begin alike share their beginning's."""
+
+    def __init__(self):
+        self.n, self.whole, self.least = 0, [0, 0], np.zeros(0, np.uint32)
+        self.tail = np.zeros(0, np.uint64)               # the last code points
+
+    def extended(self, codes: np.ndarray) -> Mark:
+        """The mark of this text followed by ``codes``."""
+        out = Mark()
+        out.n, out.whole, out.least, out.tail = self.n, list(self.whole), self.least, self.tail
+        for at in range(0, len(codes), STEP):
+            out._take(codes[at:at + STEP])
+        return out
+
+    def _take(self, block: np.ndarray) -> None:
+        before = len(self.tail)
+        p = Prefix(np.concatenate([self.tail, block]) if before else block)
+        for lane, base in enumerate(BASES):
+            here = int(p.sums[lane][-1]) - int(p.sums[lane][before])
+            self.whole[lane] = (self.whole[lane] + here * pow(base, self.n - before, MOD)) % MOD
+        end = np.arange(before + 1, p.n + 1)
+        values = p.spans(np.maximum(end - WIDTH, 0), end, 0) << np.uint64(6)
+        values |= np.minimum(end, WIDTH).astype(np.uint64)
+        self.least = _least(np.concatenate([self.least, _mixed(values)]))
+        self.n += len(block)
+        self.tail = block[-WIDTH:] if len(block) >= WIDTH else np.concatenate([self.tail, block])[-WIDTH:]
+
+    def __str__(self) -> str:
+        return f"{self.n:x}.{self.whole[0]:08x}{self.whole[1]:08x}." + self.least.astype(">u4").tobytes().hex()
+
+    def alike(self, other: Mark) -> float:
+        if (self.n, self.whole) == (other.n, other.whole):
+            return 1.0
+        return _alike(self.least, other.least)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> float:
+    both = np.sort(np.concatenate([x, y]))
+    if not len(x) or not len(y):
+        return 0.0
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    looked = min(KEPT, int(new.sum()))                   # the least values of both together
+    last = int(np.flatnonzero(new)[looked] if int(new.sum()) > looked else len(both))
+    shared = (last - looked) / looked                    # values of both texts stand there twice
+    return 2 * shared / (1 + shared)
+
+
 def fingerprint(codes: np.ndarray) -> str:
     """Length, whole hash and the ``KEPT`` least span hashes, in hex."""
-    whole = [0, 0]
-    least = np.zeros(0, np.uint32)
-    for at in range(0, len(codes), STEP):
-        first = max(0, at - WIDTH)                       # spans that begin in the block before
-        p = Prefix(codes[first:at + STEP])
-        for lane, base in enumerate(BASES):
-            here = (int(p.sums[lane][-1]) - int(p.sums[lane][at - first])) * pow(base, first, MOD)
-            whole[lane] = (whole[lane] + here) % MOD
-        end = np.arange(at - first + 1, p.n + 1)
-        values = _mixed(p.spans(np.maximum(end - WIDTH, 0), end, 0) << np.uint64(6) | np.minimum(end + first, WIDTH).astype(np.uint64))
-        least = np.concatenate([least, values])
-        share = 4 * KEPT
-        while len(least) > share:                        # the KEPT least distinct values are among few least ones
-            some = np.unique(np.partition(least, share)[:share])
-            if len(some) >= KEPT:
-                least = some[:KEPT]
-            else:
-                share *= 4
-        least = np.unique(least)[:KEPT]
-    return f"{len(codes):x}.{whole[0]:08x}{whole[1]:08x}." + least.astype(">u4").tobytes().hex()
+    return str(Mark().extended(codes))
 
 
 def likeness(a: str, b: str) -> float:
     """How alike two texts are (0 to 1) by their fingerprints: twice the shared spans over the spans of both."""
-    if a == b:
-        return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.rsplit(".", 1)[1]), ">u4") for f in (a, b))
-    both = np.union1d(x, y)[:KEPT]
-    if not len(x) or not len(y):
-        return 0.0
-    shared = int((np.isin(both, x) & np.isin(both, y)).sum()) / len(both)
-    return 2 * shared / (1 + shared)
+    return 1.0 if a == b else _alike(*(np.frombuffer(bytes.fromhex(f.rsplit(".", 1)[1]), ">u4") for f in (a, b)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -182,16 +217,26 @@ def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in fields], names=[n for n, _ in fields])
 
 
-def _pair(doc_id: int | None, text: str, mark: str, following: str, next_mark: str) -> dict:
-    """The result row of a document whose successor's text begins with ``following``."""
-    n = len(text)
-    k = n // 4
-    edited = text[:n - k] + following[:k]
-    a, b = code_points(text), code_points(edited)
-    edited_mark = mark if edited == text else fingerprint(b)
-    return {"doc_id": doc_id, "n_chars": n, "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": mark,
-            "edited_fingerprint": edited_mark, "near_edited": likeness(mark, edited_mark), "near_next": likeness(mark, next_mark),
-            "common_chars": common_prefix(a, b)}
+class Held:
+    """A document on its way: its kept three quarters are marked once, for its own end and the other's."""
+
+    def __init__(self, doc_id: int | None, text: str):
+        self.doc_id, self.text = doc_id, text
+        self.kept = len(text) - len(text) // 4
+        codes = code_points(text)
+        self.end = codes[self.kept:]
+        self.begun = Mark().extended(codes[:self.kept])
+        self.mark = self.begun.extended(self.end)
+
+    def row(self, following: str, next_mark: str | Mark) -> dict:
+        """The result row where the successor's text begins with ``following``."""
+        text = self.text[:self.kept] + following[:len(self.text) - self.kept]
+        end = code_points(text[self.kept:])
+        other = self.begun.extended(end)
+        near = likeness(str(self.mark), next_mark) if isinstance(next_mark, str) else self.mark.alike(next_mark)
+        return {"doc_id": self.doc_id, "n_chars": len(self.text), "edited_sha256": hashlib.sha256(text.encode()).hexdigest(),
+                "fingerprint": str(self.mark), "edited_fingerprint": str(other), "near_edited": self.mark.alike(other),
+                "near_next": near, "common_chars": self.kept + common_prefix(self.end, end)}
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,20 +245,21 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            now = (doc_id, text, fingerprint(code_points(text)))
+            now = Held(doc_id, text)
             if held is None:
-                rows.append({"doc_id": doc_id, "part": part, "edge": "first", "text": text, "fingerprint": now[2]})
+                rows.append({"doc_id": doc_id, "part": part, "edge": "first", "text": text, "fingerprint": str(now.mark)})
             else:
-                rows.append(_pair(*held, text, now[2]))
+                rows.append(held.row(text, now.mark))
             held = now
         yield _batch(rows, _EDGES)
     if held is not None:
-        yield _batch([{"doc_id": held[0], "part": part, "edge": "last", "text": held[1], "fingerprint": held[2]}], _EDGES)
+        yield _batch([{"doc_id": held.doc_id, "part": part, "edge": "last", "text": held.text}], _EDGES)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield _batch([_pair(*r) for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "following", "next_mark")))], RESULT)
+        yield _batch([Held(doc_id, text).row(following, mark) for doc_id, text, following, mark in
+                      zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following", "next_mark")))], RESULT)
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -232,7 +278,7 @@ def edited(docs: DataFrame) -> DataFrame:
     first, last = done.filter("edge = 'first'"), done.filter("edge = 'last'")
     parts = first.select("part")                          # a row per partition
     at = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(Window.orderBy("part"))).alias("next"))
-    met = (last.select("part", "doc_id", "text", "fingerprint").join(at, "part")
+    met = (last.select("part", "doc_id", "text").join(at, "part")
            .join(first.select(F.col("part").alias("next"), F.col("text").alias("following"), F.col("fingerprint").alias("next_mark")), "next"))
     names = [f.split()[0] for f in RESULT.split(", ")]
     return done.filter("edge IS NULL").select(*names).unionByName(met.mapInArrow(_joined, RESULT))
