@@ -273,7 +273,7 @@ def edited(docs: DataFrame) -> DataFrame:
     dealt = d.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # Written once: the documents at the edges of the partitions still have to meet.
     path = scratch_path(spark, "fingerprints")
-    dealt.mapInArrow(_streamed, _EDGES).write.parquet(path)
+    dealt.mapInArrow(_streamed, _EDGES).write.option("compression", "zstd").parquet(path)
     done = spark.read.parquet(path)
     first, last = done.filter("edge = 'first'"), done.filter("edge = 'last'")
     parts = first.select("part")                          # a row per partition
