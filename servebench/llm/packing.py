@@ -138,6 +138,21 @@ def _first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.nda
     return basis
 
 
+def _times(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Matrix by vector without threaded linear algebra (its threads can wait for
+    ever in a driver that also runs a JVM)."""
+    return np.einsum("ij,j->i", matrix, x)
+
+
+def _inverse(upper: np.ndarray) -> np.ndarray:
+    """Inverse of an upper triangular matrix by back substitution."""
+    out = np.eye(len(upper))
+    for k in range(len(upper) - 1, -1, -1):
+        out[k] /= upper[k, k]
+        out[:k] -= np.outer(upper[:k, k], out[k])
+    return out
+
+
 def column_generation(demand: np.ndarray, capacity: int, max_columns: int = MAX_COLUMNS) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses them (revised simplex on a
     basis of as many patterns as there are lengths)."""
@@ -146,8 +161,8 @@ def column_generation(demand: np.ndarray, capacity: int, max_columns: int = MAX_
         return []
     m = len(sizes)
     basis = _first_basis(sizes + 1, demand[sizes].astype(np.int64), capacity)
-    inverse = np.linalg.inv(basis)
-    x = np.maximum(inverse @ demand[sizes].astype(float), 0)
+    inverse = _inverse(basis)
+    x = np.maximum(_times(inverse, demand[sizes].astype(float)), 0)
     for _ in range(max_columns):
         dual = inverse.sum(axis=0)
         values = np.zeros(len(demand))
@@ -156,7 +171,7 @@ def column_generation(demand: np.ndarray, capacity: int, max_columns: int = MAX_
         # obj / worth bounds the program from below: stop within half a sequence of it.
         if worth <= 1 + 1e-6 or x.sum() * (1 - 1 / worth) < 0.5:
             break
-        column = inverse @ pattern[sizes]
+        column = _times(inverse, pattern[sizes])
         ratio = np.where(column > 1e-9, x / np.where(column > 1e-9, column, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = pattern[sizes]

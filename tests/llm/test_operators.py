@@ -284,6 +284,22 @@ def test_cutting_stock_padding_of_the_default_setting():
         assert sum(n for _, n in plan) <= math.ceil(used / (K.SEQUENCE // K.UNIT)) + 2
 
 
+def test_cutting_stock_beside_a_session(spark):
+    """The linear program of a full histogram ends soon in a driver that runs Spark."""
+    import time
+
+    import numpy as np
+    from servebench.llm import packing as K
+
+    assert spark.range(1000).selectExpr("sum(id)").first()[0] == 499500
+    began = time.time()
+    demand = np.random.default_rng(3).integers(1, 400, 256)
+    plan = K.plan(demand, 256)
+    assert (sum(p * n for p, n in plan) == demand).all() and time.time() - began < 60
+    upper = np.triu(np.random.default_rng(4).integers(1, 5, (40, 40)).astype(float))
+    assert np.allclose(np.einsum("ij,jk->ik", upper, K._inverse(upper)), np.eye(40))
+
+
 # --- 7 -----------------------------------------------------------------------
 def test_bpe(docs, texts, odd, empty):
     import public_tokenizers as P
