@@ -8,7 +8,7 @@ bounded by one response.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,19 +58,31 @@ def parse_wire(lines: DataFrame, key: str = "request_id", order: str = "line_no"
     Lines are trimmed; blank lines and lines without the ``data: `` prefix are
     ignored; reading stops at ``data: [DONE]`` (per request, the first such
     line); payloads that are not one whole JSON object are skipped.
-    The terminator position is a per-request ``min`` (partial aggregation)
-    joined back, not a window, so a request with many lines is still
-    aggregated map-side.
+
+    One scan and one exchange: a running count of terminators inside each
+    request, which streams over its sorted lines, tells what comes before the
+    first.  Payloads are parsed once each, behind that exchange, so
+    that parsing is spread however few files the capture has, and what is
+    then grouped by request is not moved again.
     """
-    t = lines.select(key, order, time_col, strip_ws(line_col).alias("_l"))
-    done = (t.filter(F.col("_l") == DONE_LINE).groupBy(key)
-            .agg(F.min(order).alias("_done_at")))
-    data = (t.filter(F.col("_l").startswith(DATA_PREFIX) & (F.col("_l") != DONE_LINE))
-            .join(done, key, "left")
-            .filter(F.col("_done_at").isNull() | (F.col(order) < F.col("_done_at")))
-            .select(key, order, time_col, F.substring("_l", len(DATA_PREFIX) + 1, 1 << 30).alias("payload")))
-    parsed = data.filter(json_object_valid("payload")).select("*", F.from_json("payload", CHUNK_SCHEMA).alias("_j"))
-    return parsed.select(key, order, time_col, F.col("_j.choices").alias("choices"), F.col("_j.usage").alias("usage"))
+    t = (lines.select(key, order, time_col, strip_ws(line_col).alias("_l"))
+         .filter(F.col("_l").startswith(DATA_PREFIX) | (F.col("_l") == DONE_LINE)))
+    ended = F.count_if(F.col("_l") == DONE_LINE).over(Window.partitionBy(key).orderBy(order))
+    open_ = t.select("*", ended.alias("_ended")).filter("_ended = 0")
+    return open_.select(key, order, time_col, F.inline(parsed_chunk(F.substring("_l", len(DATA_PREFIX) + 1, 1 << 30))))
+
+
+def parsed_chunk(payload: Column) -> Column:
+    """``[(choices, usage)]`` of a payload that is one whole JSON object, else
+    an empty array: a single parse to VARIANT, framed as in :func:`json_valid`."""
+    framed = F.concat(F.lit('{"value":'), payload, F.lit(',"end":0}'))
+
+    def fields(v: Column) -> Column:
+        whole = F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) == 2
+        chunk = F.try_variant_get(v, "$.value", CHUNK_SCHEMA.simpleString())
+        return F.when(whole & strip_ws(payload).startswith("{"), F.struct(chunk["choices"].alias("choices"), chunk["usage"].alias("usage")))
+
+    return F.filter(F.transform(F.array(F.try_parse_json(framed)), fields), lambda x: x.isNotNull())
 
 
 def whole_number(c: Column | str) -> Column:

@@ -85,12 +85,12 @@ def requests_from_events(ev: DataFrame) -> DataFrame:
 
 
 def chunk_times_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
-    """Up to 8 token arrivals per request with uneven gaps.  Built with a
-    generator (``explode(sequence)``) so no join is needed."""
+    """One arrival per output token of a request, with uneven gaps.  Built with
+    a generator (``explode(sequence)``) so no join is needed."""
     req = requests if requests is not None else requests_df(spark, sf_dir)
     r = (req.filter("first_token_at is not null and output_tokens > 0")
          .selectExpr("request_id", "category", "first_token_at", "completed_at",
-                     "least(output_tokens, 8) as n"))
+                     "output_tokens as n"))
     return (r.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
             .selectExpr("request_id", "cast(i as int) as seq", "category",
                         "first_token_at + (completed_at - first_token_at) * (i * (i + 1)) / (n * (n + 1)) as arrived_at"))
@@ -99,33 +99,30 @@ def chunk_times_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None
 def wire_lines_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
     """Streamed-response lines: content and tool-call deltas, blank lines, a
     malformed line, usage (missing for every third request), the terminator,
-    and a line after the terminator for every tenth request."""
+    and a line after the terminator for every tenth request.  One generator
+    over the line numbers of a response: three per token, then the last three."""
     req = requests if requests is not None else requests_df(spark, sf_dir)
-    ct = chunk_times_df(spark, sf_dir, req)
     bs = "chr(92)"
-    delta_line = f"""case
-      when category = 'tool_call' and seq = 0 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"id":"call_', request_id, '","function":{{"name":"get_","arguments":""}}}}]}}}}]}}')
-      when category = 'tool_call' and seq = 1 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"name":"weather","arguments":"{{', {bs}, '"loc"}}}}]}}}}]}}')
-      when category = 'tool_call' and seq = 2 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"arguments":"ation', {bs}, '":1}}"}}}}]}}}}]}}')
-      else concat('data: {{"choices":[{{"delta":{{"content":"t', seq, ' "}}}}]}}') end as line"""
-    ok = req.filter("first_token_at is not null and output_tokens > 0")
-    parts = [
-        ct.selectExpr("request_id", "3 * seq as line_no", "arrived_at", delta_line),
-        ct.selectExpr("request_id", "3 * seq + 1 as line_no", "arrived_at", "'' as line"),
-        ct.filter("seq = 1").selectExpr("request_id", "3 * seq + 2 as line_no", "arrived_at",
-                                        "'data: {not valid json}' as line"),
-        ok.filter("request_id % 3 <> 0").selectExpr(
-            "request_id", "100 as line_no", "completed_at as arrived_at",
-            """concat('data: {"choices":[{"delta":{}}],"usage":{"completion_tokens":', output_tokens, '}}') as line"""),
-        ok.selectExpr("request_id", "101 as line_no", "completed_at as arrived_at", "'data: [DONE]' as line"),
-        ok.filter("request_id % 10 = 0").selectExpr(
-            "request_id", "102 as line_no", "completed_at as arrived_at",
-            """'data: {"choices":[{"delta":{"content":"after the end"}}]}' as line"""),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    line = f"""case
+      when line_no = 3 * n then concat('data: {{"choices":[{{"delta":{{}}}}],"usage":{{"completion_tokens":', n, '}}}}')
+      when line_no = 3 * n + 1 then 'data: [DONE]'
+      when line_no = 3 * n + 2 then 'data: {{"choices":[{{"delta":{{"content":"after the end"}}}}]}}'
+      when line_no % 3 = 1 then ''
+      when line_no % 3 = 2 then 'data: {{not valid json}}'
+      when category = 'tool_call' and line_no = 0 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"id":"call_', request_id, '","function":{{"name":"get_","arguments":""}}}}]}}}}]}}')
+      when category = 'tool_call' and line_no = 3 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"name":"weather","arguments":"{{', {bs}, '"loc"}}}}]}}}}]}}')
+      when category = 'tool_call' and line_no = 6 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"arguments":"ation', {bs}, '":1}}"}}}}]}}}}]}}')
+      else concat('data: {{"choices":[{{"delta":{{"content":"t', line_no div 3, ' "}}}}]}}') end as line"""
+    r = (req.filter("first_token_at is not null and output_tokens > 0")
+         .selectExpr("request_id", "category", "first_token_at", "completed_at", "cast(output_tokens as int) as n")
+         .withColumn("line_no", F.explode(F.sequence(F.lit(0), 3 * F.col("n") + 2))))
+    there = """case when line_no = 3 * n then request_id % 3 <> 0 when line_no = 3 * n + 1 then true
+      when line_no = 3 * n + 2 then request_id % 10 = 0 else line_no % 3 < 2 or line_no = 5 end"""
+    seq = "cast(line_no div 3 as bigint)"
+    return r.filter(there).selectExpr(
+        "request_id", "line_no",
+        f"case when line_no >= 3 * n then completed_at else first_token_at + (completed_at - first_token_at) "
+        f"* ({seq} * ({seq} + 1)) / (cast(n as bigint) * (n + 1)) end as arrived_at", line)
 
 
 def expectations_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
@@ -190,11 +187,10 @@ requests as (
 
 DUCK_CHUNK_TIMES = """
 chunk_times as (
-  select r.request_id, t.i as seq, r.category,
-    r.first_token_at + (r.completed_at - r.first_token_at) * (t.i * (t.i + 1)) / (r.n * (r.n + 1)) as arrived_at
-  from (select request_id, category, first_token_at, completed_at, least(output_tokens, 8) as n
-        from requests where first_token_at is not null and output_tokens > 0) r
-  join (values (0),(1),(2),(3),(4),(5),(6),(7)) t(i) on t.i < r.n)"""
+  select r.request_id, cast(r.i as int) as seq, r.category,
+    r.first_token_at + (r.completed_at - r.first_token_at) * (r.i * (r.i + 1)) / (r.n * (r.n + 1)) as arrived_at
+  from (select request_id, category, first_token_at, completed_at, output_tokens as n, unnest(range(output_tokens)) as i
+        from requests where first_token_at is not null and output_tokens > 0) r)"""
 
 DUCK_WIRE_LINES = """
 wire_lines as (
@@ -209,13 +205,13 @@ wire_lines as (
   union all
   select request_id, 3 * seq + 2, arrived_at, 'data: {not valid json}' from chunk_times where seq = 1
   union all
-  select request_id, 100, completed_at, concat('data: {"choices":[{"delta":{}}],"usage":{"completion_tokens":', output_tokens, '}}')
+  select request_id, cast(3 * output_tokens as int), completed_at, concat('data: {"choices":[{"delta":{}}],"usage":{"completion_tokens":', output_tokens, '}}')
   from requests where first_token_at is not null and output_tokens > 0 and request_id % 3 <> 0
   union all
-  select request_id, 101, completed_at, 'data: [DONE]'
+  select request_id, cast(3 * output_tokens + 1 as int), completed_at, 'data: [DONE]'
   from requests where first_token_at is not null and output_tokens > 0
   union all
-  select request_id, 102, completed_at, 'data: {"choices":[{"delta":{"content":"after the end"}}]}'
+  select request_id, cast(3 * output_tokens + 2 as int), completed_at, 'data: {"choices":[{"delta":{"content":"after the end"}}]}'
   from requests where first_token_at is not null and output_tokens > 0 and request_id % 10 = 0)"""
 
 DUCK_EXPECTATIONS = """
