@@ -151,7 +151,8 @@ def generated_text(facts: DataFrame, key: str = "request_id", order: str = "line
 
 def tool_call_deltas(chunks: DataFrame, key: str = "request_id", order: str = "line_no") -> DataFrame:
     """One row per tool-call delta, across all choices, in arrival order."""
-    c = chunks.select(key, order, F.posexplode("choices").alias("_cpos", "_c"))
+    some = F.exists("choices", lambda c: F.size(c["delta"]["tool_calls"]) > 0)
+    c = chunks.filter(some).select(key, order, F.posexplode("choices").alias("_cpos", "_c"))
     d = c.select(key, order, "_cpos", F.posexplode("_c.delta.tool_calls").alias("_tpos", "_t"))
     return d.select(key, order, "_cpos", "_tpos",
                     F.coalesce(whole_number("_t.index"), F.lit(0)).cast("int").alias("index"),
@@ -205,17 +206,18 @@ def score_tool_calls(calls: DataFrame, expectations: DataFrame, scored: DataFram
     ``scored`` get NULL (left to the caller).
     """
     e = expectations.select(key, "exp_name", "required_args")
-    has_calls = calls.groupBy(key).agg(F.count(F.lit(1)).alias("_n_calls"))
-    match = (calls.join(e.select(key, "exp_name"), key)
-             .filter(F.col("name") == F.col("exp_name"))
-             .groupBy(key).agg(F.min_by("arguments", "index").alias("_args")))
-    j = (scored.select(key).join(e, key, "left").join(has_calls, key, "left").join(match, key, "left"))
+    hit = F.col("name") == F.col("exp_name")
+    # One aggregate over the calls: how many there are, and the deciding one's arguments.
+    j = (scored.select(key).join(e, key, "left").join(calls.select(key, "index", "name", "arguments"), key, "left")
+         .groupBy(key).agg(F.any_value("exp_name").alias("exp_name"), F.any_value("required_args").alias("required_args"),
+                           F.count("index").alias("_n_calls"),
+                           F.min_by(F.when(hit, F.col("arguments")), F.when(hit, F.col("index"))).alias("_args")))
     args = F.col("_args")
     keys = F.json_object_keys(args)
     ok = (json_object_valid(args)
           & (F.size(F.array_except(F.coalesce("required_args", F.array().cast("array<string>")), keys)) == 0))
     correct = (F.when(F.col("exp_name").isNull(), F.lit(None).cast("boolean"))
-               .when(F.coalesce("_n_calls", F.lit(0)) == 0, F.lit(False))
+               .when(F.col("_n_calls") == 0, F.lit(False))
                .when(args.isNull(), F.lit(False))
                .otherwise(F.coalesce(ok, F.lit(False))))
     return j.select(key, correct.alias("tool_call_correct"))

@@ -84,13 +84,20 @@ def requests_from_events(ev: DataFrame) -> DataFrame:
         "k as k_")
 
 
+def _dealt(requests: DataFrame) -> DataFrame:
+    """Requests dealt out by id before each becomes thousands of rows, as a
+    capture is that many servers write; the count is given, because the size
+    of the few requests says nothing about the rows to come."""
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(n, "request_id")
+
+
 def chunk_times_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
     """One arrival per output token of a request, with uneven gaps.  Built with
     a generator (``explode(sequence)``) so no join is needed."""
     req = requests if requests is not None else requests_df(spark, sf_dir)
-    r = (req.filter("first_token_at is not null and output_tokens > 0")
-         .selectExpr("request_id", "category", "first_token_at", "completed_at",
-                     "output_tokens as n"))
+    r = _dealt(req.filter("first_token_at is not null and output_tokens > 0")
+               .selectExpr("request_id", "category", "first_token_at", "completed_at", "output_tokens as n"))
     return (r.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
             .selectExpr("request_id", "cast(i as int) as seq", "category",
                         "first_token_at + (completed_at - first_token_at) * (i * (i + 1)) / (n * (n + 1)) as arrived_at"))
@@ -113,8 +120,8 @@ def wire_lines_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None =
       when category = 'tool_call' and line_no = 3 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"name":"weather","arguments":"{{', {bs}, '"loc"}}}}]}}}}]}}')
       when category = 'tool_call' and line_no = 6 then concat('data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"arguments":"ation', {bs}, '":1}}"}}}}]}}}}]}}')
       else concat('data: {{"choices":[{{"delta":{{"content":"t', line_no div 3, ' "}}}}]}}') end as line"""
-    r = (req.filter("first_token_at is not null and output_tokens > 0")
-         .selectExpr("request_id", "category", "first_token_at", "completed_at", "cast(output_tokens as int) as n")
+    r = (_dealt(req.filter("first_token_at is not null and output_tokens > 0")
+                .selectExpr("request_id", "category", "first_token_at", "completed_at", "cast(output_tokens as int) as n"))
          .withColumn("line_no", F.explode(F.sequence(F.lit(0), 3 * F.col("n") + 2))))
     there = """case when line_no = 3 * n then request_id % 3 <> 0 when line_no = 3 * n + 1 then true
       when line_no = 3 * n + 2 then request_id % 10 = 0 else line_no % 3 < 2 or line_no = 5 end"""
