@@ -29,6 +29,9 @@ TOOL_DELTA = T.StructType([
         T.StructField("name", T.StringType()),
         T.StructField("arguments", T.StringType())])),
 ])
+# A delta as :func:`chunk_tool_deltas` gives it.
+ASSEMBLED_DELTA = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("id", T.StringType()),
+                                T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])
 CHUNK_SCHEMA = T.StructType([
     T.StructField("choices", T.ArrayType(T.StructType([
         T.StructField("delta", T.StructType([
@@ -91,13 +94,13 @@ def whole_number(c: Column | str) -> Column:
     return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
 
 
-def _has_token(choices: Column) -> Column:
+def has_token(choices: Column) -> Column:
     return F.coalesce(F.exists(choices, lambda c: (F.coalesce(F.length(c["delta"]["content"]), F.lit(0)) > 0)
                                | (F.coalesce(F.size(c["delta"]["tool_calls"]), F.lit(0)) > 0)),
                       F.lit(False))
 
 
-def _content(choices: Column) -> Column:
+def chunk_content(choices: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(choices, lambda c: c["delta"]["content"]), ""), F.lit(""))
 
 
@@ -108,7 +111,7 @@ def chunk_facts(chunks: DataFrame, key: str = "request_id", order: str = "line_n
     ch = F.col("choices")
     n_tool = F.coalesce(F.aggregate(ch, F.lit(0), lambda a, c: a + F.coalesce(F.size(c["delta"]["tool_calls"]), F.lit(0))),
                         F.lit(0))
-    return chunks.select(key, order, time_col, _content(ch).alias("content"), _has_token(ch).alias("has_token"),
+    return chunks.select(key, order, time_col, chunk_content(ch).alias("content"), has_token(ch).alias("has_token"),
                          n_tool.alias("n_tool_deltas"),
                          whole_number("usage.prompt_tokens").alias("prompt_tokens"),
                          whole_number("usage.completion_tokens").alias("completion_tokens"))
@@ -274,7 +277,7 @@ def wire_summary(facts: DataFrame, key: str = "request_id", order: str = "line_n
 # One pass per request: everything a record needs from the capture
 # ---------------------------------------------------------------------------
 
-def _chunk_tool_deltas(choices: Column) -> Column:
+def chunk_tool_deltas(choices: Column) -> Column:
     """Tool-call deltas of one chunk across all its choices, in order."""
     return F.flatten(F.transform(F.coalesce(choices, F.array().cast(CHUNK_SCHEMA["choices"].dataType)),
                                  lambda c, cpos: F.transform(
@@ -285,7 +288,7 @@ def _chunk_tool_deltas(choices: Column) -> Column:
                                          t["function"]["arguments"].alias("arguments")))))
 
 
-def _assemble(deltas: Column) -> Column:
+def assemble(deltas: Column) -> Column:
     """Tool calls from an ordered delta list: grouped by index (sorted), last
     non-empty id, names and arguments concatenated (B6, per request)."""
     idxs = F.array_sort(F.array_distinct(F.transform(deltas, lambda d: d["index"])))
@@ -312,8 +315,8 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
     are the output itself."""
     ch = parse_wire(lines, key, order, time_col)
     c = F.col("choices")
-    facts = ch.select(key, order, time_col, _content(c).alias("content"), _has_token(c).alias("has_token"),
-                      _chunk_tool_deltas(c).alias("tool_deltas"),
+    facts = ch.select(key, order, time_col, chunk_content(c).alias("content"), has_token(c).alias("has_token"),
+                      chunk_tool_deltas(c).alias("tool_deltas"),
                       whole_number("usage.prompt_tokens").alias("prompt_tokens"),
                       whole_number("usage.completion_tokens").alias("completion_tokens"))
     tok = F.col("has_token")
@@ -334,7 +337,7 @@ def request_wire_facts(lines: DataFrame, key: str = "request_id", order: str = "
     n_gaps = F.col("n_token_chunks") - 1
     itl_avg = F.when(n_gaps > 0, (F.col("last_token_at") - F.col("first_token_at")) / n_gaps)
     return a.select(key, "first_token_at", "last_token_at", "n_token_chunks", "usage_prompt_tokens",
-                    "usage_completion_tokens", "text", _assemble(F.col("_deltas")).alias("tool_calls"),
+                    "usage_completion_tokens", "text", assemble(F.col("_deltas")).alias("tool_calls"),
                     itl_avg.alias("itl_avg"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from ..specs import RunParams
 
 # FIXED VALUES: the stand-in run.
@@ -132,6 +133,41 @@ def wire_lines_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None =
         f"* ({seq} * ({seq} + 1)) / (cast(n as bigint) * (n + 1)) end as arrived_at", line)
 
 
+def capture_events_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run as capture events (``LIVE_EVENTS``): requests sent, response
+    lines, ends, and the close of the capture after the drain limit."""
+    req = requests_df(spark, sf_dir)
+    exp = expectations_df(spark, sf_dir, req).withColumnRenamed("request_id", "r_")
+    none = {"line_no": "cast(null as long)", "line": "cast(null as string)", "category": "cast(null as string)",
+            "input_tokens": "cast(null as long)", "exp_name": "cast(null as string)",
+            "required_args": "cast(null as array<string>)", "status": "cast(null as string)", "error": "cast(null as string)"}
+
+    def events(df: DataFrame, kind: str, at: str, **given: str) -> DataFrame:
+        return df.selectExpr(f"'{kind}' as kind", "request_id", f"{at} as at",
+                             *[f"{given.get(c, e)} as {c}" for c, e in none.items()])
+
+    sent = events(req.join(exp, F.col("request_id") == F.col("r_"), "left"), "sent", "request_sent_at", category="category",
+                  input_tokens="input_tokens", exp_name="exp_name", required_args="required_args")
+    ends = events(req, "end", "completed_at", status="status", error="''")
+    lines = events(wire_lines_df(spark, sf_dir, req), "line", "arrived_at", line_no="cast(line_no as long)", line="line")
+    close = events(spark.range(1).selectExpr("cast(-1 as long) as request_id"), "close",
+                   repr(RUN_START + RUN_DURATION + 3 * RUN.request_timeout) + "e0")
+    return sent.unionByName(ends).unionByName(lines).unionByName(close)
+
+
+def capture_stream(spark: SparkSession, events: DataFrame, slices: int = 6, files: int = 4) -> DataFrame:
+    """The events as a stream of ``files`` files per interval of the run, a
+    micro-batch each, written one interval after the other; every 97th line is
+    written 45 s late, so that lines come a batch after their terminator."""
+    at = F.col("at") + F.when(F.col("line_no") % 97 == 0, 45.0).otherwise(0.0) - RUN_START
+    part = F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor(at * slices / RUN_DURATION))).cast("int")
+    parts, path = scratch_path(spark, "intervals"), scratch_path(spark, "capture")
+    events.withColumn("_part", part).write.partitionBy("_part").parquet(parts)
+    for k in range(slices):
+        spark.read.schema(events.schema).parquet(f"{parts}/_part={k}").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def expectations_df(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
     """Expected tool per tool_call request: ``get_weather`` requiring
     ``location``, plus ``unit`` when ``request_id % 5 = 0``."""
