@@ -5,7 +5,8 @@ order.  Here every per-conversation fact is an aggregate with constant state
 (no message lists are collected), and quotas become cut-off keys: a quota
 takes every eligible row in order until full, so "row r goes to short" is
 "r is short-eligible and its key is at or below the N-th smallest
-short-eligible key".  Spill-over to reasoning is the complement (P2).
+short-eligible key", found by counting key prefixes.  Spill-over to reasoning
+is the complement (P2).
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.selection import below_threshold, threshold_map
 from ...functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS, token_count
 from ...specs import CATEGORY_SPECS, REASONING_KEYWORDS
 from ..wire import strip_ws
-from .common import scalar_cutoff, within
+from .common import within
 
 CHAT_CATEGORIES = ("short_chat", "medium_chat", "multi_turn", "reasoning")
 MIN_WORDS = 3
@@ -87,32 +89,38 @@ def route_chat(passing: DataFrame, fetch_targets: dict, key: str = "conv_id", sp
     """
     specs = specs or CATEGORY_SPECS
     t = {c: int(fetch_targets.get(c, 0)) for c in CHAT_CATEGORIES}
-    k, tok = F.col(key), F.col("text_tok")
+    tok = F.col("text_tok")
     base = passing
     s, m, r, mt = (specs[c] for c in CHAT_CATEGORIES[:2] + ("reasoning", "multi_turn"))
     short_el = within(tok, s["min_tok"], s["max_tok"])
     med_el = (tok > F.lit(m["min_tok"])) & (tok <= F.lit(m["max_tok"]))
     reas_el = within(tok, r["min_tok"], r["max_tok"]) & _has_keyword(F.col("first_user"), keywords)
 
-    cut_s = scalar_cutoff(base.filter(short_el), key, t["short_chat"])
-    cut_m = scalar_cutoff(base.filter(med_el), key, t["medium_chat"])
-    is_short = short_el & F.coalesce(k <= cut_s, F.lit(False))
-    is_med = ~is_short & med_el & F.coalesce(k <= cut_m, F.lit(False))
-    spill = reas_el & ~is_short & ~is_med
-    cut_r = scalar_cutoff(base.filter(spill), key, t["reasoning"])
-    is_reas = spill & F.coalesce(k <= cut_r, F.lit(False))
-    category = F.when(is_short, "short_chat").when(is_med, "medium_chat").when(is_reas, "reasoning")
-    routed = (base.select("*", category.alias("category")).filter(F.col("category").isNotNull())
-              .select(key, "category", "first_user", "text_tok", F.col("single_tok").alias("n_tokens")))
-
     hi = min(mt["max_tok"], max_input_tokens)
     mt_el = ((F.col("n_turns") >= MULTI_TURN_MIN_TURNS) & (F.col("n_mt") >= MULTI_TURN_MIN_TURNS)
              & within(F.col("mt_tokens"), mt["min_tok"], hi))
-    mt_rows = base.filter(mt_el)
-    cut_mt = scalar_cutoff(mt_rows, key, t["multi_turn"])
-    multi = (mt_rows.filter(F.coalesce(k <= cut_mt, F.lit(False)))
-             .select(key, F.lit("multi_turn").alias("category"), F.col("n_mt").alias("n_messages"),
-                     F.col("mt_tokens").alias("n_tokens")))
+    # The three quotas that depend on no other, in one grouped pass: a row
+    # stands once under each category it is eligible for.
+    quotas = base.sparkSession.createDataFrame([(c, n) for c, n in t.items()], "category string, quota long")
+    offers = base.select(key, F.explode(F.filter(F.array(
+        F.when(short_el, F.lit("short_chat")), F.when(med_el, F.lit("medium_chat")), F.when(mt_el, F.lit("multi_turn"))),
+        lambda c: c.isNotNull())).alias("category"))
+    b = base.withColumn("_cuts", threshold_map(offers, quotas, "category", key))
+
+    def taken(df: DataFrame, cuts: str, category: str) -> Column:
+        return below_threshold(df, key, F.try_element_at(cuts, F.lit(category)))
+
+    b = b.withColumns({"_short": short_el & taken(b, "_cuts", "short_chat"), "_medium": med_el & taken(b, "_cuts", "medium_chat")})
+    # Spill-over: what neither took.
+    b = b.withColumn("_spill", reas_el & ~F.col("_short") & ~F.col("_medium"))
+    spill = b.filter("_spill").select(key, F.lit("reasoning").alias("category"))
+    r_ = b.withColumn("_more", threshold_map(spill, quotas, "category", key))
+    category = (F.when(F.col("_short"), "short_chat").when(F.col("_medium"), "medium_chat")
+                .when(F.col("_spill") & taken(r_, "_more", "reasoning"), "reasoning"))
+    routed = (r_.withColumn("category", category).filter("category IS NOT NULL")
+              .select(key, "category", "first_user", "text_tok", F.col("single_tok").alias("n_tokens")))
+    multi = (b.filter(mt_el & taken(b, "_cuts", "multi_turn"))
+             .select(key, F.lit("multi_turn").alias("category"), F.col("n_mt").alias("n_messages"), F.col("mt_tokens").alias("n_tokens")))
     return routed, multi
 
 

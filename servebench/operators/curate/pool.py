@@ -3,9 +3,8 @@ sampling, stats, validation, request plans and weight normalisation
 (E15-E26).
 
 Randomness is replaced by md5-derived keys (D1): the same input gives the
-same pool.  Every "first N" uses ``row_number() <= literal`` so Spark plans
-a group limit (top-N per group before the shuffle); the exact per-group
-bound is then applied against a small per-group table.
+same pool.  Every "first N" counts key prefixes to find where a group's quota
+runs out and filters by that (``functions/selection.py``).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ...functions.columns import r6
 from ...functions.hashing import entry_id, hash_int, order_key, unit_hash
+from ...functions.selection import before, first_n, parts, ranked
 from ...functions.tokens import message_tokens
 from ...specs import CATEGORY_SPECS, FETCH_OVERSHOOT, SOURCE_SHARES, TOKEN_MISMATCH_TOLERANCE
 
@@ -58,36 +58,18 @@ def make_candidates(df: DataFrame, source: Column | str, category: Column | str,
                      F.col(tokens).cast("int").alias("n_tokens"), mt.cast("int").alias("max_tokens"))
 
 
-def ensure_group_limit(spark, limit: int) -> None:
-    """Spark plans ``row_number() <= N`` as a partial top-N per group only
-    while N is within ``spark.sql.optimizer.windowGroupLimitThreshold``
-    (1000 by default); raise it for larger quotas so the cut still happens
-    before the shuffle.  (A session setting: it applies to later queries.)"""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    cur = int(spark.conf.get(key, "1000"))
-    if limit > cur:
-        spark.conf.set(key, str(int(limit)))
-
-
 def admit_first_n(cands: DataFrame, quotas: dict) -> DataFrame:
     """First ``quota`` candidates per (source, category) in source order
     (E17).  Pairs without a quota are kept whole (their converter already
     applied its own quota)."""
-    spark = cands.sparkSession
     if not quotas:
         return cands
-    q = spark.createDataFrame([(s, c, int(n)) for (s, c), n in quotas.items()],
-                              "source string, category string, quota int")
-    limit = max(quotas.values())
-    ensure_group_limit(spark, limit)
+    q = cands.sparkSession.createDataFrame([(s, c, int(n)) for (s, c), n in quotas.items()],
+                                           "source string, category string, quota long")
     # ``q`` has one row per configured (source, category) quota: a handful.
-    w = Window.partitionBy("source", "category").orderBy("origin")
-    quoted = cands.join(F.broadcast(q), ["source", "category"], "left_semi")
-    ranked = (quoted.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= limit)
-              .join(F.broadcast(q), ["source", "category"]).filter(F.col("_rn") <= F.col("quota"))
-              .drop("quota", "_rn"))
-    free = cands.join(F.broadcast(q), ["source", "category"], "left_anti")
-    return ranked.unionByName(free)
+    pair = ["source", "category"]
+    free = cands.join(F.broadcast(q), pair, "left_anti")
+    return first_n(cands, q, pair, "origin").unionByName(free)
 
 
 def token_bucket(cands: DataFrame, spark=None, specs: dict | None = None) -> DataFrame:
@@ -107,35 +89,35 @@ def sample_balanced(bucketed: DataFrame, targets: dict, seed: int = 0, n_buckets
     bucket without replacement, then a top-up from everything not picked
     (bucketless rows included), cut to the target in bucket order.
 
-    Picks and top-ups are "smallest order key first" with a literal group
-    limit, then compared with the per-category bound from a 7-row table.
+    The order is a hash of the id, so its leading digits part every group
+    evenly: counts per part say which parts a quota reaches, and only rows of
+    those are numbered, part by part.  No category is sorted in one task.
     """
     spark = bucketed.sparkSession
     per = {c: max(1, t // n_buckets) for c, t in targets.items()}
-    ensure_group_limit(spark, max(targets.values()))
-    # one row per category (7): the broadcast sides below are this table and
-    # the per-category remainder derived from it
+    # one row per category (7): the broadcast sides below are this table and tables of its size
     tdf = spark.createDataFrame([(c, int(t), int(per[c])) for c, t in targets.items()],
-                                "category string, target int, per_bucket int")
-    k = bucketed.select("*", order_key("id", seed).alias("_ok"))
-    w1 = Window.partitionBy("category", "bucket").orderBy("_ok")
-    picks = (k.filter(F.col("bucket").isNotNull())
-             .select("*", F.row_number().over(w1).alias("_rn")).filter(F.col("_rn") <= max(per.values()))
-             .join(F.broadcast(tdf), "category").filter(F.col("_rn") <= F.col("per_bucket"))
-             .select(*bucketed.columns, "_ok", F.lit(0).alias("_phase"), F.col("bucket").alias("_b"), "_rn"))
-    n_picks = picks.groupBy("category").agg(F.count(F.lit(1)).alias("_np"))
-    remaining = tdf.join(n_picks, "category", "left").select(
-        "category", (F.col("target") - F.coalesce("_np", F.lit(0))).alias("_remaining"))
-    left = k.join(picks.select("id"), "id", "left_anti")
-    w2 = Window.partitionBy("category").orderBy("_ok")
-    top = (left.select("*", F.row_number().over(w2).alias("_rn")).filter(F.col("_rn") <= max(targets.values()))
-           .join(F.broadcast(remaining), "category").filter(F.col("_rn") <= F.col("_remaining"))
-           .select(*bucketed.columns, "_ok", F.lit(1).alias("_phase"), F.lit(-1).alias("_b"), "_rn"))
-    both = picks.unionByName(top)
-    w3 = Window.partitionBy("category").orderBy("_phase", "_b", "_rn")
-    final = (both.select("*", F.row_number().over(w3).alias("sample_rank"))
-             .join(F.broadcast(tdf.select("category", "target")), "category")
-             .filter(F.col("sample_rank") <= F.col("target")))
+                                "category string, target long, per_bucket long")
+    k = bucketed.join(F.broadcast(tdf.select("category")), "category", "left_semi").withColumn("_ok", order_key("id", seed))
+
+    in_bucket = k.filter(F.col("bucket").isNotNull())
+    by_bucket = ["category", "bucket"]
+    reached = parts(in_bucket, by_bucket, "_ok").join(F.broadcast(tdf), "category").filter("_before < per_bucket")
+    picks = (ranked(in_bucket, by_bucket, "_ok", "_rn", reached).join(F.broadcast(tdf.select("category", "per_bucket")), "category")
+             .filter("_rn <= per_bucket").drop("per_bucket"))
+    # How many each bucket gives; the buckets' picks follow one another in the sample.
+    given = in_bucket.groupBy(*by_bucket).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(tdf), "category")
+    given = given.select("category", "bucket", F.least("_n", "per_bucket").alias("_n")).withColumn("_first", before(["category"], "bucket", "_n"))
+    chosen = picks.join(F.broadcast(given.select("category", "bucket", "_first")), by_bucket)
+    chosen = chosen.select(*bucketed.columns, "_ok", (F.col("_first") + F.col("_rn")).alias("sample_rank"))
+
+    n_picks = given.groupBy("category").agg(F.sum("_n").alias("_np"))
+    missing = tdf.join(F.broadcast(n_picks), "category", "left").select("category", "target", F.coalesce("_np", F.lit(0)).alias("_np"))
+    rest = k.join(picks.select("id"), "id", "left_anti")
+    reached = parts(rest, ["category"], "_ok").join(F.broadcast(missing), "category").filter("_before < target - _np")
+    top = (ranked(rest, ["category"], "_ok", "_rn", reached).join(F.broadcast(missing), "category")
+           .select(*bucketed.columns, "_ok", (F.col("_np") + F.col("_rn")).alias("sample_rank")))
+    final = chosen.unionByName(top).join(F.broadcast(tdf.select("category", "target")), "category").filter("sample_rank <= target")
     return final.select(*bucketed.columns, "sample_rank", F.col("_ok").alias("pool_order"))
 
 
@@ -194,7 +176,8 @@ def request_plan(keys: DataFrame, pool: DataFrame, shares: DataFrame, key: str =
 
     The category draw is a range join of a [0,1) hash against the cumulative
     shares (at most 7 rows, broadcast); the prompt draw is an equi-join on
-    (category, position) against the pool ranked by id.
+    (category, position) against the pool ranked by id (a hash, so its
+    leading digits part a category evenly).
     """
     wc = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, 0)
     cum = shares.select("category", F.sum("share").over(wc).alias("_hi"))   # <= 7 rows
@@ -213,9 +196,9 @@ def request_plan(keys: DataFrame, pool: DataFrame, shares: DataFrame, key: str =
     band = F.element_at(b, idx + 1)
     h = hash_int(F.concat(F.lit("pick#"), F.col(key).cast("string"), F.lit("#"), seed_s))
     picked = withb.select(key, band["category"].alias("category"), F.pmod(h, band["_size"]).alias("_pos"))
-    wp = Window.partitionBy("category").orderBy("id")
-    ranked = pool.select("category", "id", (F.row_number().over(wp) - 1).alias("_pos"))
-    return picked.join(ranked, ["category", "_pos"]).select(key, "category", F.col("id").alias("prompt_id"))
+    placed = ranked(pool.select("category", "id"), ["category"], "id", "_no")
+    return (picked.withColumn("_no", F.col("_pos") + 1).join(placed, ["category", "_no"])
+            .select(key, "category", F.col("id").alias("prompt_id")))
 
 
 def validate_pool(pool: DataFrame, counter: str = "ws", count_tools: bool = False) -> DataFrame:

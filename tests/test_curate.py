@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from servebench.operators.curate import chat as C
@@ -113,17 +114,44 @@ def test_long_doc_token_count_matches_direct_count(spark):
     assert bad.count() == 0
 
 
-def test_scalar_cutoff(spark):
-    """The n-th smallest key, of any type; the largest when there are fewer."""
-    from servebench.operators.curate import common
-
-    df = spark.range(0, 20000).select((F.col("id") * 7 % 20011).alias("k"))
-    keys = sorted(r.k for r in df.collect())
-    one = spark.range(1)
-    for n in (1, 5, 12345, 20000, 60000):
-        assert one.select(common.scalar_cutoff(df, "k", n)).first()[0] == keys[min(n, len(keys)) - 1]
-    words = df.select(F.md5(F.col("k").cast("string")).alias("k"))
-    assert one.select(common.scalar_cutoff(words, "k", 60000)).first()[0] == max(r.k for r in words.collect())
+def test_first_n_of_any_quota(spark):
+    """The first N keys of each group: whole numbers of any size and text, quotas
+    within one prefix, beyond the group, and of nothing."""
+    import random
+
+    from servebench.functions.selection import first_n
+
+    rnd = random.Random(3)
+    keys = {"dense": list(range(-50, 3000)), "wide": sorted({rnd.getrandbits(63) - (1 << 62) for _ in range(2000)}),
+            "near": [(5 << 42) + i for i in range(1500)], "none": [1, 2]}
+    df = spark.createDataFrame([(g, k, f"{k + (1 << 62):020d}") for g, ks in keys.items() for k in ks], "g string, k long, t string").repartition(3)
+    for n in (0, 1, 777, 1500, 4000):
+        quotas = spark.createDataFrame([(g, n) for g in ("dense", "wide", "near", "absent")], "g string, quota long")
+        for key in ("k", "t"):
+            got = {}
+            for r in first_n(df, quotas, ["g"], key).collect():
+                got.setdefault(r.g, []).append(r.k)
+            assert {g: sorted(v) for g, v in got.items()} == {g: ks[:n] for g, ks in keys.items() if g != "none" and n}
+    with pytest.raises(TypeError):
+        first_n(df.withColumn("d", F.lit(1.5)), quotas, ["g"], "d")
+
+
+def test_sample_balanced_against_sort(spark):
+    """Targets, buckets and order as a plain sort gives them, also where a bucket runs short."""
+    import hashlib
+    import random
+
+    rnd = random.Random(4)
+    rows = [(f"i{i}", "s", rnd.choice(["short_chat", "reasoning"]), i, rnd.choice([60, 120, 250, 400, 9000]), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "id string, source string, category string, origin long, n_tokens int, max_tokens int")
+    targets = {"short_chat": 350, "reasoning": 41}
+    b = PL.token_bucket(df)
+    got = {c: [r.id for r in sorted(PL.sample_balanced(b, targets).collect(), key=lambda r: r.sample_rank) if r.category == c] for c in targets}
+    for c, t in targets.items():
+        mine = sorted(((hashlib.md5(f"{r.id}#0".encode()).hexdigest(), r.id, r.bucket) for r in b.collect() if r.category == c))
+        picks = [x for bucket in range(4) for x in [y for y in mine if y[2] == bucket][:max(1, t // 4)]]
+        top = [x for x in mine if x not in picks][:max(0, t - len(picks))]
+        assert got[c] == [x[1] for x in picks + top][:t]
 
 
 def test_request_plan_follows_weights(spark):
