@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog_support import materialize
-
 # Bits of a whole-number key below its first and second prefix; leading
 # characters of a text key's prefixes.
 KEY_SHIFTS = (42, 21)
@@ -33,63 +31,55 @@ def _levels(df: DataFrame, key: str) -> list[Column]:
     return [F.shiftright(F.col(key).cast("bigint"), s) for s in KEY_SHIFTS] + [F.col(key)]
 
 
-def thresholds(df: DataFrame, quotas: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Per group of ``quotas`` (``group`` columns and ``quota``): the last of its
-    first ``quota`` keys, as the one prefix (``_t_p0`` to ``_t_p2``) up to which all
-    rows are in.  A group with a quota of 0 or without rows has none."""
-    names = ["_p0", "_p1", "_p2"]
-    rows = df.select(*group, *[c.alias(n) for c, n in zip(_levels(df, key), names)])
-    need = quotas.select(*group, F.col("quota").alias("_need")).filter("_need > 0")
-
-    def last(counts: DataFrame, at: list[str], p: str, need: DataFrame) -> DataFrame:
-        """Per ``at`` the last entry that begins before the quota is full."""
-        lo = counts.withColumn("_lo", before(at, p, "_c")).join(need, at).filter("_lo < _need")
-        entry = lo.groupBy(*at).agg(F.max_by(F.struct(p, "_lo", "_c", "_need"), p).alias("_e")).select(*at, "_e.*")
-        return entry.select(*at, p, (F.col("_need") - F.col("_lo")).alias("_need"), (F.col("_lo") + F.col("_c") <= F.col("_need")).alias("_whole"))
-
-    first = last(rows.groupBy(*group, "_p0").agg(F.count(F.lit(1)).alias("_c")), group, "_p0", need)
-    # The rest is settled inside one prefix of each group: read once more, counted by key.
-    part = first.filter("NOT _whole").select(*group, "_p0", "_need")
-    keys = rows.join(part.drop("_need"), [*group, "_p0"], "left_semi").groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_c"))
-    at = [*group, "_p0"]
-    second = last(keys.groupBy(*at, "_p1").agg(F.sum("_c").alias("_c")), at, "_p1", part)
-    part = second.filter("NOT _whole").select(*at, "_p1", "_need")
-    third = last(keys.join(part.drop("_need"), [*at, "_p1"], "left_semi"), [*at, "_p1"], "_p2", part)
-    found = None
-    for p, done in zip(names, (first.filter("_whole"), second.filter("_whole"), third)):
-        done = done.select(*group, *[(F.col(n) if n == p else F.lit(None).cast(rows.schema[n].dataType)).alias(f"_t{n}") for n in names])
-        found = done if found is None else found.unionByName(done)
+def _is(group: list[str], values: tuple) -> Column:
+    same = F.lit(True)
+    for g, v in zip(group, values):
+        same = same & (F.col(g) == F.lit(v))
+    return same
+
+
+def thresholds(df: DataFrame, quotas: dict, group: list[str], key: str) -> dict:
+    """Per group the last of its first ``quota`` keys: group -> (level, prefix up to
+    which its rows are in).  Groups with a quota of 0 or without rows have none.
+
+    ``quotas``: group values (a tuple) -> quota, as configured.  Up to three counting
+    jobs, each of which sends one row per such group to the driver; a level's running
+    sum sees the prefixes inside one prefix of the level above."""
+    levels, found, inside = _levels(df, key), {}, {}
+    need = {g: int(q) for g, q in quotas.items() if q > 0}
+    for level, p in enumerate(levels):
+        if not need:
+            break
+        wanted, here = F.lit(None).cast("bigint"), F.lit(False)
+        for g, q in need.items():
+            wanted = F.when(_is(group, g), F.lit(q)).otherwise(wanted)
+            here = here | (_is(group, g) & (levels[level - 1] == F.lit(inside[g])) if level else _is(group, g))
+        counts = df.filter(here).groupBy(*group, p.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+        last = (counts.withColumn("_lo", before(group, "_p", "_c")).withColumn("_need", wanted).filter("_lo < _need")
+                .groupBy(*group).agg(F.max_by(F.struct("_p", "_lo", "_c"), "_p").alias("_e")))
+        for r in last.select(*group, "_e.*").collect():
+            g = tuple(r[c] for c in group)
+            if level == len(levels) - 1 or r["_lo"] + r["_c"] <= need[g]:
+                found[g] = (level, r["_p"])
+                del need[g]
+            else:
+                inside[g], need[g] = r["_p"], need[g] - r["_lo"]
+        need = {g: q for g, q in need.items() if g in inside}
     return found
 
 
-def _inside(levels: list[Column], t) -> Column:
-    """Whether a key lies at or below a threshold; ``t`` gives its column of a level."""
-    out = F.lit(False)
-    for k, p in enumerate(levels):
-        out = out | F.coalesce(p <= t(f"_t_p{k}"), F.lit(False))
-    return out
-
-
-def threshold_map(df: DataFrame, quotas: DataFrame, group: str, key: str) -> Column:
-    """The thresholds of a handful of groups as one scalar: a map from the
-    group.  The few rows are cut with a checkpoint, so that a quota which depends on
-    another's does not repeat that one's counting in its plan."""
-    t = materialize(thresholds(df, quotas, [group], key))
-    return t.select(F.map_from_entries(F.collect_list(F.struct(group, F.struct("_t_p0", "_t_p1", "_t_p2"))))).scalar()
+def up_to(df: DataFrame, key: str, threshold: tuple | None) -> Column:
+    """Whether a row's key is at or below a threshold (false where there is none)."""
+    return F.lit(False) if threshold is None else _levels(df, key)[threshold[0]] <= F.lit(threshold[1])
 
 
-def below_threshold(df: DataFrame, key: str, threshold: Column) -> Column:
-    """Whether a row's key is at or below a value of :func:`threshold_map` (false where there is none)."""
-    return _inside(_levels(df, key), lambda n: threshold[n])
-
-
-def first_n(df: DataFrame, quotas: DataFrame, group: list[str], key: str) -> DataFrame:
+def first_n(df: DataFrame, quotas: dict, group: list[str], key: str) -> DataFrame:
     """The rows of ``df`` that are among the first ``quota`` of their group by
-    ``key`` (unique in its group); rows of groups without a quota go.
-
-    ``quotas`` has a row per group; so have the thresholds it is turned into."""
-    cut = thresholds(df, quotas, group, key)
-    return df.join(cut, group).filter(_inside(_levels(df, key), F.col)).select(*df.columns)
+    ``key`` (unique in its group): a filter; rows of groups without a quota go."""
+    inside = F.lit(False)
+    for g, t in thresholds(df, quotas, group, key).items():
+        inside = inside | (_is(group, g) & up_to(df, key, t))
+    return df.filter(inside)
 
 
 def _part(hash_col: str) -> Column:

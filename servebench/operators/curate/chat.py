@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.selection import below_threshold, threshold_map
+from ...functions.selection import thresholds, up_to
 from ...functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS, token_count
 from ...specs import CATEGORY_SPECS, REASONING_KEYWORDS
 from ..wire import strip_ws
@@ -101,25 +101,21 @@ def route_chat(passing: DataFrame, fetch_targets: dict, key: str = "conv_id", sp
              & within(F.col("mt_tokens"), mt["min_tok"], hi))
     # The three quotas that depend on no other, in one grouped pass: a row
     # stands once under each category it is eligible for.
-    quotas = base.sparkSession.createDataFrame([(c, n) for c, n in t.items()], "category string, quota long")
     offers = base.select(key, F.explode(F.filter(F.array(
         F.when(short_el, F.lit("short_chat")), F.when(med_el, F.lit("medium_chat")), F.when(mt_el, F.lit("multi_turn"))),
         lambda c: c.isNotNull())).alias("category"))
-    b = base.withColumn("_cuts", threshold_map(offers, quotas, "category", key))
-
-    def taken(df: DataFrame, cuts: str, category: str) -> Column:
-        return below_threshold(df, key, F.try_element_at(cuts, F.lit(category)))
-
-    b = b.withColumns({"_short": short_el & taken(b, "_cuts", "short_chat"), "_medium": med_el & taken(b, "_cuts", "medium_chat")})
+    cuts = thresholds(offers, {(c,): n for c, n in t.items() if c != "reasoning"}, ["category"], key)
+    b = base.withColumns({"_short": short_el & up_to(base, key, cuts.get(("short_chat",))),
+                          "_medium": med_el & up_to(base, key, cuts.get(("medium_chat",)))})
     # Spill-over: what neither took.
     b = b.withColumn("_spill", reas_el & ~F.col("_short") & ~F.col("_medium"))
     spill = b.filter("_spill").select(key, F.lit("reasoning").alias("category"))
-    r_ = b.withColumn("_more", threshold_map(spill, quotas, "category", key))
+    more = thresholds(spill, {("reasoning",): t["reasoning"]}, ["category"], key)
     category = (F.when(F.col("_short"), "short_chat").when(F.col("_medium"), "medium_chat")
-                .when(F.col("_spill") & taken(r_, "_more", "reasoning"), "reasoning"))
-    routed = (r_.withColumn("category", category).filter("category IS NOT NULL")
+                .when(F.col("_spill") & up_to(b, key, more.get(("reasoning",))), "reasoning"))
+    routed = (b.withColumn("category", category).filter("category IS NOT NULL")
               .select(key, "category", "first_user", "text_tok", F.col("single_tok").alias("n_tokens")))
-    multi = (b.filter(mt_el & taken(b, "_cuts", "multi_turn"))
+    multi = (base.filter(mt_el & up_to(base, key, cuts.get(("multi_turn",))))
              .select(key, F.lit("multi_turn").alias("category"), F.col("n_mt").alias("n_messages"), F.col("mt_tokens").alias("n_tokens")))
     return routed, multi
 

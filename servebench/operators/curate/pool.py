@@ -64,12 +64,9 @@ def admit_first_n(cands: DataFrame, quotas: dict) -> DataFrame:
     applied its own quota)."""
     if not quotas:
         return cands
-    q = cands.sparkSession.createDataFrame([(s, c, int(n)) for (s, c), n in quotas.items()],
-                                           "source string, category string, quota long")
-    # ``q`` has one row per configured (source, category) quota: a handful.
     pair = ["source", "category"]
-    free = cands.join(F.broadcast(q), pair, "left_anti")
-    return first_n(cands, q, pair, "origin").unionByName(free)
+    quoted = F.struct(*pair).isin(*[F.struct(F.lit(s), F.lit(c)) for s, c in quotas])
+    return first_n(cands, quotas, pair, "origin").unionByName(cands.filter(~quoted))
 
 
 def token_bucket(cands: DataFrame, spark=None, specs: dict | None = None) -> DataFrame:

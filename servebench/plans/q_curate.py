@@ -414,7 +414,7 @@ def admitted(spark, sf_dir):
     sampling steps read them several times."""
     _, quotas = _plan_inputs(spark, sf_dir)
     return _memo("admitted", spark, sf_dir,
-                 lambda: materialize(PL.admit_first_n(candidates(spark, sf_dir), quotas)))
+                 lambda: materialize(PL.admit_first_n(materialize(candidates(spark, sf_dir)), quotas)))
 
 
 def bucketed(spark, sf_dir):

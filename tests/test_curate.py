@@ -126,7 +126,7 @@ def test_first_n_of_any_quota(spark):
             "near": [(5 << 42) + i for i in range(1500)], "none": [1, 2]}
     df = spark.createDataFrame([(g, k, f"{k + (1 << 62):020d}") for g, ks in keys.items() for k in ks], "g string, k long, t string").repartition(3)
     for n in (0, 1, 777, 1500, 4000):
-        quotas = spark.createDataFrame([(g, n) for g in ("dense", "wide", "near", "absent")], "g string, quota long")
+        quotas = {(g,): n for g in ("dense", "wide", "near", "absent")}
         for key in ("k", "t"):
             got = {}
             for r in first_n(df, quotas, ["g"], key).collect():
