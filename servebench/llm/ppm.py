@@ -265,9 +265,9 @@ def train(corpus: K.Corpus) -> np.ndarray:
 # --- scoring ----------------------------------------------------------------
 def _answer_words(payloads: list[memoryview]) -> list[bytes]:
     """First the part's distinct and total training tokens, then each key's count."""
-    n = [len(p) // 16 for p in payloads]
-    keys = np.concatenate([np.frombuffer(p[:8 * k], "<u8") for p, k in zip(payloads, n)])
-    count = np.concatenate([np.frombuffer(p[8 * k:], "<i8") for p, k in zip(payloads, n)])
+    asked = [_unpack(p) for p in payloads]
+    n = [len(keys) for keys, _ in asked]
+    keys, count = (np.concatenate(x) for x in zip(*asked))
     order = np.argsort(keys, kind="stable")
     group = np.cumsum(K.first_of(keys[order])) - 1
     total = np.zeros(group[-1] + 1, np.int64)
@@ -275,7 +275,7 @@ def _answer_words(payloads: list[memoryview]) -> list[bytes]:
     out = np.empty(len(keys), np.int64)
     out[order] = total[group]
     head = np.array([(total > 0).sum(), total.sum()], "<i8").tobytes()
-    return [head + x.astype("<i8").tobytes() for x in np.split(out, np.cumsum(n)[:-1])]
+    return [head + _planes(x.astype("<i8")) for x in np.split(out, np.cumsum(n)[:-1])]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -289,13 +289,14 @@ def _from_planes(blob: memoryview, kind: str) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, count: np.ndarray) -> bytes:
-    k = _planes(keys.astype("<u8"))
+    """Sorted keys as their differences, and counts."""
+    k = _planes(np.diff(keys.astype("<u8"), prepend=np.uint64(0)))
     return len(k).to_bytes(4, "little") + k + _planes(count.astype("<i8"))
 
 
 def _unpack(payload: memoryview) -> tuple[np.ndarray, np.ndarray]:
     k = 4 + int.from_bytes(payload[:4], "little")
-    return _from_planes(payload[4:k], "<u8"), _from_planes(payload[k:], "<i8")
+    return np.cumsum(_from_planes(payload[4:k], "<u8"), dtype=np.uint64), _from_planes(payload[k:], "<i8")
 
 
 def _answer_grams(payloads: list[memoryview], order: int, short: Short) -> list[bytes]:
@@ -330,7 +331,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def ask(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
         keys, count, _, _ = Docs(t).distinct()
-        yield from K.questions(chunk, keys, parts, lambda i, j: keys[i:j].tobytes() + count[i:j].tobytes())
+        yield from K.questions(chunk, keys, parts, lambda i, j: _pack(keys[i:j], count[i:j]))
 
     def ask_grams(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
         keys, count, _, _ = Docs(t).long_grams(order)
@@ -348,7 +349,7 @@ def score(docs: DataFrame) -> DataFrame:
         at = K.split(keys, parts)
         count = np.zeros(len(keys), np.int64)
         for p, a in got["words"].items():
-            count[at[p]:at[p + 1]] = np.frombuffer(a[16:], "<i8")
+            count[at[p]:at[p + 1]] = _from_planes(a[16:], "<i8")
         logs = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
         grams_, _, gram, of = d.long_grams(order)
         at = K.split(grams_, gram_parts)
