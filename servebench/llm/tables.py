@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark removes the shuffle files and checkpoints of earlier steps once the driver has
+    collected the objects that stood for them, so the driver is asked to before more is written."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
