@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, prepare
+from .tables import cut, free, prepare
 
 CHUNK_BYTES = 2 << 20        # text of a chunk; a longer document is a chunk of its own
 PART_KEYS = 2 << 20          # keys a part is meant to answer
@@ -93,6 +93,7 @@ class Corpus:
                         yield from fn(chunk, read_blob(blob.as_buffer()), {})
             return self.df.mapInArrow(alone, schema)
 
+        free(self.df.sparkSession)
         told, names = None, list(answers)
         for name, a in answers.items():
             a = a.withColumn("round", F.lit(name))

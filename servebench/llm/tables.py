@@ -48,13 +48,15 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    Spark removes the shuffle files and checkpoints of earlier steps once the driver has
-    collected the objects that stood for them, so the driver is asked to before more is written."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of finished steps: it does
+    so once the driver has collected the objects that stood for them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    free(df.sparkSession)
     return df.checkpoint(eager=True)
