@@ -11,6 +11,7 @@ no task gathers a row per document of a hot group, and texts are shuffled once.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .tables import cut, free, prepare
 
+_LIBC = ctypes.CDLL(None)
 CHUNK_BYTES = 2 << 20        # text of a chunk; a longer document is a chunk of its own
 PART_KEYS = 2 << 20          # keys a part is meant to answer
 ASK = "part int, chunk long, payload binary"
@@ -91,6 +93,7 @@ class Corpus:
                 for b in batches:
                     for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob")):
                         yield from fn(chunk, read_blob(blob.as_buffer()), {})
+                        _given_back(None)
             return self.df.mapInArrow(alone, schema)
 
         free(self.df.sparkSession)
@@ -105,7 +108,7 @@ class Corpus:
                 got[name][part] = memoryview(payload.as_buffer())
             out = [x for chunk, blob in zip(left.column("chunk").to_pylist(), left.column("blob"))
                    for x in fn(chunk, read_blob(blob.as_buffer()), got)]
-            return pa.Table.from_batches(out) if out else empty
+            return _given_back(pa.Table.from_batches(out) if out else empty)
 
         empty = self.df.sparkSession.createDataFrame([], schema).toArrow()
         return self.df.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(both, schema)
@@ -114,12 +117,20 @@ class Corpus:
         """``fn`` sees the payloads of one part and returns an answer for each; cut."""
         def run(t: pa.Table) -> pa.Table:
             payloads = [memoryview(p.as_buffer()) for p in t.column("payload")]
-            return pa.Table.from_arrays([t.column("chunk").combine_chunks(), t.column("part").combine_chunks(),
-                                         pa.array(fn(payloads), pa.binary())], schema=_ANSWER)
+            return _given_back(pa.Table.from_arrays([t.column("chunk").combine_chunks(), t.column("part").combine_chunks(),
+                                                     pa.array(fn(payloads), pa.binary())], schema=_ANSWER))
 
         return cut(asked.groupBy("part").applyInArrow(run, ANSWER))
 
 
+def _given_back(out):
+    """Give the memory of a finished chunk back to the machine: Python workers stay
+    for the stages to come, beside each other in an executor."""
+    pa.default_memory_pool().release_unused()
+    _LIBC.malloc_trim(0)
+    return out
+
+
 def corpus(docs: DataFrame) -> Corpus:
     """Pack ``docs`` (``text`` binary, any further columns) into chunks."""
     spark = docs.sparkSession

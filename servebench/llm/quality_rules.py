@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import id_and_bytes, prepare
+from .tables import free_name, id_and_bytes, prepare
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_upper", "n_letters", "n_marks"]
@@ -142,17 +142,18 @@ def judged(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
 
 def kept_rows(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The rows of ``docs``, all columns, that pass the base rules and ``policy``:
-    measured in passing, so that no join brings rows and verdicts together."""
+    only the text goes to Python and only its measurements come back, so no join brings
+    rows and verdicts together and no other column is copied."""
     prepare(docs.sparkSession)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    row_type = named.schema["row"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [measure_text(t.as_py()) for t in b.column("text")]
-            columns = list(zip(*rows)) if rows else [[] for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, pa.int64()) for c in columns)], names=["row", *MEASURES])
-
-    schema = f"row {row_type}, " + ", ".join(f"{m} long" for m in MEASURES)
-    return with_bits(named.mapInArrow(run, schema)).filter(passes(BASE) & passes(policy)).select("row.*")
+
+    @F.arrow_udf("struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
+    def measured(texts: pa.Array) -> pa.Array:
+        rows = [measure_text(t.as_py()) for t in texts]
+        columns = list(zip(*rows)) if rows else [[] for _ in MEASURES]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=MEASURES)
+
+    own = free_name(docs, "measures")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       measured(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias(own))
+    judged_ = with_bits(rows.select("row", f"{own}.*")).filter(passes(BASE) & passes(policy))
+    return judged_.select("row.*")

@@ -48,6 +48,14 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and checkpoints of finished steps: it does
     so once the driver has collected the objects that stood for them."""
