@@ -120,16 +120,18 @@ def sample_balanced(bucketed: DataFrame, targets: dict, seed: int = 0, n_buckets
 
 def pool_stats(sampled: DataFrame, cands: DataFrame, targets: dict) -> DataFrame:
     """Per category with a non-empty candidate pool: sampled count, target,
-    pool size and token range (E22)."""
+    pool size and token range; and their total, as the row without a category (E22)."""
     spark = sampled.sparkSession
     tdf = spark.createDataFrame([(c, int(t)) for c, t in targets.items()], "category string, target int")
     pool = cands.groupBy("category").agg(F.count(F.lit(1)).alias("pool_size"))
     s = sampled.groupBy("category").agg(F.count(F.lit(1)).alias("count"), F.min("n_tokens").alias("min_tokens"),
                                         F.max("n_tokens").alias("max_tokens"))
-    return (pool.join(tdf, "category").join(s, "category", "left")
-            .select("category", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "target", "pool_size",
-                    F.coalesce("min_tokens", F.lit(0)).alias("min_tokens"),
-                    F.coalesce("max_tokens", F.lit(0)).alias("max_tokens")))
+    each = pool.join(tdf, "category").join(s, "category", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return each.rollup("category").agg(
+        zero(F.sum("count")).cast("bigint").alias("count"), zero(F.sum("target")).cast("int").alias("target"),
+        zero(F.sum("pool_size")).cast("bigint").alias("pool_size"), zero(F.min("min_tokens")).alias("min_tokens"),
+        zero(F.max("max_tokens")).alias("max_tokens"))
 
 
 def category_counts(pool: DataFrame) -> DataFrame:

@@ -546,9 +546,9 @@ def q_sample_balanced(spark, sf_dir):
 @register("pool_stats", _pool_sql() + """
 , ps as (select category, count(*) as pool_size from ad group by 1)
 , ss as (select category, count(*) as cnt, min(n_tokens) as mn, max(n_tokens) as mx from sampled group by 1)
-select ps.category, coalesce(ss.cnt, 0) as count, cast(tg.target as int) as target, ps.pool_size,
-  coalesce(ss.mn, 0) as min_tokens, coalesce(ss.mx, 0) as max_tokens
-from ps join tg on ps.category = tg.category left join ss on ss.category = ps.category
+select ps.category, cast(coalesce(sum(ss.cnt), 0) as bigint) as count, cast(coalesce(sum(tg.target), 0) as int) as target,
+  cast(coalesce(sum(ps.pool_size), 0) as bigint) as pool_size, coalesce(min(ss.mn), 0) as min_tokens, coalesce(max(ss.mx), 0) as max_tokens
+from ps join tg on ps.category = tg.category left join ss on ss.category = ps.category group by rollup (ps.category)
 """)
 def q_pool_stats(spark, sf_dir):
     targets, _ = _plan_inputs(spark, sf_dir)
