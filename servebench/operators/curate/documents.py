@@ -15,7 +15,7 @@ from ...functions.hashing import hash_int
 from ...functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS, token_count
 from ...specs import (CODE_SUFFIX, CODE_SYSTEM, LONG_DOC_SEPARATOR, LONG_DOC_SOURCES, MATH_SYSTEM,
                       TRAJECTORY_FOLLOW_UP, LongDocParams)
-from ..wire import strip_ws
+from ..wire import WS_CHARS, strip_ws
 from .common import messages_tokens, within
 
 MATH_MIN_WORDS = 10
@@ -42,11 +42,19 @@ def math_prompts(docs: DataFrame, key: str = "doc_id", text_col: str = "text", l
             .select(key, tok.alias("n_tokens")).filter(within(F.col("n_tokens"), lo, hi)))
 
 
+_MARK = "\x01"
+
+
 def ws_truncate(text: Column, n: Column) -> Column:
     """First ``n`` whitespace tokens of a text with the original spacing
-    between them (``ws`` form of truncation, E12)."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), 1)
-    return F.regexp_replace(F.array_join(F.slice(runs, 1, n), ""), r"\s+$", "")
+    between them (``ws`` form of truncation, E12).
+
+    The blank before each token becomes a mark, character for character, so the
+    part before the ``n``-th mark has the length to cut at; no list of tokens is built."""
+    body = F.ltrim(text, F.lit(WS_CHARS))
+    marked = F.regexp_replace(F.translate(body, _MARK, "-"), r"\s(?=\S)", _MARK)
+    length = F.length(F.call_function("substring_index", marked, F.lit(_MARK), n))
+    return F.rtrim(F.substring(body, F.lit(1), length), F.lit(WS_CHARS))
 
 
 def truncation_length(source: Column, key: Column, p: LongDocParams) -> Column:

@@ -205,3 +205,14 @@ def test_first_turn_knows_unicode_blanks(spark):
     log = spark.createDataFrame(rows, "conv_id long, turn int, role string, content string")
     out = {r.conv_id: (r.first_user, r.n_words) for r in C.first_user_turn(C.conversation_facts(log)).collect()}
     assert out == {1: (rows[0][3], 4), 2: ("now there are words", 4)}
+
+
+def test_ws_truncate_cuts_at_the_nth_token(spark):
+    import re
+
+    texts = ["a  b\tc\n\nd e ", "  lead and more", "one", "", " \n", "x\x01y z\x01 w", "é ü  ö\u00a0k l", "t " * 500]
+    for n in (0, 1, 2, 3, 7):
+        df = spark.createDataFrame([(i, t, n) for i, t in enumerate(texts)], "i int, t string, n int")
+        for r in df.select("t", D.ws_truncate(F.col("t"), F.col("n")).alias("got")).collect():
+            runs = re.findall(r"[^ \t\n\r\f\v]+[ \t\n\r\f\v]*", r.t)
+            assert r.got == "".join(runs[:n]).rstrip(" \t\n\r\f\v")
