@@ -156,3 +156,13 @@ def test_pool_file_holds_tool_objects(spark):
 def test_report_config_loses_keys_at_any_depth():
     config = {"endpoint": {"url": "u", "api_key": "k"}, "runs": [{"api_key": "k", "n": 1}], "api_key": "k"}
     assert IO.without_key(config) == {"endpoint": {"url": "u"}, "runs": [{"n": 1}]}
+
+
+def test_load_prompt_pool_counts_what_it_skips(spark, tmp_path):
+    good = '{"id":"a","category":"c","source":"s","messages":[{"role":"user","content":"x"}]}'
+    (tmp_path / "pool.jsonl").write_text(good + "\n" + '{"id":"b","category":"c"}\n{"category":"c"}\n')
+    prompts, skipped = IO.load_prompt_pool(spark, str(tmp_path / "pool.jsonl"))
+    assert [r.id for r in prompts.collect()] == ["a"] and skipped == 2
+    (tmp_path / "none.jsonl").write_text('{"id":"b"}\n')
+    with pytest.raises(ValueError):
+        IO.load_prompt_pool(spark, str(tmp_path / "none.jsonl"))
