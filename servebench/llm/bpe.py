@@ -4,7 +4,8 @@ In each task a DuckDB connection of its own holds the merge table (left id,
 right id -> id of the joined bytes; the id is the rank).  A batch's distinct
 pretokens become (word, position, token) rows; a recursive query joins
 neighbours with the merge table and contracts each word's leftmost pair of
-least rank until no word has a pair left.  Decoding joins the ids with the
+least rank until no word has a pair left; rows name their neighbour's position, so a
+pass sorts nothing.  Decoding joins the ids with the
 vocabulary and concatenates their bytes by an ordered aggregation.  Spark deals
 the documents out; texts never leave their task.
 
@@ -24,10 +25,12 @@ import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -37,27 +40,29 @@ from .units import UnitCache, groups
 LONG = 64
 WORDS_PER_QUERY = 50_000
 
-# ``g`` is word * 4096 + position, ``b`` the word's best pair as rank * 4096 +
-# position of its left token.  Every pass contracts one pair in each unfinished
-# word and looks up the pairs of the rows that are left.
+# A row is a token: its word ``w``, its position ``p``, the position ``nx`` and id ``ntok`` of the
+# token after it; ``best`` is the word's pair to contract as (rank, p, nx) in one number.  Every pass
+# contracts one pair in each unfinished word (the row at ``nx`` goes, its neighbours learn of it by a
+# join on the word) and looks up the pairs of the rows that are left.
 _CONTRACT = """
-WITH RECURSIVE s(g, tok, ntok, b) AS (
-    SELECT g, tok, ntok, best
-    FROM start LEFT JOIN (SELECT g // 4096 AS w, min(m.id::BIGINT * 4096 + g % 4096) AS best
-                          FROM start JOIN merges m ON m.l = tok AND m.r = ntok GROUP BY w) ON g // 4096 = w
+WITH RECURSIVE s(w, p, nx, tok, ntok, best) AS (
+    SELECT w, p, nx, tok, ntok, best
+    FROM start LEFT JOIN (SELECT w, min(m.id::BIGINT * 4294967296 + p * 65536 + nx) AS best
+                          FROM start JOIN merges m ON m.l = tok AND m.r = ntok GROUP BY w) USING (w)
   UNION ALL (
-    WITH n AS MATERIALIZED (
-        SELECT g, CASE WHEN g % 4096 = b % 4096 THEN b // 4096 ELSE tok END::INTEGER AS tok,
-               CASE WHEN g % 4096 = b % 4096 THEN lead(ntok) OVER o
-                    WHEN ntok IS NOT NULL AND lead(g) OVER o % 4096 = b % 4096 THEN b // 4096
-                    ELSE ntok END::INTEGER AS ntok,
-               lag(g) OVER o IS NOT DISTINCT FROM (g - g % 4096 + b % 4096) AS gone
-        FROM s WHERE b IS NOT NULL WINDOW o AS (ORDER BY g)),
-    c AS (SELECT g // 4096 AS w, min(m.id::BIGINT * 4096 + g % 4096) AS best
-          FROM n JOIN merges m ON m.l = tok AND m.r = ntok WHERE NOT gone GROUP BY w)
-    SELECT g, tok, ntok, best FROM n LEFT JOIN c ON g // 4096 = w WHERE NOT gone))
-SELECT g // 4096 AS w, list(tok ORDER BY g) AS ids, string_agg(v.bytes, '' ORDER BY g) AS bytes
-FROM s JOIN vocabulary v ON v.id = tok WHERE b IS NULL GROUP BY w ORDER BY w
+    WITH gone AS (SELECT w, nx, ntok FROM s WHERE p = (best & 65535)),
+    n AS MATERIALIZED (
+        SELECT s.w, s.p,
+               CASE WHEN s.p = (best >> 16) & 65535 THEN gone.nx ELSE s.nx END AS nx,
+               CASE WHEN s.p = (best >> 16) & 65535 THEN (best >> 32)::INTEGER ELSE tok END AS tok,
+               CASE WHEN s.p = (best >> 16) & 65535 THEN gone.ntok
+                    WHEN s.nx = (best >> 16) & 65535 THEN (best >> 32)::INTEGER ELSE s.ntok END AS ntok
+        FROM s JOIN gone ON s.w = gone.w WHERE s.p <> (best & 65535)),
+    c AS (SELECT w, min(m.id::BIGINT * 4294967296 + p * 65536 + nx) AS best
+          FROM n JOIN merges m ON m.l = tok AND m.r = ntok GROUP BY w)
+    SELECT n.w, p, nx, tok, ntok, best FROM n LEFT JOIN c ON n.w = c.w))
+SELECT w, list(tok ORDER BY p) AS ids, string_agg(v.bytes, '' ORDER BY p) AS bytes
+FROM s JOIN vocabulary v ON v.id = tok WHERE best IS NULL GROUP BY w ORDER BY w
 """
 
 
@@ -93,39 +98,49 @@ class Coder:
 
     def _units(self, units: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit, decoded bytes) of each unit."""
-        cut = [[w.encode() for w in self.split(u)] for u in units]
-        done: dict[bytes, tuple[bytes, bytes]] = {}
-        open_words = []
-        for w in {w for ws in cut for w in ws}:
+        cut = list(map(self.split, units))
+        done: dict[str, tuple[bytes, bytes]] = {}
+        open_words, open_bytes = [], []
+        for word in set(chain.from_iterable(cut)):
+            w = word.encode()
             if (i := self.ranks.get(w)) is not None:
-                done[w] = (struct.pack("<I", i), self.token[i])
+                done[word] = (struct.pack("<I", i), self.token[i])
             elif len(w) > LONG:
                 ids = heap_contract(w, self.ranks)
-                done[w] = (struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.token.__getitem__, ids)))
+                done[word] = (struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.token.__getitem__, ids)))
             else:
-                open_words.append(w)
+                open_words.append(word), open_bytes.append(w)
         for k in range(0, len(open_words), WORDS_PER_QUERY):
-            part = open_words[k:k + WORDS_PER_QUERY]
-            for w, ids, decoded in self._contract(part):
-                done[part[w]] = (struct.pack(f"<{len(ids)}I", *ids), bytes.fromhex(decoded))
+            done.update(zip(open_words[k:k + WORDS_PER_QUERY], self._contract(open_bytes[k:k + WORDS_PER_QUERY])))
         return [done[ws[0]] if len(ws) == 1 else (b"".join(done[w][0] for w in ws), b"".join(done[w][1] for w in ws))
                 for ws in cut]
 
-    def _contract(self, words: list[bytes]) -> list[tuple[int, list[int], str]]:
+    def _contract(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit, decoded bytes) of each word."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         tok = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
         pos = np.arange(len(tok)) - np.repeat(ends - sizes, sizes)
         last = np.zeros(len(tok), bool)
         last[ends - 1] = True
-        self._table("start", g=pa.array(word * 4096 + pos), tok=pa.array(tok), ntok=pa.array(np.append(tok[1:], 0), mask=last))
-        return self.con.execute(_CONTRACT).fetchall()
+        self._table("start", w=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)), p=pa.array(pos), nx=pa.array(pos + 1),
+                    tok=pa.array(tok), ntok=pa.array(np.append(tok[1:], 0), mask=last))
+        found = self.con.sql(_CONTRACT).to_arrow_table().combine_chunks()
+        ids, hexes = found.column("ids").chunk(0), found.column("bytes").chunk(0)
+        return zip(_slices(ids.flatten().to_numpy().astype("<u4").tobytes(), 4 * pc.list_value_length(ids).to_numpy()),
+                   _slices(bytes.fromhex("".join(hexes.to_pylist())), pc.binary_length(hexes).to_numpy() // 2))
 
     def documents(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         for some in groups(texts):
             for parts in self.cache.values(some):
-                yield b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
+                ids, decoded = zip(*parts) if parts else ((), ())
+                yield b"".join(ids), b"".join(decoded)
+
+
+def _slices(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    """Consecutive slices of the given sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def heap_contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
