@@ -8,6 +8,7 @@ import tempfile
 import pytest
 
 from servebench.operators.curate import pool as PL
+from servebench.operators import wire as W
 from servebench.sources import io as IO
 
 
@@ -166,3 +167,45 @@ def test_load_prompt_pool_counts_what_it_skips(spark, tmp_path):
     (tmp_path / "none.jsonl").write_text('{"id":"b"}\n')
     with pytest.raises(ValueError):
         IO.load_prompt_pool(spark, str(tmp_path / "none.jsonl"))
+
+
+BODIES = {
+    7: ['data: {"choices":[{"delta":{"content":"a"}}]}\r', "", ": ping", 'data: {"choices":[{"delta":{"content":"b\u2028c"}}]}',
+        'data: {"usage":{"prompt_tokens":3,"completion_tokens":2}}', "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}'],
+    8: ['data: {"choices":[{"delta":{"content":"x"}}]}', "data: {broken", "data: [DONE] "],
+    9: [],
+    10: ['data: {"choices":[{"delta":{"content":"no terminator"}}]}'],
+}
+
+
+def _bodies(folder, stamped):
+    for r, lines in BODIES.items():
+        stamps = [f"{100 * r + n}.5 " if stamped else "" for n in range(len(lines))]
+        (folder / f"{r}.sse").write_bytes("\n".join(s + x for s, x in zip(stamps, lines)).encode())
+    (folder / "notes.txt").write_text("data: {}")
+
+
+def _chunks(lines):
+    return sorted((r.request_id, r.line_no, r.arrived_at, str(r.choices), str(r.usage)) for r in W.parse_wire(lines).collect())
+
+
+@pytest.mark.parametrize("stamped", [False, True])
+@pytest.mark.parametrize("streaming", [False, True])
+def test_response_text_gives_the_chunks_of_the_capture(spark, tmp_path, stamped, streaming):
+    bodies = tmp_path / "bodies"
+    bodies.mkdir()
+    _bodies(bodies, stamped)
+    capture = [(r, n, 100 * r + n + 0.5 if stamped else None, x) for r, lines in BODIES.items() for n, x in enumerate(lines)]
+    got = IO.read_response_text(spark, str(bodies), streaming, stamped)
+    if streaming:
+        out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+        got.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        got = spark.read.parquet(out)
+    want = _chunks(spark.createDataFrame(capture, IO.WIRE_SCHEMA))
+    assert _chunks(got) == want and [w[:2] for w in want] == [(7, 0), (7, 3), (7, 4), (8, 0), (10, 0)]
+
+
+def test_stamped_line_without_a_time_keeps_its_text(spark, tmp_path):
+    (tmp_path / "3.sse").write_text("data: {}\n1.25 data: [DONE]")
+    assert [tuple(r) for r in IO.read_response_text(spark, str(tmp_path), stamped=True).collect()] == [
+        (3, 0, None, "data: {}"), (3, 1, 1.25, "data: [DONE]")]
