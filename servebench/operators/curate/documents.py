@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ...functions.hashing import hash_int
 from ...functions.tokens import PER_MESSAGE_TOKENS, REPLY_PRIMING_TOKENS, token_count
-from ...specs import (CODE_SUFFIX, CODE_SYSTEM, LONG_DOC_SEPARATOR, LONG_DOC_SOURCES, MATH_SYSTEM,
+from ...specs import (CODE_SUFFIX, CODE_SYSTEM, LONG_DOC_CONFIG_TASKS, LONG_DOC_SEPARATOR, LONG_DOC_SOURCES, MATH_SYSTEM,
                       TRAJECTORY_FOLLOW_UP, LongDocParams)
 from ..wire import WS_CHARS, strip_ws
 from .common import messages_tokens, within
@@ -70,11 +70,14 @@ def truncation_length(source: Column, key: Column, p: LongDocParams) -> Column:
 
 def long_doc_candidates(docs: DataFrame, p: LongDocParams, key: str = "doc_id", text_col: str = "text",
                         source_col: str = "source_name", question_col: str | None = "question",
-                        counter: str = "ws", max_input_tokens: int = 80000) -> DataFrame:
+                        counter: str = "ws", max_input_tokens: int = 80000, config_col: str | None = None) -> DataFrame:
     """Long-document prompts (E11) with token-aware truncation.
 
     ``source_name`` selects the per-source spec (system text, instruction,
-    minimum characters, pre-check, question).  Over ``max_tok - 50`` tokens
+    minimum characters, pre-check, question).  ``config_col`` names the part of
+    the source a row is from; parts with a task of their own (a report, news, a
+    meeting) ask that one, all others (NULL too) the source's.  A source that asks
+    questions requires one of every row, whatever its part.  Over ``max_tok - 50`` tokens
     the text is cut to a deterministic length; sources with a pre-check drop
     texts under ``min_tok - 50`` that were not cut; the final prompt must have
     ``min_tok <= tokens <= min(max_tok, max_input_tokens)``.
@@ -95,11 +98,13 @@ def long_doc_candidates(docs: DataFrame, p: LongDocParams, key: str = "doc_id",
     d = d.filter(cut | ~F.col("precheck") | (F.col("text_tok") >= F.lit(p.min_tok - p.over_margin)))
     n_keep = truncation_length(F.col(source_col), F.col(key), LongDocParams(**{**p.__dict__, "max_tok": max_tok}))
     body = F.when(cut, ws_truncate(text, n_keep)).otherwise(text)
-    user = F.when(F.col("question_prefix").isNull(),
-                  F.concat(body, F.lit(LONG_DOC_SEPARATOR), F.col("suffix"))) \
-        .otherwise(F.concat(body, F.lit(LONG_DOC_SEPARATOR), F.col("question_prefix"), question))
-    tail = F.when(F.col("question_prefix").isNull(), F.concat(F.lit(LONG_DOC_SEPARATOR), F.col("suffix"))) \
-        .otherwise(F.concat(F.lit(LONG_DOC_SEPARATOR), F.col("question_prefix"), question))
+    task = F.when(F.col("question_prefix").isNull(), F.col("suffix")).otherwise(F.concat("question_prefix", question))
+    if config_col:
+        tasks = F.create_map(*[F.lit(x) for (source, config), text_ in LONG_DOC_CONFIG_TASKS.items()
+                               for x in (f"{source}:{config}", text_)])
+        task = F.coalesce(F.try_element_at(tasks, F.concat_ws(":", source_col, F.coalesce(config_col, F.lit("")))), task)
+    tail = F.concat(F.lit(LONG_DOC_SEPARATOR), task)
+    user = F.concat(body, tail)
     out = d.select(key, source_col, cut.alias("truncated"), F.when(cut, n_keep).alias("n_keep"),
                    F.col("system"), user.alias("user_content"), body.alias("body"), "text_tok", tail.alias("_tail"))
     # The tail starts with whitespace, so the user turn's count is the

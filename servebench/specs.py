@@ -128,6 +128,14 @@ def bucket_spec_df(spark: SparkSession, specs: dict | None = None) -> DataFrame:
 SCROLLS_REPORT_TASK = "Please provide a comprehensive summary of the above government report."
 LONG_DOC_V2_SYSTEM = "You are a helpful assistant. Provide a detailed answer based on the context."
 LONG_DOC_V2_PREFIX = "Based on the above text, please answer: "
+# What is asked of the parts of a source, by configuration; the source's own entry holds for the rest.
+LONG_DOC_CONFIG_TASKS = {
+    ("longbench", "gov_report"): "Please provide a comprehensive summary of the above report.",
+    ("longbench", "multi_news"): "Based on the articles above, write a multi-document summary.",
+    ("scrolls", "gov_report"): SCROLLS_REPORT_TASK,
+    ("scrolls", "narrative_qa"): "Based on the above text, please answer the question.",
+    ("scrolls", "qmsum"): "Summarize the key points from the above meeting transcript.",
+}
 LONG_DOC_SOURCES = [
     {"source": "govreport", "system": LONG_DOC_SYSTEM, "suffix": LONG_DOC_REPORT_TASK,
      "question_prefix": None, "min_chars": True, "precheck": True},

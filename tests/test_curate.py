@@ -9,7 +9,7 @@ from servebench.operators.curate import chat as C
 from servebench.operators.curate import documents as D
 from servebench.operators.curate import pool as PL
 from servebench.operators.curate import tools as TO
-from servebench.specs import CATEGORY_SPECS
+from servebench.specs import CATEGORY_SPECS, LongDocParams
 
 
 def test_normalize_tools(spark):
@@ -216,3 +216,23 @@ def test_ws_truncate_cuts_at_the_nth_token(spark):
         for r in df.select("t", D.ws_truncate(F.col("t"), F.col("n")).alias("got")).collect():
             runs = re.findall(r"[^ \t\n\r\f\v]+[ \t\n\r\f\v]*", r.t)
             assert r.got == "".join(runs[:n]).rstrip(" \t\n\r\f\v")
+
+
+def test_long_documents_ask_the_task_of_their_part(spark):
+    p = LongDocParams(min_tok=5, max_tok=60, min_chars=5, trunc_lo=10, trunc_margin=20)
+    rows = [(1, "longbench", "gov_report", "q?"), (2, "longbench", "multi_news", "q?"), (3, "longbench", "other", "q?"),
+            (4, "longbench", None, "q?"), (5, "longbench", "gov_report", None), (6, "scrolls", "gov_report", None),
+            (7, "scrolls", "narrative_qa", None), (8, "scrolls", "qmsum", None), (9, "govreport", "qmsum", None)]
+    docs = spark.createDataFrame([(i, s, c, q, "some words here", 15) for i, s, c, q in rows],
+                                 "doc_id long, source_name string, config string, question string, text string, n_chars int")
+    got = D.long_doc_candidates(docs, p, config_col="config")
+    asked = {r.doc_id: r.user_content.split("\n\n---\n\n")[1] for r in got.collect()}
+    report = "Please provide a comprehensive summary of the above government report."
+    assert asked == {1: "Please provide a comprehensive summary of the above report.",
+                     2: "Based on the articles above, write a multi-document summary.",
+                     3: "Based on the above, q?", 4: "Based on the above, q?", 6: report,
+                     7: "Based on the above text, please answer the question.",
+                     8: "Summarize the key points from the above meeting transcript.", 9: asked[9]}
+    assert "qmsum" not in asked[9] and asked[9] != asked[8]
+    plain = {r.doc_id: r.user_content for r in D.long_doc_candidates(docs, p).collect()}
+    assert plain[1].endswith("Based on the above, q?") and plain[8].endswith(report)
