@@ -52,6 +52,33 @@ def test_sse_edge_cases(spark):
     assert W.parse_wire(lines(spark, [chunk("a"), "data: [DONE]", chunk("late"), "event: ping"])).count() == 1
 
 
+PAYLOADS = [
+    '{"choices":[{"delta":{"content":"a b"}}]}', '{"choices": [{"delta": {"content": ""}}]}',
+    '{"id":"x","object":"chat.completion.chunk","created":17,"model":"m","system_fingerprint":null,"choices":[{"index":0,'
+    '"delta":{"role":"assistant","content":"\u00e9\U0001f600\u2028"},"logprobs":null,"finish_reason":"stop"}],"usage":null}',
+    '{"choices":[{"delta":{"content":"a\\nb"}}]}', '{"choices":[{"delta":{"content":"a\tb"}}]}',
+    '{"choices":[{"delta":{"content":null}}]}', '{"choices":[{"delta":{"content":"a"}},{"delta":{"content":"b"}}]}',
+    '{"choices":[{"delta":{"content":"a","content":"b"}}]}', '{"choices":[{"delta":{"content":"a"}}]}}', '{"choices":[]}', "{}",
+    '{"choices":[{"delta":{"content":"a"}}]}\u0085', '{"choices":[{"delta":{"content":"a","tool_calls":[{"index":0}]}}]}',
+    '{"created":01,"choices":[{"delta":{"content":"a"}}]}', '{"choices":[{"delta":{"content":"a"}}],"usage":{"prompt_tokens":3}}',
+]
+
+
+def test_plain_chunks_read_as_a_json_reader_does(spark):
+    """What the pattern reads is what the parse gives; the plain ones need no parse."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(PAYLOADS)), "i int, p string").select("i", "p", W.plain_text(F.col("p")).alias("t"))
+    both = df.select("i", "t", W.plain_chunk(F.col("t")).alias("fast"), W.parsed_chunk(F.col("p")).alias("full")).collect()
+    assert [r.i for r in both if r.t] == [0, 1, 2]
+    assert all(r.fast == r.full for r in both if r.t)
+    read = W.parse_wire(lines(spark, ["data: " + p for p in PAYLOADS])).collect()
+    assert sorted((r.line_no, r.choices, r.usage) for r in read) == sorted((r.i, c.choices, c.usage) for r in both for c in r.full)
+    facts = {r.line_no: r for r in W.chunk_facts(W.parse_wire(lines(spark, ["data: " + p for p in PAYLOADS]))).collect()}
+    assert [facts[i].content for i in (0, 1, 6, 9)] == ["a b", "", "ab", ""]
+    assert [(facts[i].has_token, facts[i].n_tool_deltas) for i in (0, 1, 5, 12)] == [(True, 0), (False, 0), (False, 0), (True, 1)]
+
+
 def calls_of(spark, deltas):
     body = [chunk(tool_calls=d) for d in deltas] + ["data: [DONE]"]
     ch = W.parse_wire(lines(spark, body))
