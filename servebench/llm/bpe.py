@@ -27,7 +27,6 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,10 +34,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .tables import id_and_text, prepare
-from .units import UnitCache, groups
+from .units import UnitCache, groups, numbered
 
 LONG = 64
-WORDS_PER_QUERY = 50_000
+WORDS_PER_QUERY = 10_000     # few enough for their rows to stay in the processor's cache
 
 # A row is a token: its word ``w``, its position ``p``, the position ``nx`` and id ``ntok`` of the
 # token after it; ``best`` is the word's pair to contract as (rank, p, nx) in one number.  Every pass
@@ -47,7 +46,7 @@ WORDS_PER_QUERY = 50_000
 _CONTRACT = """
 WITH RECURSIVE s(w, p, nx, tok, ntok, best) AS (
     SELECT w, p, nx, tok, ntok, best
-    FROM start LEFT JOIN (SELECT w, min(m.id::BIGINT * 4294967296 + p * 65536 + nx) AS best
+    FROM start LEFT JOIN (SELECT w, min(m.key + (p << 16) + nx) AS best
                           FROM start JOIN merges m ON m.l = tok AND m.r = ntok GROUP BY w) USING (w)
   UNION ALL (
     WITH gone AS (SELECT w, nx, ntok FROM s WHERE p = (best & 65535)),
@@ -58,7 +57,7 @@ WITH RECURSIVE s(w, p, nx, tok, ntok, best) AS (
                CASE WHEN s.p = (best >> 16) & 65535 THEN gone.ntok
                     WHEN s.nx = (best >> 16) & 65535 THEN (best >> 32)::INTEGER ELSE s.ntok END AS ntok
         FROM s JOIN gone ON s.w = gone.w WHERE s.p <> (best & 65535)),
-    c AS (SELECT w, min(m.id::BIGINT * 4294967296 + p * 65536 + nx) AS best
+    c AS (SELECT w, min(m.key + (p << 16) + nx) AS best
           FROM n JOIN merges m ON m.l = tok AND m.r = ntok GROUP BY w)
     SELECT n.w, p, nx, tok, ntok, best FROM n LEFT JOIN c ON n.w = c.w))
 SELECT w, list(tok ORDER BY p) AS ids, string_agg(v.bytes, '' ORDER BY p) AS bytes
@@ -84,8 +83,10 @@ class Coder:
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), joined.append(i)
+        import duckdb      # needed in tasks only: the registry is imported without it
+
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), id=pa.array(joined, pa.int32()))
+        self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), key=pa.array(np.array(joined, np.int64) << 32))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()),
                     bytes=pa.array([t.hex() for t in self.ranks], pa.string()))
         self.token = {i: t for t, i in self.ranks.items()}
@@ -120,7 +121,7 @@ class Coder:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         tok = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        pos = np.arange(len(tok)) - np.repeat(ends - sizes, sizes)
+        pos = (np.arange(len(tok)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
         last = np.zeros(len(tok), bool)
         last[ends - 1] = True
         self._table("start", w=pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)), p=pa.array(pos), nx=pa.array(pos + 1),
@@ -131,10 +132,20 @@ class Coder:
                    _slices(bytes.fromhex("".join(hexes.to_pylist())), pc.binary_length(hexes).to_numpy() // 2))
 
     def documents(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for some in groups(texts):
-            for parts in self.cache.values(some):
-                ids, decoded = zip(*parts) if parts else ((), ())
-                yield b"".join(ids), b"".join(decoded)
+        for some in groups(texts, 8 << 20):
+            distinct, number, sizes = numbered(some)
+            ids, decoded = zip(*self.cache.of(distinct)) if distinct else ((), ())
+            ends = np.cumsum(sizes)
+            yield from zip(_joined(ids, number, ends), _joined(decoded, number, ends))
+
+
+def _joined(values: tuple[bytes, ...], number: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The numbered values one after another, cut at the given ends."""
+    column = pa.array(values, pa.large_binary()).take(pa.array(number))
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = memoryview(column.buffers()[2] or b"")
+    cuts = at[np.concatenate([[0], ends])].tolist()
+    return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def _slices(data: bytes, sizes: np.ndarray) -> list[bytes]:

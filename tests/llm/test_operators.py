@@ -317,6 +317,17 @@ def test_bpe(docs, texts, odd, empty):
     assert bpe.encode_digests(empty, *tokenizer(BPE_FILE)).count() == 0
 
 
+def test_numbered_units_are_the_units():
+    from servebench.llm.units import numbered, units
+
+    odd = ["", " ", "a b  c", "one two", "two one two", "\u3000a b", "a b\x1f", "a\x85 b", "x", "", "é ü\u00a0x\u2003y  z\n\n end ", "a b\x00 c"]
+    for some in (odd, odd[::-1], ["one two"], [""], []):
+        distinct, number, sizes = numbered(some)
+        ends = [0, *sizes.cumsum().tolist()]
+        assert [[u for u in map(distinct.__getitem__, number[a:b].tolist()) if u] for a, b in zip(ends, ends[1:])] == list(map(units, some))
+        assert len(set(distinct)) == len(distinct) and len(number) == ends[-1]
+
+
 # --- 8 -----------------------------------------------------------------------
 def test_lm_base_score(docs, texts, odd, empty):
     from servebench.llm import ppm
