@@ -113,14 +113,16 @@ class Corpus:
         empty = self.df.sparkSession.createDataFrame([], schema).toArrow()
         return self.df.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(both, schema)
 
-    def answer(self, asked: DataFrame, fn: Callable[[list[memoryview]], list[bytes]]) -> DataFrame:
-        """``fn`` sees the payloads of one part and returns an answer for each; cut."""
+    def answer(self, asked: DataFrame, fn: Callable[[list[memoryview]], list[bytes]], keep: bool = True) -> DataFrame:
+        """``fn`` sees the payloads of one part and returns an answer for each; cut, unless
+        they are read once (``keep`` false), when they need not lie on disk twice."""
         def run(t: pa.Table) -> pa.Table:
             payloads = [memoryview(p.as_buffer()) for p in t.column("payload")]
             return _given_back(pa.Table.from_arrays([t.column("chunk").combine_chunks(), t.column("part").combine_chunks(),
                                                      pa.array(fn(payloads), pa.binary())], schema=_ANSWER))
 
-        return cut(asked.groupBy("part").applyInArrow(run, ANSWER))
+        answers = asked.groupBy("part").applyInArrow(run, ANSWER)
+        return cut(answers) if keep else answers
 
 
 def _given_back(out):

@@ -15,7 +15,9 @@ the byte alphabet; the driver keeps the rows of the contexts that occur.  Longer
 contexts are rows: each chunk sends its distinct (context, symbol) with their
 training counts, dealt by the last three symbols of the context, so a part holds
 all longer contexts that end in these with what they escape to.  It adds the
-counts, works out the chances, and each chunk gets those it asked for.
+counts, works out the chances, and each chunk gets those it asked for.  The parts
+take ``TURNS`` turns: a turn's questions and answers become a sum per document
+before the next turn asks, so only one turn's lie on disk at a time.
 
 Edge cases: NULL and empty texts code their end alone; a NULL doc_id is neither
 held out nor learned from; with nothing to learn from, all symbols are equally
@@ -37,13 +39,14 @@ from pyspark.sql import functions as F
 from . import chunks as K
 from . import counts as C
 from . import shingles as S
-from .tables import crc_mod, id_and_bytes
+from .tables import crc_mod, cut, id_and_bytes
 
 ORDER = 2                     # of the contexts kept as a table; longer ones are rows
 SYMBOLS = 231                 # the end of a text, 256 bytes without A-Z
 SIZE = SYMBOLS ** (ORDER + 1)
 LONGEST = 7                   # symbols of a context that fit a 64-bit key with the symbol after it
 GROW_BITS = 5                 # one symbol more of context for so many doublings of the training text
+TURNS = 2                     # ranges of the long contexts asked about one after the other
 PART_BITS, PART_MIX = 24, 0x9E3779  # the last three symbols of a context, dealt out by an odd multiplier
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -89,11 +92,12 @@ def long_grams(symbols: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.nd
     """
     padded, at, doc = _placed(symbols, offs, order)
     size = np.uint64(SYMBOLS)
-    near = (padded[at - 3] * size + padded[at - 2]) * size + padded[at - 1]
-    rest = np.zeros(len(doc), np.uint64)
+    back = [padded[order - k:len(padded) - k] for k in range(order + 1)]     # the symbols k before every place from ``order`` on
+    near = (back[3] * size + back[2]) * size + back[1]
+    rest = np.zeros(len(near), np.uint64)
     for k in [*range(4, order + 1), 0]:
-        rest = rest << np.uint64(8) | padded[at - k]
-    return (near * np.uint64(PART_MIX) % np.uint64(1 << PART_BITS)) << np.uint64(64 - PART_BITS) | rest, doc
+        rest = rest << np.uint64(8) | back[k]
+    return ((near * np.uint64(PART_MIX) % np.uint64(1 << PART_BITS)) << np.uint64(64 - PART_BITS) | rest)[at - order], doc
 
 
 def chances(count: np.ndarray) -> list[np.ndarray]:
@@ -200,9 +204,11 @@ class Docs:
         """Distinct tokens, their training counts, each token's number and document."""
         return self._distinct(*self.tokens())
 
-    def long_grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same for contexts of ``order`` symbols with the symbol after them."""
-        return self._distinct(*long_grams(self.symbols(), self.offs, order))
+    def long_grams(self, order: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for contexts of ``order`` symbols with the symbol after them, of one turn."""
+        keys, doc = long_grams(self.symbols(), self.offs, order)
+        mine = (keys >> np.uint64(64 - PART_BITS)) * np.uint64(TURNS) >> np.uint64(PART_BITS) == np.uint64(turn)
+        return self._distinct(keys[mine], doc[mine])
 
     def _distinct(self, ident: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(ident, kind="stable")
@@ -333,14 +339,31 @@ def score(docs: DataFrame) -> DataFrame:
         keys, count, _, _ = Docs(t).distinct()
         yield from K.questions(chunk, keys, parts, lambda i, j: _pack(keys[i:j], count[i:j]))
 
-    def ask_grams(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
-        keys, count, _, _ = Docs(t).long_grams(order)
-        yield from K.questions(chunk, keys, gram_parts, lambda i, j: _pack(keys[i:j], count[i:j]))
+    def turn_sums(turn: int) -> DataFrame:
+        """A row per chunk: the sum of its documents' log10 chances over the turn's keys."""
+        def ask_grams(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
+            keys, count, _, _ = Docs(t).long_grams(order, turn)
+            yield from K.questions(chunk, keys, gram_parts, lambda i, j: _pack(keys[i:j], count[i:j]))
+
+        def add(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
+            d = Docs(t)
+            grams_, _, gram, of = d.long_grams(order, turn)
+            at = K.split(grams_, gram_parts)
+            log10 = np.zeros(len(grams_))
+            for p, a in got["grams"].items():
+                log10[at[p]:at[p + 1]] = np.frombuffer(zstandard.decompress(a), "<f4")
+            sums = np.bincount(of, weights=log10[gram], minlength=len(d.offs) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([turn], pa.int32()),
+                                              pa.array([sums.astype("<f8").tobytes()], pa.binary())], names=["chunk", "part", "payload"])
+
+        told = corpus.answer(corpus.each(ask_grams, K.ASK), lambda payloads: _answer_grams(payloads, order, model.value), keep=False)
+        return cut(corpus.each(add, K.ANSWER, {"grams": told}))
 
     words = corpus.answer(corpus.each(ask, K.ASK), _answer_words)
-    told = corpus.answer(corpus.each(ask_grams, K.ASK), lambda payloads: _answer_grams(payloads, order, model.value))
     sums = words.dropDuplicates(["part"]).mapInArrow(_totals, "v long, n long").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     distinct, total = sums.v or 0, sums.n or 0
+    turns = {f"turn {k}": turn_sums(k) for k in range(TURNS)}
+    names = list(turns)
 
     def run(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
         d = Docs(t)
@@ -351,17 +374,13 @@ def score(docs: DataFrame) -> DataFrame:
         for p, a in got["words"].items():
             count[at[p]:at[p + 1]] = _from_planes(a[16:], "<i8")
         logs = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
-        grams_, _, gram, of = d.long_grams(order)
-        at = K.split(grams_, gram_parts)
-        log10 = np.zeros(len(grams_))
-        for p, a in got["grams"].items():
-            log10[at[p]:at[p + 1]] = np.frombuffer(zstandard.decompress(a), "<f4")
+        scores = sum(np.frombuffer(a, "<f8") for name in names for a in got[name].values())
         yield pa.RecordBatch.from_arrays(
             [t.column("doc_id").combine_chunks(), pa.array(d.held_out),
              pa.array(np.bincount(doc, minlength=n_docs)), pa.array(np.bincount(doc, weights=(count > 0)[number], minlength=n_docs).astype(np.int64)),
              pa.array(np.full(n_docs, total)), pa.array(np.bincount(doc, weights=logs[number], minlength=n_docs)),
-             pa.array(np.bincount(of, weights=log10[gram], minlength=n_docs))],
+             pa.array(scores)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return corpus.each(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-                       {"words": words, "grams": told})
+                       {"words": words} | turns)

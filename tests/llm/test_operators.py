@@ -486,3 +486,24 @@ def test_toxic_clauses():
     assert p("You idiot!") > p("The idiot ran.") > 0.7 and p("I will kill you") > 0.7
     assert p("He is not an idiot.") < 0.5 and p("She said idiot") < 0.7 and p("") < 0.1
     assert p("Not now. You are an idiot") > 0.9  # a negation ends with its clause
+
+
+def test_ppm_turns_part_the_long_contexts():
+    """Every (context, symbol) of a chunk is asked about in one turn, with all that share its last three symbols."""
+    import numpy as np
+    import pyarrow as pa
+
+    from servebench.llm import ppm
+
+    texts = [b"", b"abracadabra abracadabra", bytes(range(256)), b"x", b"the cat sat on the mat " * 9]
+    docs = ppm.Docs(pa.table({"doc_id": pa.array(range(5)), "text": pa.array(texts, pa.binary()),
+                              "held_out": [False] * 5, "train": [True, True, False, True, True]}))
+    for order in (3, 5, 7):
+        keys, doc = ppm.long_grams(docs.symbols(), docs.offs, order)
+        assert len(keys) == sum(map(len, texts)) + 5
+        turns = [docs.long_grams(order, k) for k in range(ppm.TURNS)]
+        assert ppm.TURNS > 1 and all(len(t[0]) for t in turns)
+        assert sorted(x for k, _, number, _ in turns for x in k[number].tolist()) == sorted(keys.tolist())
+        assert sum(int(n.sum()) for _, n, _, _ in turns) == int(docs.train[doc].sum())
+        heads = [set((k >> np.uint64(64 - ppm.PART_BITS)).tolist()) for k, _, _, _ in turns]
+        assert not set.intersection(*heads)
