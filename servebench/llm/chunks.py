@@ -47,7 +47,7 @@ def read_blob(blob: bytes | memoryview) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(raw)).read_all()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     size = seq = 0
@@ -64,11 +64,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.cumsum([0] + [len(t.as_buffer()) if t.is_valid else 0 for t in text])
         at = 0
         while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_BYTES - size, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + chunk_bytes - size, "right")) - 1)
             held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, end - at)]) for c in b.columns], schema=b.schema))
             size += int(sizes[end] - sizes[at])
             at = end
-            if size >= CHUNK_BYTES or at < b.num_rows:
+            if size >= chunk_bytes or at < b.num_rows:
                 yield flush()
     if held:
         yield flush()
@@ -133,12 +133,12 @@ def _given_back(out):
     return out
 
 
-def corpus(docs: DataFrame) -> Corpus:
-    """Pack ``docs`` (``text`` binary, any further columns) into chunks."""
+def corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
+    """Pack ``docs`` (``text`` binary, any further columns) into chunks of ``chunk_bytes`` of text."""
     spark = docs.sparkSession
     prepare(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(_pack, "chunk long, blob binary")
+    packed = docs.mapInArrow(lambda batches: _pack(batches, chunk_bytes), "chunk long, blob binary")
     # Planned without runtime re-planning, the written chunks are known to be dealt by chunk,
     # so later passes do not shuffle the texts again.
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")

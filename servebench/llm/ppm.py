@@ -27,7 +27,7 @@ likely and the base counts are 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,10 @@ SYMBOLS = 231                 # the end of a text, 256 bytes without A-Z
 SIZE = SYMBOLS ** (ORDER + 1)
 LONGEST = 7                   # symbols of a context that fit a 64-bit key with the symbol after it
 GROW_BITS = 5                 # one symbol more of context for so many doublings of the training text
-TURNS = 2                     # ranges of the long contexts asked about one after the other
+TURNS = 4                     # ranges of the long contexts asked about one after the other
+CHUNK_BYTES = 16 * K.CHUNK_BYTES  # text that asks once about a key its documents share
+PIECE = 1 << 21               # symbols of a chunk looked at together; a longer document is a piece of its own
+BLOCK_BITS = 12, 20           # of the places of identifiers numbered together
 PART_BITS, PART_MIX = 24, 0x9E3779  # the last three symbols of a context, dealt out by an odd multiplier
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,7 +57,7 @@ END = np.uint64(0x5851F42D4C957F2D)  # the identifier of the end token among wor
 
 
 # --- the model --------------------------------------------------------------
-_SYMBOL = np.concatenate([np.arange(1, 66), np.arange(72, 98), np.arange(66, 231)]).astype(np.uint8)  # of every byte
+_SYMBOL = np.concatenate([np.arange(1, 66), np.arange(72, 98), np.arange(66, 231)]).astype(np.uint8)[_LOWER]  # of every byte
 
 
 def order_for(symbols: int) -> int:
@@ -63,41 +66,84 @@ def order_for(symbols: int) -> int:
 
 
 def _placed(symbols: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with ``order`` zeros before and an end after each; the place and document of every symbol and end."""
+    """Texts with ``order`` zeros before and an end after each; which places hold a symbol or an end, and their document."""
     n = np.diff(offs)
-    starts = offs[:-1] + (order + 1) * np.arange(len(n))     # room for the zeros before and an end after
-    padded = np.zeros(len(symbols) + (order + 1) * len(n), np.uint64)
-    doc = np.repeat(np.arange(len(n)), n + 1)
-    at = np.repeat(starts + order, n + 1) + np.arange(len(doc)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
-    text = np.repeat(starts + order, n) + np.arange(len(symbols)) - np.repeat(offs[:-1] - offs[0], n)
-    padded[text] = symbols
-    return padded, at, doc
+    shown = np.repeat(np.tile([False, True, False], len(n)), np.stack([np.full(len(n), order), n, np.ones(len(n), np.int64)], axis=1).ravel())
+    padded = np.zeros(len(shown), np.uint8)
+    padded[shown] = symbols
+    shown[np.cumsum(n + order + 1) - 1] = True
+    return padded, shown, np.repeat(np.arange(len(n), dtype=np.int32), n + order + 1)
 
 
 def grams(symbols: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context of ORDER symbols and symbol as one number, document) of every symbol and end of the texts."""
-    padded, at, doc = _placed(symbols, offs, ORDER)
-    g = np.zeros(len(doc), np.uint64)
-    for k in range(ORDER, -1, -1):
-        g = g * np.uint64(SYMBOLS) + padded[at - k]
-    return g.astype(np.int64), doc
+    padded, shown, doc = _placed(symbols, offs, ORDER)
+    padded, size = padded.astype(np.int32), max(0, len(padded) - ORDER)
+    g = np.zeros(size, np.int32)
+    for k in range(ORDER + 1):
+        g *= SYMBOLS
+        g += padded[k:k + size]
+    return g[shown[ORDER:]], doc[shown]
 
 
-def long_grams(symbols: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context of ``order`` symbols and symbol as one key, document) of every symbol and end of the texts.
+def long_grams(symbols: np.ndarray, offs: np.ndarray, order: int, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(context of ``order`` symbols and symbol as one key, document) of every symbol and end of the texts, or those of one turn.
 
     The upper bits hold the last three symbols of the context, mixed; the lower
     ones its earlier symbols, the nearest first, and the symbol after it.  Sorted
     keys are in the order of the trie at every length of context from three.
     """
-    padded, at, doc = _placed(symbols, offs, order)
-    size = np.uint64(SYMBOLS)
-    back = [padded[order - k:len(padded) - k] for k in range(order + 1)]     # the symbols k before every place from ``order`` on
-    near = (back[3] * size + back[2]) * size + back[1]
-    rest = np.zeros(len(near), np.uint64)
-    for k in [*range(4, order + 1), 0]:
-        rest = rest << np.uint64(8) | back[k]
-    return ((near * np.uint64(PART_MIX) % np.uint64(1 << PART_BITS)) << np.uint64(64 - PART_BITS) | rest)[at - order], doc
+    padded, shown, doc = _placed(symbols, offs, order)
+    size = max(0, len(padded) - order)
+    back = [padded[order - k:order - k + size] for k in range(order + 1)]     # the symbols k before every place from ``order`` on
+    near = back[3].astype(np.uint32)
+    for k in (2, 1):
+        near *= np.uint32(SYMBOLS)
+        near += back[k]
+    near *= np.uint32(PART_MIX)
+    near &= np.uint32((1 << PART_BITS) - 1)
+    mine = shown[order:]
+    if turn is not None:
+        mine = mine & (near * np.uint32(TURNS) >> np.uint32(PART_BITS) == turn)
+    at = np.flatnonzero(mine)
+    rest = [*range(4, order + 1), 0]
+    keys = near[at].astype(np.uint64) << np.uint64(64 - PART_BITS - 8 * len(rest))
+    for k in rest:
+        keys <<= np.uint64(8)
+        keys |= back[k][at]
+    return keys, doc[order:][at]
+
+
+def _numbers(ident: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each ``ident`` among the distinct ``keys``, which hold them all.
+
+    A block's identifiers are sorted by a hash that tells the keys apart, with
+    their places in its lower bits: plain numbers sort several times faster than
+    places by number.
+    """
+    low, high = BLOCK_BITS
+    bits = min(62 - 2 * len(keys).bit_length(), high)       # few hashes fall together
+    if bits < low:
+        return np.searchsorted(keys, ident)
+    step, place, factor = 1 << bits, np.uint64((1 << bits) - 1), 0x9E3779B97F4A7C15
+    while True:
+        hashed = keys * np.uint64(factor) & ~place
+        by = np.argsort(hashed)
+        hashed = hashed[by]
+        if K.first_of(hashed).all():
+            break
+        factor = factor * 0xD1342543DE82EF95 % (1 << 64)     # two keys fell together
+    by = by.astype(np.int32)
+    number = np.empty(len(ident), np.int32)
+    for k in range(0, len(ident), step):
+        block = ident[k:k + step] * np.uint64(factor) & ~place
+        block |= np.arange(len(block), dtype=np.uint64)
+        block.sort()
+        of = block & ~place
+        new = K.first_of(of)
+        which = by[np.searchsorted(hashed, of[new])]
+        number[k:k + len(block)][block & place] = which[np.cumsum(new) - 1]
+    return number
 
 
 def chances(count: np.ndarray) -> list[np.ndarray]:
@@ -192,31 +238,71 @@ class Docs:
         self.train = np.array(table.column("train").to_pylist(), bool)
 
     def symbols(self) -> np.ndarray:
-        return _SYMBOL[_LOWER[self.data]]
+        return _SYMBOL[self.data]
+
+    def pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first document, symbols, offsets) of about ``PIECE`` symbols and ends each."""
+        places, a = self.offs + np.arange(len(self.offs)), 0
+        while a < len(self.offs) - 1:
+            b = max(a + 1, int(np.searchsorted(places, places[a] + PIECE, "right")) - 1)
+            offs = self.offs[a:b + 1]
+            yield a, self.data[offs[0]:offs[-1]], offs - offs[0]
+            a = b
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """(identifier, document) of all words and ends."""
-        ident, doc = S.words(self.data, self.offs)
-        n = len(self.offs) - 1
-        return np.concatenate([ident, np.full(n, END)]), np.concatenate([doc, np.arange(n)])
+        def of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ident, doc = S.words(data, offs)
+            n = len(offs) - 1
+            return np.concatenate([ident, np.full(n, END)]), np.concatenate([doc, np.arange(n)]).astype(np.int32)
+
+        return self._joined(of)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct tokens, their training counts, each token's number and document."""
         return self._distinct(*self.tokens())
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct tokens and their training counts."""
+        return self._counts(*self.tokens())
+
     def long_grams(self, order: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same for contexts of ``order`` symbols with the symbol after them, of one turn."""
-        keys, doc = long_grams(self.symbols(), self.offs, order)
-        mine = (keys >> np.uint64(64 - PART_BITS)) * np.uint64(TURNS) >> np.uint64(PART_BITS) == np.uint64(turn)
-        return self._distinct(keys[mine], doc[mine])
+        """As ``distinct`` for contexts of ``order`` symbols with the symbol after them, of one turn."""
+        return self._distinct(*self._long(order, turn))
+
+    def long_counts(self, order: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``counts`` for the same."""
+        return self._counts(*self._long(order, turn))
+
+    def _long(self, order: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        return self._joined(lambda data, offs: long_grams(_SYMBOL[data], offs, order, turn))
+
+    def _joined(self, of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        ident, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for first, data, offs in self.pieces():
+            i, d = of(data, offs)
+            ident.append(i)
+            doc.append(d + np.int32(first))
+        return np.concatenate(ident), np.concatenate(doc)
+
+    def _counts(self, ident: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        learned = self.train[doc]
+        ours, others = ident[learned], ident[~learned]
+        ours.sort()
+        at = np.flatnonzero(K.first_of(ours))
+        keys, count = ours[at], np.diff(at, append=len(ours))
+        others.sort()
+        others = others[K.first_of(others)]
+        at = np.searchsorted(keys, others)
+        unseen = np.append(keys, np.uint64(0))[at] != others
+        unseen |= at == len(keys)
+        return np.insert(keys, at[unseen], others[unseen]), np.insert(count, at[unseen], 0)
 
     def _distinct(self, ident: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(ident, kind="stable")
-        new = K.first_of(ident[order])
-        number = np.empty(len(ident), np.int64)
-        number[order] = np.cumsum(new) - 1
-        keys = ident[order][new]
-        return keys, np.bincount(number, weights=self.train[doc], minlength=len(keys)).astype(np.int64), number, doc
+        keys = np.sort(ident)
+        keys = keys[K.first_of(keys)]
+        number = _numbers(ident, keys)
+        return keys, np.bincount(number[self.train[doc]], minlength=len(keys)), number, doc
 
 
 def _sparse(counts: np.ndarray, salt: int, first: int = 0) -> Iterator[pa.RecordBatch]:
@@ -255,8 +341,11 @@ def train(corpus: K.Corpus) -> np.ndarray:
             for blob in b.column("blob"):
                 n = np.zeros(SIZE, np.int64) if n is None else n
                 d = Docs(K.read_blob(blob.as_buffer()))
-                g, doc = grams(d.symbols(), d.offs)
-                n += np.bincount(g[d.train[doc]], minlength=SIZE)
+                for first, data, offs in d.pieces():
+                    g, doc = grams(_SYMBOL[data], offs)
+                    g = np.sort(g[d.train[first + doc]])
+                    at = np.flatnonzero(K.first_of(g))
+                    n[g[at]] += np.diff(at, append=len(g))
         if n is not None:
             yield from _sparse(n, TaskContext.get().partitionId())
 
@@ -329,20 +418,20 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = crc_mod(F.col("doc_id").cast("long"), 10) == 0
     src = id_and_bytes(docs).withColumns({"held_out": F.coalesce(held, F.lit(False)), "train": F.coalesce(~held, F.lit(False))})
-    corpus = K.corpus(src)
+    corpus = K.corpus(src, CHUNK_BYTES)
     count = train(corpus)
     order = order_for(int(count.sum()))
     model = spark.sparkContext.broadcast(Short(count))  # at most SIZE floats
-    parts, gram_parts = corpus.parts(K.CHUNK_BYTES // 32), corpus.parts(K.CHUNK_BYTES // 4)
+    parts, gram_parts = corpus.parts(CHUNK_BYTES // 32), corpus.parts(CHUNK_BYTES // 4)
 
     def ask(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
-        keys, count, _, _ = Docs(t).distinct()
+        keys, count = Docs(t).counts()
         yield from K.questions(chunk, keys, parts, lambda i, j: _pack(keys[i:j], count[i:j]))
 
     def turn_sums(turn: int) -> DataFrame:
         """A row per chunk: the sum of its documents' log10 chances over the turn's keys."""
         def ask_grams(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:
-            keys, count, _, _ = Docs(t).long_grams(order, turn)
+            keys, count = Docs(t).long_counts(order, turn)
             yield from K.questions(chunk, keys, gram_parts, lambda i, j: _pack(keys[i:j], count[i:j]))
 
         def add(chunk: int, t: pa.Table, got: dict) -> Iterator[pa.RecordBatch]:

@@ -507,3 +507,35 @@ def test_ppm_turns_part_the_long_contexts():
         assert sum(int(n.sum()) for _, n, _, _ in turns) == int(docs.train[doc].sum())
         heads = [set((k >> np.uint64(64 - ppm.PART_BITS)).tolist()) for k, _, _, _ in turns]
         assert not set.intersection(*heads)
+
+
+def test_ppm_chunk_asks_once_about_a_shared_key(monkeypatch):
+    """The pieces of a chunk ask together, each key once, with the counts and numbers of plain counting."""
+    import numpy as np
+    import pyarrow as pa
+
+    from servebench.llm import chunks as K
+    from servebench.llm import ppm
+
+    rng = random.Random(23)
+    stock = [bytes(rng.choices(range(256), k=rng.randint(1, 7))) for _ in range(40)]
+    texts = [b" ".join(rng.choices(stock, k=rng.randint(0, 30))) for _ in range(60)] + [b"", b"Abc abC", b""]
+    train = [i % 4 != 1 for i in range(len(texts))]
+    docs = ppm.Docs(pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.binary()),
+                              "held_out": [not x for x in train], "train": train}))
+    monkeypatch.setattr(ppm, "PIECE", 300)
+    assert len(list(docs.pieces())) > 5 and ppm.CHUNK_BYTES > K.CHUNK_BYTES
+    whole = ppm.long_grams(docs.symbols(), docs.offs, 6)
+    for bits in ((12, 20), (4, 5), (63, 63)):       # one block, many, a plain search
+        monkeypatch.setattr(ppm, "BLOCK_BITS", bits)
+        asked = [(docs.counts(), docs.distinct(), docs.tokens())]
+        for turn in range(ppm.TURNS):
+            mine = (whole[0] >> np.uint64(64 - ppm.PART_BITS)) * np.uint64(ppm.TURNS) >> np.uint64(ppm.PART_BITS) == np.uint64(turn)
+            asked.append((docs.long_counts(6, turn), docs.long_grams(6, turn), (whole[0][mine], whole[1][mine])))
+        for (keys, count), (same, n, number, doc), (ident, of) in asked:
+            want = Counter({k: 0 for k in ident.tolist()})
+            want.update(k for k, d in zip(ident.tolist(), of.tolist()) if train[d])
+            assert keys.tolist() == same.tolist() == sorted(want) and count.tolist() == n.tolist() == [want[k] for k in sorted(want)]
+            assert keys[number].tolist() == ident.tolist() and doc.tolist() == of.tolist()
+    none = ppm.Docs(docs.table.slice(0, 0))
+    assert not len(none.counts()[0]) and not len(none.long_grams(6, 0)[2])
