@@ -79,6 +79,21 @@ def test_plain_chunks_read_as_a_json_reader_does(spark):
     assert [(facts[i].has_token, facts[i].n_tool_deltas) for i in (0, 1, 5, 12)] == [(True, 0), (False, 0), (False, 0), (True, 1)]
 
 
+def test_facts_read_a_line_once_and_sort_no_lines(spark):
+    """Lines are read once, before they are dealt by request; facts of plain chunks make no array of choices; the first
+    terminator is found without ordering a request's lines, also where keys or places are null or come twice."""
+    rows = [(1, 0, chunk("a")), (1, 3, chunk("b")), (1, 3, " data: [DONE]\t"), (1, 2, " " + chunk("c") + "\r"), (1, 5, chunk("d")),
+            (1, None, chunk("n")), (1, 2, chunk("c")), (1, 1, "data: "), (1, 1, None), (None, 0, chunk("x")), (None, 2, "data: [DONE]"),
+            (None, 7, chunk("y")), (2, None, "data: [DONE]"), (2, 1, chunk("z")), (3, 4, chunk("q\n", usage={"prompt_tokens": 3}))]
+    facts = W.chunk_facts(W.parse_wire(spark.createDataFrame([(r, n, 1.0, t) for r, n, t in rows], LINES)))
+    got = [(r.request_id, r.line_no, r.content, r.has_token, r.n_tool_deltas, r.prompt_tokens) for r in facts.collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, "a", True, 0, None), (1, 2, "c", True, 0, None), (1, 2, "c", True, 0, None),
+                                           (1, None, "n", True, 0, None), (None, 0, "x", True, 0, None), (3, 4, "q\n", True, 0, 3)], key=str)
+    plan = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "regexp_extract" in plan[plan.index("Exchange hashpartitioning"):] and plan.count("regexp_extract(") == 1
+    assert "struct(delta" not in plan and "Sort [request_id" in plan and "line_no" not in plan[plan.index("Sort [request_id"):].split("\n")[0]
+
+
 def calls_of(spark, deltas):
     body = [chunk(tool_calls=d) for d in deltas] + ["data: [DONE]"]
     ch = W.parse_wire(lines(spark, body))
